@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from contentwatch.llm import bpe, token_counts
+from contentwatch.llm import bpe, decontaminate, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op6_token_counts": token_counts.query,
+        "op8_simhash": simhash.query,
+        "op9_decontaminate": decontaminate.query,
         "op10_byte_bpe": bpe.query,
     }
 
