@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from contentwatch.llm import bpe, decontaminate, simhash, token_counts
+from contentwatch.llm import bpe, decontaminate, minhash, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_minhash": minhash.query,
         "op6_token_counts": token_counts.query,
         "op8_simhash": simhash.query,
         "op9_decontaminate": decontaminate.query,
