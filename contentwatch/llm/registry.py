@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from contentwatch.llm import bpe, decontaminate, minhash, simhash, token_counts
+from contentwatch.llm import bpe, decontaminate, minhash, simhash, substrings, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_minhash": minhash.query,
         "op6_token_counts": token_counts.query,
+        "op7_substrings": substrings.query,
         "op8_simhash": simhash.query,
         "op9_decontaminate": decontaminate.query,
         "op10_byte_bpe": bpe.query,

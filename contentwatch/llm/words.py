@@ -25,14 +25,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes the words of texts; ``separators``: the bytes between words."""
+    """Hashes the words of texts; ``separators``: the bytes between words; ``fold``: A-Z equal a-z."""
 
-    def __init__(self, separators: bytes):
+    def __init__(self, separators: bytes, fold: bool = True):
         self.word = np.ones(256, bool)
         self.word[np.frombuffer(separators, np.uint8)] = False
         self.separators = separators
         lower = np.arange(256)
-        lower[65:91] += 32
+        lower[65:91] += 32 * fold
         self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[lower]
         self.grow(BLOCK + 2)
 
