@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from contentwatch.llm import bpe, decontaminate, langid, minhash, simhash, substrings, token_counts
+from contentwatch.llm import bpe, brown, decontaminate, langid, minhash, simhash, substrings, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_minhash": minhash.query,
+        "op3_brown": brown.query,
         "op5_langid": langid.query,
         "op6_token_counts": token_counts.query,
         "op7_substrings": substrings.query,
