@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from contentwatch.llm import bpe, brown, decontaminate, langid, minhash, simhash, substrings, token_counts
+from contentwatch.llm import bpe, brown, chat, decontaminate, langid, licenses, minhash, simhash, substrings, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_minhash": minhash.query,
+        "op2_chat": chat.query,
         "op3_brown": brown.query,
+        "op4_licenses": licenses.query,
         "op5_langid": langid.query,
         "op6_token_counts": token_counts.query,
         "op7_substrings": substrings.query,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat": chat.ORACLE, "op4_licenses": licenses.ORACLE}
