@@ -120,8 +120,8 @@ u AS (
   UNION ALL SELECT doc_id, 'paragraph', (i - 1)::BIGINT, p[i] FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\n\\n+') AS p FROM d) WHERE len(p) > 1)
   UNION ALL SELECT doc_id, 'line', (i - 1)::BIGINT, p[i] FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM d) WHERE len(p) > 1)
 ),
-w AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(lower(body), '{NOTICE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '') AS words FROM (SELECT doc_id, unit, place, body FROM u UNION ALL SELECT NULL, license, -1, body FROM t)),
-b AS (SELECT doc_id, unit, place, list_distinct(list_transform(generate_series(1, len(words) - 1), i -> words[i] || ' ' || words[i + 1])) AS own FROM w WHERE len(words) > 1),
+w AS (SELECT *, list_filter(string_split(regexp_replace(regexp_replace(lower(body), '{NOTICE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM (SELECT doc_id, unit, place, body FROM u UNION ALL SELECT NULL, license, -1, body FROM t)),
+b AS (SELECT doc_id, unit, place, list_distinct(list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1])) AS own FROM w WHERE len(words) > 1),
 s AS (
   SELECT x.doc_id, x.unit, x.place, y.unit AS license, round(2.0 * len(list_intersect(x.own, y.own)) / (len(x.own) + len(y.own)), 9) AS dice
   FROM b x JOIN b y ON x.place >= 0 AND y.place = -1
