@@ -52,9 +52,8 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def normalised(text: Column) -> Column:
-    """The normalised words as an array."""
-    cleaned = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), NOTICE, " "), "[^a-z0-9]+", " "))
-    return F.filter(F.split(cleaned, " "), lambda w: w != "")
+    """The normalised words as an array; of a text without any, one empty word."""
+    return F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), NOTICE, " "), "[^a-z0-9]+", " ")), " ")
 
 
 def bigrams(words: Column) -> Column:
@@ -64,12 +63,14 @@ def bigrams(words: Column) -> Column:
 
 
 def units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, unit, place, body): the whole text, paragraphs where there are several, lines where there are several."""
+    """(doc_id, unit, place, own): the bigrams of the whole text, of paragraphs and of lines where there are several."""
     t = F.coalesce(F.col(text), F.lit(""))
-    listed = lambda name, parts: F.transform(parts, lambda x, i: F.struct(F.lit(name).alias("unit"), i.cast("long").alias("place"), x.alias("body")))
+    listed = lambda name, parts: F.transform(parts, lambda x, i: F.struct(F.lit(name).alias("unit"), i.cast("long").alias("place"), normalised(x).alias("words")))
     some = lambda parts: F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
     every = F.concat(listed("text", F.array(t)), listed("paragraph", some(F.split(t, r"\n\n+"))), listed("line", some(F.split(t, r"\n"))))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(every).alias("u")).select("doc_id", "u.unit", "u.place", "u.body")
+    # what explode() makes is computed once, however many expressions use it
+    split = docs.select(F.col(doc_id).alias("doc_id"), F.explode(every).alias("u"))
+    return split.select("doc_id", "u.unit", "u.place", F.explode(F.array(bigrams(F.col("u.words")))).alias("own"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -79,17 +80,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("unit"), F.lit(0).cast("long").alias("place"), F.lit("").alias("license"), F.lit(0.0).alias("dice")).where("false")
     share = threshold / (2 - threshold)
     sizes = sorted({len(b) for b in known.values()})
-    # n words have at most n - 1 distinct bigrams and 2n - 1 characters, so a short body can't hold enough
-    long_enough = F.length("body") >= 2 * (share * sizes[0]) + 1
-    found = units(docs, doc_id, text).where(long_enough).withColumn("words", normalised(F.col("body")))
-    # a text of many words may repeat bigrams, so words bound the size from above only
-    found = found.where(F.size("words") - 1 >= share * sizes[0]).withColumn("own", bigrams(F.col("words"))).drop("words", "body")
     n = F.size("own")
     near = [(n >= share * s) & (n * share <= s) for s in sizes]
     wide = near[0]
     for one in near[1:]:
         wide = wide | one
-    found = found.where(wide)
+    found = units(docs, doc_id, text).where(wide)
 
     def compared(name: str, template: list[str]) -> Column:
         dice = 2.0 * F.size(F.array_intersect("own", F.array(*map(F.lit, template)))) / (n + len(template))
@@ -99,7 +95,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     scores = F.filter(F.array(*[compared(k, v) for k, v in known.items()]), lambda x: x["dice"] >= threshold)
     # the order of the array is that of the names; the first of the highest wins
     best = F.element_at(F.filter("scores", lambda x: x["dice"] == F.array_max(F.transform("scores", lambda y: y["dice"]))), 1)
-    found = found.withColumn("scores", scores).where(F.size("scores") > 0).withColumn("best", best)
+    found = found.select("doc_id", "unit", "place", F.explode(F.array(scores)).alias("scores")).where(F.size("scores") > 0).withColumn("best", best)
     return found.select("doc_id", "unit", "place", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
 
 
