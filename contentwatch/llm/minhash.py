@@ -7,8 +7,10 @@ m * m tables of 2k hashes from 2 * m * k minima, about the square root of what s
 0.9996, one at 0.9 with 0.99998.
 
 Equal sets become one class first, so copies never meet.  In each bucket all classes are compared to its
-least and its greatest one; what that links is one component, and only members of different components are then
-compared with each other.  Every link is confirmed on the full sets.
+least one and to that with most copies; what that links is one component, and only members of different
+components are then compared with each other, if enough of their shingles are not theirs alone: a shingle that no
+other compared class has can't be shared, so it counts against both bounds of a pair.  Every link is confirmed on the
+full sets.
 
 Cases: a text with fewer than five words has its whole sequence as one shingle; a null or empty text, or one
 without words, has an empty set and is linked with nothing; repeated rows each come back; a null id never
@@ -119,14 +121,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(x, "x").join(y, "y").select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
 
 
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(class, alone): how many of each class's shingles no other class of ``sets`` has; classes without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles", 4 << 20):
+            found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], ["class", "shingle"])
+
+    single = sets.select("class", "shingles").mapInArrow(run, "class long, shingle long").groupBy("shingle").agg(F.min("class").alias("class"), F.count("*").alias("n")).where("n = 1")
+    return single.groupBy("class").agg(F.count("*").alias("alone"))
+
+
 def links(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Confirmed (x, y) links between classes: enough of them to connect what all links connect.  found: the signatures of docs."""
     row = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    classes = found.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("row"), F.first("n_shingles").cast("int").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-    key = F.explode(F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y)))))
-    keys = classes.select("class", "n", "row", key.alias("key"))
-    ends = keys.groupBy("key").agg(F.min(F.struct("class", "n")).alias("low"), F.max(F.struct("class", "n")).alias("high")).where("low.class != high.class")
-    members = written(keys.join(ends, "key"), "members")
+    classes = written(found.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("row"), F.first("n_shingles").cast("int").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("copies")), "classes")
+    key = F.posexplode(F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y)))))
+    keys = classes.select("class", "n", "row", "copies", key.alias("table", "key"))
+    ends = keys.groupBy("key").agg(F.min(F.struct("class", "n")).alias("low"), F.max(F.struct("copies", "class", "n")).alias("high"), F.count("*").alias("many")).where("many > 1")
+    members = written(keys.join(ends, "key").select("key", "table", "class", "n", "row", "low", "high"), "members")
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     ordered = lambda df: df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
@@ -138,14 +152,24 @@ def links(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str =
     first = written(confirmed(ordered(stars[0].union(stars[1])), sets, percent), "links")
 
     known = components(first)
-    labelled = members.select("key", "class", "n").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = members.select("key", "table", "class", "n").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     counted = labelled.groupBy("key", "component").agg(F.count("*").alias("many"))
     mixed = counted.groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-    rest = written(labelled.join(mixed, "key"), "rest")
+    rest = labelled.join(mixed, "key").withColumn("most", F.col("n"))
+    for _ in range(2):
+        # whoever has no partner that could share enough of what isn't its own alone is out, and no partner to others
+        alone = shared_sizes(sets.join(rest.select("class").distinct(), "class", "left_semi"))
+        bounded = rest.drop("most").join(alone, "class", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+        rest = written(bounded.where(F.col("most") * 100 >= F.col("n") * percent), "rest")
+    able = rest.join(classes.select("class", "left", "right"), "class")
+    own = lambda df, c: df.select("key", "table", *[F.col(a).alias(f"{b}_{c}") for a, b in (("class", "class"), ("n", "n"), ("most", "most"), ("component", "of"), ("left", "left"), ("right", "right"))])
     # every pair of different components has at least one member outside the bucket's largest component
-    others = rest.where("component != main").select("key", F.col("class").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("of_x"))
-    pairs = others.join(rest.select("key", F.col("class").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("of_y")), "key")
-    pairs = pairs.where("of_x != of_y").where(near(F.col("n_x"), F.col("n_y")))
+    pairs = own(able.where("component != main"), "x").join(own(able, "y").drop("table"), "key")
+    enough = F.least("most_x", "most_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    # a pair meets in each table whose two groups are equal; it is taken from the first
+    place = lambda side: F.array_position(F.zip_with(f"{side}_x", f"{side}_y", lambda a, b: a == b), F.lit(True)) - 1
+    once = (place("left") == F.floor(F.col("table") / F.size("right_x"))) & (place("right") == F.col("table") % F.size("right_x"))
+    pairs = pairs.where("of_x != of_y").where(near(F.col("n_x"), F.col("n_y")) & enough & once).select(F.col("class_x").alias("x"), F.col("class_y").alias("y"))
     return first.union(written(confirmed(ordered(pairs), sets, percent), "links"))
 
 
