@@ -304,7 +304,8 @@ def classify_article(signals: Column) -> Column:
 
 def date_candidates(page: Column, url: Column, last_modified: Column | None = None, variant: str = "p2") -> Column:
     """The strings that may state a page's date, the most trusted first."""
-    block_dates = [F.transform(page["jsonld"], lambda b, k=k: F.get_json_object(b, f"$.{k}")) for k in JSONLD_DATES]
+    stated = lambda k: F.transform(page["jsonld"], lambda b: F.get_json_object(b, f"$.{k}"))
+    block_dates = [stated(k) for k in JSONLD_DATES]
     jsonld = F.concat(*block_dates) if variant == "p2" else F.flatten(F.transform(page["jsonld"], lambda b: F.array(*[F.get_json_object(b, f"$.{k}") for k in JSONLD_DATES])))
     metas = F.array(*[meta(page, "property", p) for p in META_PROPERTIES], *[meta(page, "name", n) for n in META_NAMES])
     regex = lambda c: F.coalesce(dates.find_date_text(c), c)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentwatch.functions.text import hamming
+from contentwatch.functions.text import hamming, let
 from contentwatch.operators.tables import written
 
 
@@ -42,8 +42,9 @@ def similar_titles(values: DataFrame, least: float = 0.9) -> DataFrame:
     short = (2 - least) / least
     titles = values.where(F.length("value") > 2).select("value").distinct()
     grams = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))
-    numbered = F.transform(grams, lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g)).alias("k")))
-    rows = titles.select("value", F.explode(numbered).alias("t")).select("value", F.concat("t.g", F.lit("#"), "t.k").alias("gram"))
+    # equal bigrams are neighbours once sorted, so each gets its number within its run
+    runs = lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(g, x) + 1).cast("string")))
+    rows = titles.select("value", F.explode(let(F.array_sort(grams), runs)).alias("gram"))
     counts = rows.groupBy("gram").agg(F.count("*").alias("df"))
     ordered = rows.join(counts, "gram").groupBy("value").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("gs"))
     needed = F.greatest(F.lit(1), F.ceil(0.6 * F.length("value") - 1 - 1e-9))
@@ -60,6 +61,7 @@ def deduplicate(records: DataFrame, most: int = 200) -> DataFrame:
     round, whoever has no undecided earlier neighbour is kept and its later neighbours go; rounds are as many as the
     longest chain of such dependencies, and more than ``most`` raise RuntimeError.  Equal values are keys, never pairs.
     """
+    records = written(records, "dedup-records")
     key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"))
     title = F.lower(F.coalesce("title", F.lit("")))
     keys = F.array(key("url", F.col("canonical_url")), key("hash", F.nullif("content_hash", F.lit(""))), key("simhash", F.nullif("simhash", F.lit(0))), key("title", F.nullif(title, F.lit(""))))

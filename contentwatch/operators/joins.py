@@ -96,7 +96,7 @@ def union_candidates(*lists: DataFrame, key: str = "url") -> DataFrame:
 
 def longest_anchor(links: DataFrame) -> DataFrame:
     """Per page and target the longest anchor text, the earliest on ties."""
-    return first_per_key(links, ["src", "dst"], F.desc(F.length("anchor")), "pos")
+    return first_per_key(links, ["src", "dst"], F.desc(F.length("anchor")), "pos", "anchor")
 
 
 def link_reach(edges: DataFrame, seeds: DataFrame, depth: int = 2, budget: int = 150) -> DataFrame:

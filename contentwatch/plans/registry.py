@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contentwatch.functions.text import content_hash, esg_category
 from contentwatch.operators.joins import first_per_key
-from contentwatch.plans import catalog, url_queries
+from contentwatch.plans import catalog, page_queries, table_queries, url_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

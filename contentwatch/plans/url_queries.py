@@ -108,7 +108,7 @@ v AS (SELECT doc_id, sum(CASE WHEN lit THEN CASE WHEN i = 63 THEN -9223372036854
 SELECT d.doc_id, coalesce(simhash, 0) AS simhash FROM documents d LEFT JOIN v USING (doc_id)
 """)
 def simhash64(spark, sf):
-    return Tables(spark, sf).documents.select("doc_id", text.simhash64(F.col("text")).alias("simhash"))
+    return text.with_simhash(Tables(spark, sf).documents.select("doc_id", "text")).drop("text")
 
 
 @query("hamming", "SELECT a.o_orderkey AS id, bit_count(xor(a.o_orderkey * 7919, a.o_custkey * 104729))::INTEGER AS out FROM orders a")

@@ -65,15 +65,16 @@ def last_n(stream: DataFrame, n: int = 100) -> DataFrame:
     """The newest n events (id, ts, event) of each plan, as state of bounded size; gives a plan's rows whenever it has new ones."""
 
     def keep(key, batches, state):
-        old = list(state.get[0]) if state.exists else []
-        rows = [tuple(r) for r in old]
+        import json
+
+        rows = [tuple(r) for r in json.loads(state.get[0])] if state.exists else []
         for pdf in batches:
             rows += [(r.ts.isoformat(), int(r.id), r.event) for r in pdf.itertuples()]
         rows = sorted(rows)[-n:]
-        state.update(([{"ts": a, "id": b, "event": c} for a, b, c in rows],))
-        yield pd.DataFrame({"plan_id": [key[0]] * len(rows), "id": [r[1] for r in rows], "ts": pd.to_datetime([r[0] for r in rows]), "event": [r[2] for r in rows]})
+        state.update((json.dumps(rows),))
+        yield pd.DataFrame({"plan_id": [str(key[0])] * len(rows), "id": [r[1] for r in rows], "ts": pd.to_datetime([r[0] for r in rows], format="ISO8601"), "event": [r[2] for r in rows]})
 
-    return stream.groupBy("plan_id").applyInPandasWithState(keep, "plan_id string, id long, ts timestamp, event string", "rows array<struct<ts: string, id: long, event: string>>", "update", "NoTimeout")
+    return stream.groupBy("plan_id").applyInPandasWithState(keep, "plan_id string, id long, ts timestamp, event string", "rows string", "update", "NoTimeout")
 
 
 def digest_batch(plans: DataFrame, deliver: Callable[[DataFrame, int], None], *order) -> Callable[[DataFrame, int], None]:
