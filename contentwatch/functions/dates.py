@@ -8,6 +8,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Shapes of dates in text, in the order in which they are looked for, and relative phrases in seconds.
 DATE_SHAPES = [
@@ -39,7 +40,7 @@ def find_date_text(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, shape, 0), F.lit("")) for shape in DATE_SHAPES])
 
 
-@F.pandas_udf("date")
+@F.pandas_udf(T.DateType())
 def fuzzy_date(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Free-form dates as dateutil reads them, missing parts from 1900-01-01; each distinct string of a batch once."""
     from dateutil import parser

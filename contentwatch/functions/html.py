@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contentwatch.functions import dates, urls
+from contentwatch.functions.dates import AGO, NAMED
 
 # Fixed values.
 NOISE = "header footer nav navbar menu cookie consent banner sidebar advert ads ad- promo subscribe share social comment related breadcrumb".split()
@@ -27,10 +28,10 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES = {"p": {"p"}, "li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 BLOCK = {"p", "div", "ul", "ol", "table", "section", "article", "header", "footer", "nav", "aside", "main", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
 
-FACTS = T._parse_datatype_string(
-    "title string, h1 array<string>, subheadings int, has_article boolean, meta array<struct<kind: string, name: string, content: string>>, lang string, canonical string, jsonld array<string>,"
-    " times array<struct<datetime: string, text: string>>, paragraphs array<string>, links array<struct<url: string, text: string>>, feeds array<string>, images array<struct<src: string, width: int, height: int>>,"
-    " labels array<string>, hints array<string>, clean_paragraphs array<string>, blocks array<string>, text string, visible string, text_chars int, link_chars int"
+FACTS = (
+    "struct<title: string, h1: array<string>, subheadings: int, has_article: boolean, meta: array<struct<kind: string, name: string, content: string>>, lang: string, canonical: string, jsonld: array<string>,"
+    " times: array<struct<datetime: string, text: string>>, paragraphs: array<string>, links: array<struct<url: string, text: string>>, feeds: array<string>, images: array<struct<src: string, width: int, height: int>>,"
+    " labels: array<string>, hints: array<string>, clean_paragraphs: array<string>, blocks: array<string>, text: string, visible: string, text_chars: int, link_chars: int>"
 )
 
 
@@ -201,7 +202,8 @@ def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", out: str
     from pyspark.sql.pandas.types import to_arrow_type
 
     kept = [f for f in pages.schema.fields if f.name != html]
-    kind = to_arrow_type(FACTS)
+    facts_type = pages.sparkSession.range(0).select(F.lit(None).cast(FACTS)).schema[0].dataType
+    kind = to_arrow_type(facts_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +213,7 @@ def parse_pages(pages: DataFrame, html: str = "html", url: str = "url", out: str
                 found = [facts(h, u) for h, u in zip(part.column(names.index(html)).to_pylist(), part.column(names.index(url)).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*[part.column(names.index(f.name)) for f in kept], pa.array(found, kind)], [*[f.name for f in kept], out])
 
-    return pages.mapInArrow(run, T.StructType([*kept, T.StructField(out, FACTS)]))
+    return pages.mapInArrow(run, T.StructType([*kept, T.StructField(out, facts_type)]))
 
 
 def filled(c: Column) -> Column:
@@ -337,7 +339,7 @@ def first_date(candidates: Column, now) -> Column:
     return _first_date(candidates, at(now))
 
 
-@F.pandas_udf("date")
+@F.pandas_udf(T.DateType())
 def _first_date(candidates, now):
     import re
     from datetime import datetime, timedelta
@@ -349,10 +351,10 @@ def _first_date(candidates, now):
 
     def one(raw: str, when):
         raw = raw.strip()
-        for name, seconds in dates.NAMED.items():
+        for name, seconds in NAMED.items():
             if re.search(rf"\b{name}\b", raw, re.I):
                 return (when - timedelta(seconds=seconds)).date()
-        for unit, seconds in dates.AGO.items():
+        for unit, seconds in AGO.items():
             if m := re.search(rf"(\d{{1,9}})\s+{unit}s?\s+ago", raw, re.I):
                 return (when - timedelta(seconds=seconds * int(m[1]))).date()
         try:

@@ -7,6 +7,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contentwatch.functions.text import hamming, let
 from contentwatch.operators.tables import written
@@ -25,7 +26,7 @@ def near_simhashes(values: DataFrame, radius: int = 3) -> DataFrame:
     return pairs.where(hamming(F.col("value"), F.col("other")) <= radius).select("value", "other").distinct()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; the order of the two matters."""
     from difflib import SequenceMatcher

@@ -13,7 +13,11 @@ from contentwatch.plans.catalog import DATED, LOG, NOW, PLANS, Tables, query
 from contentwatch.sources import feeds, store
 from contentwatch.streaming import jobs
 
-now = F.lit(NOW).cast("timestamp")
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
 
 
 def parsed(spark, sf):
@@ -86,12 +90,12 @@ DATE = "CASE WHEN page_id % 6 = 5 THEN NULL ELSE DATE '1999-01-01' + (page_id %
 
 @query("extract_date", f"SELECT page_id, {DATE} AS published FROM pages")
 def extract_date(spark, sf):
-    return html.extract_date(dated_pages(spark, sf), now).select("page_id", "published")
+    return html.extract_date(dated_pages(spark, sf), now()).select("page_id", "published")
 
 
 @query("extract_date_p1", f"SELECT page_id, {DATE} AS published FROM pages")
 def extract_date_p1(spark, sf):
-    return html.extract_date(dated_pages(spark, sf), now, variant="p1").select("page_id", "published")
+    return html.extract_date(dated_pages(spark, sf), now(), variant="p1").select("page_id", "published")
 
 
 @query("exclude_utility_pages", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Homepage' WHEN page_id % 3 = 1 THEN 'Category/Tag/Archive/Search/Sitemap page' END AS reason FROM pages")
@@ -316,8 +320,8 @@ def extract_pipeline(spark, sf):
     """Parse once, keep articles with a date in the window, then drop duplicates and summarise what stays."""
     from contentwatch.functions.text import content_hash, summarize, with_simhash
 
-    pages = html.extract_date(dated_pages(spark, sf), now)
-    kept = pages.where(dates.in_date_window(F.col("published"), F.lit("1999-01-01").cast("timestamp"), F.lit(None).cast("timestamp"), now))
+    pages = html.extract_date(dated_pages(spark, sf), now())
+    kept = pages.where(dates.in_date_window(F.col("published"), F.lit("1999-01-01").cast("timestamp"), F.lit(None).cast("timestamp"), now()))
     rows = kept.select(F.col("page_id").alias("pos"), "url", "published", html.page_title(F.col("page")).alias("title"), html.page_text(F.col("page")).alias("text"))
     rows = written(rows, "extracted")
     records = with_simhash(rows.select("*", F.col("url").alias("canonical_url"), content_hash(F.col("text")).alias("content_hash")))
@@ -328,8 +332,8 @@ def extract_pipeline(spark, sf):
 def monitor_pipeline(spark, sf):
     """Sitemaps to new articles: entries, route by date coverage, window, join with what is stored, new ones only."""
     entries = written(feeds.parse_sitemap(bodies(spark, sf, "sitemap")), "entries")
-    entries = entries.withColumns({"site": F.col("source"), "date": dates.normalize_date(F.col("date_raw"), now)})
+    entries = entries.withColumns({"site": F.col("source"), "date": dates.normalize_date(F.col("date_raw"), now())})
     routes = stats.date_coverage_route(entries, entries.select("site").distinct())
-    dated = entries.join(routes.where("route = 1").select("site"), "site").where(dates.in_date_window(F.col("date"), now - F.expr("INTERVAL 90 DAYS"), F.lit(None).cast("timestamp"), now))
+    dated = entries.join(routes.where("route = 1").select("site"), "site").where(dates.in_date_window(F.col("date"), now() - F.expr("INTERVAL 90 DAYS"), F.lit(None).cast("timestamp"), now()))
     seen = Tables(spark, sf).dated().where("id % 2 = 0").select(F.concat(F.lit("https://s/"), "plan_id").alias("plan_id"), "url")
     return joins.new_articles_only(dated.withColumnRenamed("site", "plan_id"), seen, "pos").select("plan_id", "url", "date")

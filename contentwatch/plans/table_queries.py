@@ -9,12 +9,16 @@ from contentwatch.operators import dedup, digest, gates, joins, stats
 from contentwatch.plans.catalog import ARTICLES, DATED, LOG, NOW, PLANS, Tables, query
 
 N = f"TIMESTAMP '{NOW}'"
-now = F.lit(NOW).cast("timestamp")
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
 CUTOFF = f"(CASE fetch_period WHEN 'day' THEN {N} - INTERVAL 1 DAY WHEN 'week' THEN {N} - INTERVAL 7 DAY WHEN 'month' THEN {N} - INTERVAL 30 DAY WHEN 'custom' THEN {N} - to_days(fetch_period_days::INTEGER) ELSE {N} - INTERVAL 7 DAY END)"
 
 
 def windows(t: Tables):
-    w = dates.plan_window(now, F.col("fetch_period"), F.col("fetch_period_days"))
+    w = dates.plan_window(now(), F.col("fetch_period"), F.col("fetch_period_days"))
     return t.plans().select(F.col("id").alias("plan_id"), w.alias("w")).select("plan_id", "w.cutoff", "w.stop")
 
 
@@ -25,7 +29,7 @@ def plan_window(spark, sf):
 
 @query("in_date_window", f"SELECT id, pub_date BETWEEN DATE '2001-06-10' AND DATE '2001-07-10' AS inside FROM {DATED}")
 def in_date_window(spark, sf):
-    return Tables(spark, sf).dated().select("id", dates.in_date_window(F.col("pub_date"), now - F.expr("INTERVAL 30 DAYS"), F.lit(None).cast("timestamp"), now).alias("inside"))
+    return Tables(spark, sf).dated().select("id", dates.in_date_window(F.col("pub_date"), now() - F.expr("INTERVAL 30 DAYS"), F.lit(None).cast("timestamp"), now()).alias("inside"))
 
 
 @query("recent_instants", "SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-13 12:00:00' AND ts <= TIMESTAMP '2024-01-21 12:00:00'")
@@ -36,7 +40,7 @@ def recent_instants(spark, sf):
 @query("articles_in_plan_window", f"SELECT a.id, a.plan_id, a.pub_date FROM {DATED} a JOIN {PLANS} p ON p.id = a.plan_id WHERE a.pub_date BETWEEN {CUTOFF}::DATE AND DATE '{NOW[:10]}'")
 def articles_in_plan_window(spark, sf):
     t = Tables(spark, sf)
-    return joins.articles_in_plan_window(t.dated(), windows(t), "pub_date", now).select("id", "plan_id", "pub_date")
+    return joins.articles_in_plan_window(t.dated(), windows(t), "pub_date", now()).select("id", "plan_id", "pub_date")
 
 
 STYLES = "CASE id % 6 WHEN 0 THEN strftime(pub_date, '%Y-%m-%d') WHEN 1 THEN strftime(pub_date, '%B %-d, %Y') ELSE '' END"
@@ -46,7 +50,7 @@ STYLES = "CASE id % 6 WHEN 0 THEN strftime(pub_date, '%Y-%m-%d') WHEN 1 THEN str
 def normalize_date(spark, sf):
     d, k = F.col("pub_date"), F.col("id") % 7
     raw = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "MMMM d, yyyy")).when(k == 2, F.concat(F.lit("Published on "), F.date_format(d, "d MMM yyyy"))).when(k == 3, F.date_format(d, "yyyy-MM-dd'T'08:30:00'Z'")).when(k == 4, F.date_format(d, "MM/dd/yyyy")).when(k == 5, "3 weeks ago").otherwise("soon")
-    return Tables(spark, sf).dated().select("id", dates.normalize_date(raw, now).alias("date"))
+    return Tables(spark, sf).dated().select("id", dates.normalize_date(raw, now()).alias("date"))
 
 
 @query("find_date_text", f"SELECT id, CASE id % 3 WHEN 0 THEN strftime(pub_date, '%Y-%m-%d') WHEN 1 THEN strftime(pub_date, '%-d %b %Y') END AS found FROM {DATED}")
@@ -74,7 +78,7 @@ def next_run(spark, sf):
     k = F.col("id")
     freq = F.element_at(F.array(*map(F.lit, ["daily", "weekly", "monthly", "interval"])), (k % 4 + 1).cast("int"))
     clock = F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":00"))
-    return Tables(spark, sf).plans().select("id", dates.next_run(now, freq, clock, F.array(F.lit("Tue"), F.lit("Thu")), (k % 28 + 1).cast("int"), F.lit(45)).alias("next"))
+    return Tables(spark, sf).plans().select("id", dates.next_run(now(), freq, clock, F.array(F.lit("Tue"), F.lit("Thu")), (k % 28 + 1).cast("int"), F.lit(45)).alias("next"))
 
 
 @query("format_duration", "SELECT event_id AS id, CASE WHEN s = 0 THEN '0s' ELSE trim(CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' ELSE '' END || CASE WHEN s % 3600 >= 60 THEN (s % 3600 // 60) || 'm ' ELSE '' END || CASE WHEN s % 60 > 0 THEN (s % 60) || 's' ELSE '' END) END AS out FROM (SELECT event_id, event_id * 7 % 9000 AS s FROM events)")
@@ -312,7 +316,7 @@ def article_counts(spark, sf):
 @query("overview", f"SELECT (SELECT count(*) FROM {PLANS} WHERE status = 'running') AS running, (SELECT count(*) FROM {DATED} WHERE pub_date = DATE '2001-07-10') AS today, (SELECT count(*) FROM events WHERE event_type = 'signup') AS emails, (SELECT count(*) FROM events WHERE event_type = 'error') AS errors")
 def overview(spark, sf):
     t = Tables(spark, sf)
-    return stats.overview(t.plans(), t.dated(), t.log().where("type = 'signup'"), t.log(), now.cast("date"))
+    return stats.overview(t.plans(), t.dated(), t.log().where("type = 'signup'"), t.log(), now().cast("date"))
 
 
 @query("top_sources", f"SELECT CASE WHEN company = '5-LOW' THEN 'Unknown source' ELSE company END AS source, count(*) AS articles FROM {DATED} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")

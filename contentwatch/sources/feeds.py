@@ -28,7 +28,10 @@ def xml_kind(body: Column) -> Column:
 
 def _parsed(docs: DataFrame, kind: str, schema: str) -> DataFrame:
     some = docs.where(sniff_xml(F.col("body")) & (xml_kind(F.col("body")) == kind))
-    return some.select(F.col("url").alias("source"), F.from_xml("body", schema, {"mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE"}).alias("x"))
+    # a root with a prefix has it on its elements too; from_xml takes names as written
+    prefix = F.concat(F.regexp_extract("body", r"<([\w.-]+:)(?:urlset|sitemapindex|rss|feed)\b", 1))
+    plain = F.when(prefix == "", F.col("body")).otherwise(F.replace(F.replace("body", F.concat(F.lit("<"), prefix), F.lit("<")), F.concat(F.lit("</"), prefix), F.lit("</")))
+    return some.select(F.col("url").alias("source"), F.from_xml(plain, schema, {"mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE"}).alias("x"))
 
 
 def _clean(url: Column) -> Column:
