@@ -88,7 +88,7 @@ def read_back(formatted: Column) -> Column:
     """array<struct<role, text>> of a formatted conversation."""
     turns = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda x: x != "")
     body = lambda x: F.substring(x, F.instr(x, "\n") + 1, F.length(x))
-    text = lambda x: F.expr("1") if x is None else F.substring(body(x), F.lit(1), F.length(body(x)) - len(STOP) - 1)
+    text = lambda x: F.substring(body(x), F.lit(1), F.length(body(x)) - len(STOP) - 1)
     return F.transform(turns, lambda x: F.struct(unescape_role(F.substring_index(x, "\n", 1)).alias("role"), unescape(text(x)).alias("text")))
 
 

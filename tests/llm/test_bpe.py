@@ -10,9 +10,7 @@ from contentwatch.llm import bpe
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
 
-@pytest.fixture(scope="module")
-def small():
-    return bpe.TreeBpe(bpe._content(PATH), P.PATTERN, leaf=16, window=4)
+TREE = bpe.TreeBpe(bpe._content(PATH), P.PATTERN, leaf=16, window=4)
 
 
 def same(tree, text):
@@ -25,15 +23,12 @@ def same(tree, text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aab  \n\t'sé漢1-𝛼́."), max_size=200))
 def test_texts_encode_as_the_library_does(text):
-    same(bpe.TreeBpe(b"", P.PATTERN) if False else TREE, text)
-
-
-TREE = bpe.TreeBpe(bpe._content(PATH), P.PATTERN, leaf=16, window=4)
+    same(TREE, text)
 
 
 @pytest.mark.parametrize("text", ["", " ", "a" * 5000, " " * 3000, "ab" * 2000 + " " * 50 + "x" * 700, "é" * 900, "<|endoftext|>" * 40, "it's we'll they've " * 60, "\r\n" * 400, "thethe" * 500])
-def test_long_runs(small, text):
-    same(small, text)
+def test_long_runs(text):
+    same(TREE, text)
 
 
 @settings(max_examples=200, deadline=None)
