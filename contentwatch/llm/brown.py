@@ -1,6 +1,6 @@
 """Operator 3: language-model scores from Brown class-based n-grams.
 
-Every word belongs to a unit: the ``frequent`` most common words are units of their own, all other words share one
+Every word belongs to a unit: up to ``frequent`` of the most common words are units of their own, all other words share one
 with those that end in the same two bytes.  Exchange clustering (Brown et al. 1992; Uszkoreit & Brants 2008 for the
 distributed form) assigns units to classes: in each round half of the units move to the class that makes their
 neighbours' classes most likely.  A word's probability is
@@ -15,7 +15,7 @@ All counts cover all training rows.  What goes through the driver has a size fix
 the ending groups (65,536 at most) and their classes.  Other words meet their counts in a join.
 
 Cases: null and empty texts have one token, the end; words never seen in training have count 0 and the group of their
-ending, or one group for endings never seen; ties among common words go by hash; without training rows every class is
+ending, or one group for endings never seen; common words are told by counts, and where only some of equal counts could be, none is; without training rows every class is
 as likely as any other; repeated rows are scored each; an empty table gives no rows.
 """
 
@@ -143,12 +143,25 @@ class Model:
         self.log_emit = np.log10((self.unit_n + ADD) / (n + ADD * members)[self.classes]) - self.log_unit_size
 
 
+def most_common(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, by eighths of powers of two, as far as they are at most ``most``."""
+    level = F.floor(F.log2("n") * 8)
+    sizes = sorted((r.level, r.words) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect())
+    held, least = 0, None
+    for at, words in reversed(sizes):
+        held += words
+        if held > most:
+            break
+        least = at
+    return counts.where(level >= least) if least is not None else counts.where("false")
+
+
 def prepare(texts: DataFrame, frequent: int = FREQUENT, common: int = COMMON) -> tuple[Model, DataFrame]:
     """(model without classes, the written word counts) of the column text."""
     counts = written(word_counts(texts), "word-counts")
     n_texts = texts.count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(common).toPandas()
+    top = most_common(counts, common).toPandas()
     order = np.lexsort((top["word"].to_numpy(), -top["n"].to_numpy()))
     words, n, ending = (top[c].to_numpy()[order] for c in ("word", "n", "ending"))
     groups = {r.ending: [r.n, r.words] for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
