@@ -75,7 +75,7 @@ def _word(fingerprint: str, i: int):
 
 def search(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(query, found, distance): distinct fingerprints of ``table`` within ``radius`` of each distinct one of ``queries``; both have a column fingerprint."""
-    blocks = blocks or 2 * radius + 2
+    blocks = blocks or radius + 2
     digits = BITS // 4
     edges = [digits * i // blocks for i in range(blocks + 1)]
     choices = list(combinations(range(blocks), blocks - radius))
@@ -85,21 +85,22 @@ def search(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: i
         keys = F.array(*[F.xxhash64(F.lit(t), *[parts[x] for x in choice]) for t, choice in enumerate(choices)])
         return df.select(F.col("fingerprint").alias(name)).distinct().select(name, F.explode(keys).alias("key"))
 
-    pairs = keyed(queries, "query").join(keyed(table, "found"), "key")
+    # a merge join: the keys of either side grow with the table, so none of them is to be broadcast
+    pairs = keyed(queries, "query").hint("merge").join(keyed(table, "found"), "key")
     distance = sum((F.bit_count(_word("query", i).bitwiseXOR(_word("found", i))) for i in range(4)), F.lit(0))
     return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).select("query", "found", "distance").distinct()
 
 
-def with_next(df: DataFrame, key: str, text: str, carried: str) -> DataFrame:
+def with_next(df: DataFrame, key: str, text: str, carried: str, ids: DataFrame | None = None) -> DataFrame:
     """(key, text, carried, edited, next_carried): each row with the next one in the order of ``key``, the first after the last.
 
     Rows go to ranges of ids; a range's first row is sent to the range before as well.  ``edited`` is the text with its
-    last quarter of characters replaced by as many of the next one's first.
+    last quarter of characters replaced by as many of the next one's first.  ids: the same keys where reading them costs less.
     """
     spark, n = df.sparkSession, partitions(df.sparkSession)
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
-    low, cut = df.select(order.alias("o")).agg(F.min("o"), F.percentile_approx("o", shares, F.lit(100 * n))).first()
+    low, cut = (df if ids is None else ids).select(order.alias("o")).agg(F.min("o"), F.percentile_approx("o", shares, F.lit(100 * n))).first()
     bounds = np.array(sorted({low, *cut}) if low is not None else [0], np.int64)  # ids that occur; at most one a partition
     schema = T.StructType([df.schema[key], T.StructField(text, T.StringType()), T.StructField(carried, T.StringType()), T.StructField("o", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("own", T.BooleanType())])
 
@@ -138,12 +139,12 @@ def with_next(df: DataFrame, key: str, text: str, carried: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: fingerprints of every document and of its edited text; n_near: for ids divisible by 50, the other distinct fingerprints within the radius (else null)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    paired = with_next(fingerprints(docs), "doc_id", "text", "fingerprint")
+    paired = with_next(fingerprints(docs), "doc_id", "text", "fingerprint", docs.select("doc_id"))
     edited = fingerprints(paired.select("doc_id", "fingerprint", "next_carried", F.length("text").cast("long").alias("n_chars"), "edited"), "edited", "edited_fingerprint")
     digests = written(edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_carried"), "simhash")
     asked = F.col("doc_id") % 50 == 0
     near = search(digests.where(asked), digests).where("query != found").groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("n"))
-    found = digests.join(near, "fingerprint", "left")
+    found = digests.join(near.hint("merge"), "fingerprint", "left")
     return found.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_carried").alias("near_next"),
