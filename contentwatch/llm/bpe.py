@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from contentwatch.llm.common import arrow_lists, slices
+from contentwatch.llm.common import arrow_lists, bounded_batches, slices
 
 LEAF = 4096
 WINDOW = 1024
@@ -183,6 +183,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``df`` with the ids (array<int>) of each text.  The rank file is read on the driver and sent along."""
+    bounded_batches(df.sparkSession)
     path, pattern = _defaults(path, pattern)
     content = df.sparkSession.sparkContext.broadcast(_content(path))
 

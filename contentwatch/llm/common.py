@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words of the contracts: runs of anything but space and the ASCII controls tab to carriage return.
@@ -44,6 +45,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets the session send at most ``most`` bytes to a Python worker at once, if it would send more; texts are long, and tasks share memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    value = spark.conf.get(key, f"{64 << 20}").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(value[-1:], 0)
+    if int(value.rstrip("kmg")) << unit > most:
+        spark.conf.set(key, f"{most}b")
+
+
 def binaries(column: pa.Array) -> list[bytes]:
     """The values of a string or binary column as UTF-8; null gives empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
@@ -55,8 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.names.index(text))
-        sizes = [len(x) for x in binaries(column)]
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(text))), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > most:

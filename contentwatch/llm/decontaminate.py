@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentwatch.llm.common import binaries, slices
+from contentwatch.llm.common import binaries, bounded_batches, slices
 from contentwatch.llm.words import Words, grams, grams_at
 
 #: Bytes between words: all ASCII but digits and letters.
@@ -119,6 +119,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     if clash := {"n_words", "hit_spans", "hit_items"} & set(docs.columns):
         raise ValueError(f"columns already there: {sorted(clash)}")
     spark = docs.sparkSession
+    bounded_batches(spark)
     total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     names, kept_columns = docs.columns, len(docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentwatch.llm.common import slices, written
+from contentwatch.llm.common import bounded_batches, slices, written
 from contentwatch.llm.words import mix
 
 MARK, CUT = 0x2581, 32
@@ -159,6 +159,7 @@ def model_vocabulary(path: str | None) -> list[str]:
 def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", by: str = "doc_id", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities (pieces + 1, languages)); the size is bounded by the vocabulary and LANGUAGES."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     sizes = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(lang).limit(LANGUAGES + 1).collect()}
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -215,13 +216,13 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value[0])
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, 1 << 20):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             code, starts, stops, offsets = lattice.words(texts)
             found, scores = [UND] * len(texts), np.zeros(len(texts))
             if len(starts) and languages:
                 matrix, lengths, row = lattice.distinct(code, starts, stops)
-                logs = np.concatenate([lattice.log_probability(matrix[i : i + 20_000, : int(lengths[i])], lengths[i : i + 20_000], shared.value[1]) for i in range(0, len(lengths), 20_000)])
+                logs = np.concatenate([lattice.log_probability(matrix[i : i + 8_000, : int(lengths[i])], lengths[i : i + 8_000], shared.value[1]) for i in range(0, len(lengths), 8_000)])
                 sums = np.zeros((len(row) + 1, len(languages)))
                 np.cumsum(logs[row], axis=0, out=sums[1:])
                 own = sums[offsets[1:]] - sums[offsets[:-1]]

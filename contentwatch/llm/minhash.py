@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentwatch.llm.common import SPACES, arrow_lists, binaries, slices, written
+from contentwatch.llm.common import SPACES, arrow_lists, binaries, bounded_batches, slices, written
 from contentwatch.llm.components import components
 from contentwatch.llm.words import Words, grams, mix
 
@@ -59,6 +59,7 @@ def _salts(count: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, class, left, right): the set's size and digest and the groups of both collections; class is null and the groups are empty for an empty set."""
+    bounded_batches(docs.sparkSession)
     count = 2 * groups * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contentwatch.llm.common import SPACES, binaries, slices
+from contentwatch.llm.common import SPACES, binaries, bounded_batches, slices
 from contentwatch.llm.words import Words, grams, mix
 
 WINDOW, BITS = 16, 2
@@ -98,6 +98,8 @@ class Chunks:
 def triples(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, row, key, start, stop): every run of three chunks, its digest and characters; row: the text's hash."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks()
         for batch in slices(batches, "text", 1 << 20):
