@@ -1,4 +1,6 @@
+import random
 import re
+from pathlib import Path
 
 from contentwatch.llm import licenses as li
 
@@ -41,3 +43,31 @@ def test_query(spark, small_tables):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small_tables}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in li.query(spark, small_tables).collect())
     assert got == brute(docs) and got
+
+
+def test_complete_texts_and_notices_inside_sentences(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    full = [p.stem for p in (Path(li.__file__).parent / "license_texts").glob("*.txt")]
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0"} <= set(full)
+    docs, want = [], {}
+    for name in full:
+        whole, block = li.TEMPLATES[name], " ".join(li.TEMPLATES[name].split())
+        for kind, text in (("text", whole), (None, f"{prose(300)}\n\n{whole}\n\n{prose(300)}"), (None, f"{prose(50)}. {block} {prose(50)}\n{prose(9)}")):
+            want[len(docs)] = (kind, name)
+            docs.append((len(docs), text))
+    notice = "was released under the MIT License"
+    docs += [(900, f"{prose(30)} This file {notice} by its authors, {prose(9)}; the other one {notice} too."), (901, prose(400)), (902, None), (903, "")]
+    got = {}
+    for r in li.scan_with_runs(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.unit, r.license, r.dice, r.place))
+    for d, (kind, name) in want.items():
+        assert any(kind in (None, u) and x == name and dice >= li.THRESHOLD for u, x, dice, _ in got[d]), (d, kind, name, got.get(d))
+    text = docs[-4][1]
+    assert sorted(got[900]) == [("run", "MIT notice", 1.0, i) for i in (33, 54)] and [w for i in (33, 54) for w in text.split()[i : i + 1]] == ["released"] * 2
+    assert not {901, 902, 903} & set(got)
+
+
+def test_runs_repeat_no_unit(spark, small_tables):
+    df = spark.read.parquet(f"{small_tables}/documents.parquet")
+    assert sorted(map(tuple, li.scan_with_runs(df).collect())) == sorted(map(tuple, li.scan(df).collect()))
