@@ -192,6 +192,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One row of each component stays: that of the least id, null ids last; of equal ids that of the least key."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")  # names a row; equal rows are one
+    named = near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = docs.select(key.alias("_key"), "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))).getField("_key").alias("_key")
+    kept = named.join(ids, "_key").groupBy("component_id").agg(first).select("_key")
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

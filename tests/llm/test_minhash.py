@@ -81,3 +81,14 @@ def test_components_of_a_chain_and_a_hub(spark, n):
 def test_query(spark, small_tables):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small_tables}/documents.parquet").collect()]
     assert result(mh.query(spark, small_tables)) == brute(docs)
+
+
+def test_stage_keeps_one_row_of_each_component(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = words[:90] + ["x"] + words[91:150] + ["y"] + words[151:170] + ["z"] + words[171:]  # 15 of 196 shingles differ
+    a, b = " ".join(words), " ".join(near)
+    # ids shared by a near copy and a clean text, clean rows and copies without an id
+    docs = [(1, a), (2, b), (2, "a clean text under an id that is used twice"), (None, "clean without id"), (None, "clean without id"), (None, a), (None, "another without id")]
+    got = mh.stage(spark, spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, kind string"), "")
+    want = [(None, "another without id"), (None, "clean without id"), (1, a), (2, docs[2][1])]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=lambda r: (r[0] or 0, r[1])) == want
