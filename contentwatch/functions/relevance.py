@@ -46,8 +46,7 @@ def tfidf_relevance(prompt: Column, title: Column, text: Column, stops: list[str
 
     With two documents the smoothed weight is 1 for a word in both and ln(3/2) + 1 for one in either.
     """
-    listed = F.array(*map(F.lit, stops))
-    words = lambda c: F.array_sort(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~F.array_contains(listed, w)))
+    words = lambda c: F.array_sort(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(stops)))
     rare = 1.4054651081081644
     count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w)).cast("double")
     norm = lambda ws, both: F.sqrt(F.aggregate(F.array_distinct(ws), F.lit(0.0), lambda s, w: s + F.pow(count(ws, w) * F.when(F.array_contains(both, w), 1.0).otherwise(rare), 2.0)))

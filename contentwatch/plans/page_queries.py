@@ -29,9 +29,19 @@ def parse_pages(spark, sf):
     return parsed(spark, sf).select("page_id", F.size("page.paragraphs").cast("long").alias("paragraphs"), F.size("page.links").cast("long").alias("links"), "page.lang")
 
 
-@query("page_title", "SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+PLAIN_H1 = "replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query("page_title", f"""
+WITH p AS (SELECT page_id, coalesce(nullif({PLAIN_H1}, ''), {PLAIN_H1.replace("h1", "title")}) AS title FROM pages)
+SELECT page_id, title, CASE WHEN page_id % 3 = 0 THEN 'Shared ' || page_id ELSE title END AS og, CASE page_id % 3 WHEN 0 THEN 'Shared ' || page_id WHEN 1 THEN 'Told ' || page_id ELSE title END AS social FROM p
+""")
 def page_title(spark, sf):
-    return parsed(spark, sf).select("page_id", html.page_title(F.struct(F.array().cast("array<string>").alias("h1"), F.col("page.meta").alias("meta"), F.col("page.title").alias("title"))).alias("title"))
+    """The three orders, over pages of which a third names a title for sharing and another one for messages."""
+    k = F.col("page_id") % 3
+    add = F.when(k == 0, F.concat(F.lit('<meta property="og:title" content="Shared '), "page_id", F.lit('">'))).when(k == 1, F.concat(F.lit('<meta name="twitter:title" content="Told '), "page_id", F.lit('">'))).otherwise("")
+    pages = html.parse_pages(Tables(spark, sf).pages.withColumn("html", F.concat("html", add)))
+    return pages.select("page_id", html.page_title(F.col("page")).alias("title"), html.page_title(F.col("page"), "og").alias("og"), html.page_title(F.col("page"), "social").alias("social"))
 
 
 @query("page_text")
@@ -132,17 +142,17 @@ def sniff_xml(spark, sf):
 
 @query("parse_sitemap", f"SELECT 'https://s/' || plan_id AS source, url, strftime(pub_date, '%Y-%m-%d') AS date_raw FROM {WHOLE}")
 def parse_sitemap(spark, sf):
-    return feeds.parse_sitemap(bodies(spark, sf, "sitemap").where("url NOT LIKE '%9'")).select("source", "url", "date_raw")
+    return feeds.parse_sitemap(bodies(spark, sf, "sitemap")).select("source", "url", "date_raw")
 
 
 @query("parse_rss", f"SELECT 'https://s/' || plan_id AS source, url, title, strftime(pub_date, '%Y-%m-%d') AS date_raw, 'about ' || id AS summary FROM {WHOLE}")
 def parse_rss(spark, sf):
-    return feeds.parse_rss(bodies(spark, sf, "rss").where("url NOT LIKE '%9'")).drop("pos")
+    return feeds.parse_rss(bodies(spark, sf, "rss")).drop("pos")
 
 
 @query("parse_atom", f"SELECT 'https://s/' || plan_id AS source, url, title, strftime(pub_date, '%Y-%m-%d') AS date_raw, 'text' AS summary FROM {WHOLE}")
 def parse_atom(spark, sf):
-    return feeds.parse_atom(bodies(spark, sf, "atom").where("url NOT LIKE '%9'")).drop("pos")
+    return feeds.parse_atom(bodies(spark, sf, "atom")).drop("pos")
 
 
 def index_bodies(spark, sf):
@@ -160,7 +170,7 @@ def parse_sitemap_index(spark, sf):
 @query("resolve_sitemaps", f"SELECT 'https://root/' || (plan_id % 20) AS root, url, count(*) AS n FROM {WHOLE} GROUP BY 1, 2")
 def resolve_sitemaps(spark, sf):
     roots = index_bodies(spark, sf)
-    docs = roots.unionByName(bodies(spark, sf, "sitemap").where("url NOT LIKE '%9'"))
+    docs = roots.unionByName(bodies(spark, sf, "sitemap"))
     return feeds.resolve_sitemaps(roots.select("url"), docs).groupBy("root", "url").agg(F.count("*").alias("n"))
 
 

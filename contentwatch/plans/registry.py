@@ -24,4 +24,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     esg = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)\\b({w})\\b') THEN '{n}'" for n, w in url_queries.text.ESG.items()) + " ELSE 'General' END"
     flagship_sql = f"SELECT source, category, count(*) AS articles, min(doc_id) AS first_id FROM (SELECT source, doc_id, {esg} AS category FROM documents QUALIFY row_number() OVER (PARTITION BY md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) ORDER BY doc_id) = 1) GROUP BY 1, 2"
-    return {"flagship": flagship_sql} | {k: v for k, v in catalog.ORACLES.items() if v != "@"} | url_queries.late_sql()
+    return {"flagship": flagship_sql} | catalog.ORACLES

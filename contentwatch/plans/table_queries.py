@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentwatch.functions import dates
+from contentwatch.functions.text import STOP_WORDS, with_simhash
 from contentwatch.operators import dedup, digest, gates, joins, stats
 from contentwatch.plans.catalog import ARTICLES, DATED, LOG, NOW, PLANS, Tables, query
+from contentwatch.plans.url_queries import SIMHASHES
 
 N = f"TIMESTAMP '{NOW}'"
 
@@ -156,16 +158,19 @@ EDGES = "(SELECT o_custkey AS src, (o_custkey * 7 + o_orderkey % 5) % 1500 AS ds
 
 
 @query("link_reach", f"""
-WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {EDGES} WHERE src <> dst),
-s AS (SELECT unnest([3, 500, 1200])::BIGINT AS seed),
-w AS (SELECT seed, seed AS url, 0 AS depth FROM s UNION SELECT seed, dst, depth + 1 FROM w JOIN e ON e.src = w.url WHERE depth < 2)
-SELECT seed, url, min(depth) AS depth FROM w GROUP BY 1, 2
+WITH s AS (SELECT c_custkey AS seed FROM customer WHERE c_custkey % 20 = 3),
+f1 AS (SELECT seed, dst AS url, min(pos) AS pos FROM s JOIN {EDGES} e ON e.src = s.seed WHERE dst <> seed GROUP BY 1, 2),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY pos) AS rank FROM f1 QUALIFY rank + 1 <= 12),
+f2 AS (SELECT seed, dst AS url, min(rank * 1000000000 + e.pos) AS pos FROM l1 JOIN {EDGES} e ON e.src = l1.url WHERE dst <> seed AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.seed = l1.seed AND x.url = dst) GROUP BY 1, 2),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY pos) AS rank FROM f2 QUALIFY rank + 1 + (SELECT count(*) FROM l1 x WHERE x.seed = f2.seed) <= 12)
+SELECT seed, seed AS url, 0 AS depth FROM s UNION ALL SELECT seed, url, 1 FROM l1 UNION ALL SELECT seed, url, 2 FROM l2
 """)
 def link_reach(spark, sf):
+    """Walks from a twentieth of the plans, with a budget that cuts their second level."""
     t = Tables(spark, sf)
     edges = t.orders.select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 5) % 1500).alias("dst"), F.col("o_orderkey").cast("int").alias("pos"))
-    seeds = t.customer.where("c_custkey IN (3, 500, 1200)").select(F.col("c_custkey").alias("seed"))
-    return joins.link_reach(edges, seeds, 2, 5000)
+    seeds = t.customer.where("c_custkey % 20 = 3").select(F.col("c_custkey").alias("seed"))
+    return joins.link_reach(edges, seeds, 2, 12)
 
 
 @query("cascade_delete", f"SELECT id FROM {DATED} WHERE plan_id % 5 <> 0")
@@ -175,22 +180,24 @@ def cascade_delete(spark, sf):
     return joins.cascade_delete(t.plans(), t.dated(), t.dated().select("plan_id", "url"), doomed)[1].select("id")
 
 
-SIM = "(SELECT DISTINCT (o_custkey::BIGINT * 7919 % 4096) * 262147 AS v FROM orders)"
-
-
-@query("near_duplicate_pairs", f"SELECT a.v AS value, b.v AS other FROM {SIM} a JOIN {SIM} b ON a.v <> b.v AND a.v <> 0 AND b.v <> 0 AND bit_count(xor(a.v, b.v)) <= 3")
+@query("near_duplicate_pairs", f"""
+WITH v AS (SELECT DISTINCT simhash AS v FROM ({SIMHASHES}) WHERE simhash <> 0)
+SELECT a.v AS value, b.v AS other FROM v a JOIN v b ON a.v <> b.v AND bit_count(xor(a.v, b.v)) <= 3
+""")
 def near_duplicate_pairs(spark, sf):
-    return dedup.near_simhashes(Tables(spark, sf).orders.select(((F.col("o_custkey").cast("long") * 7919 % 4096) * 262147).alias("value")))
+    documents = Tables(spark, sf).documents.select("doc_id", "text")
+    return dedup.near_simhashes(with_simhash(documents).select(F.col("simhash").alias("value")))
 
 
 @query("similar_title_pairs")
 def similar_title_pairs(spark, sf):
-    return dedup.similar_titles(Tables(spark, sf).pages.select(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("value")))
+    """Among the plans' names, of which many differ in a digit."""
+    return dedup.similar_titles(Tables(spark, sf).customer.select(F.lower("c_name").alias("value")))
 
 
 @query("deduplicate")
 def deduplicate(spark, sf):
-    from contentwatch.functions.text import content_hash, strip_tags, with_simhash
+    from contentwatch.functions.text import content_hash, strip_tags
     from contentwatch.functions.urls import normalize_url
 
     text = strip_tags(F.col("html"))
@@ -298,10 +305,8 @@ def rank_links_by_keywords(spark, sf):
 
 @query("search_sentences")
 def search_sentences(spark, sf):
-    from contentwatch.functions.text import stop_words
-
     a = Tables(spark, sf).articles().withColumn("summary", F.col("content"))
-    return stats.search_sentences(a, "Which whation shonthe ereron?", stop_words(), 3)
+    return stats.search_sentences(a, "Which whation shonthe ereron?", STOP_WORDS, 3)
 
 
 # aggregates

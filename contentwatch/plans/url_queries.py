@@ -99,14 +99,17 @@ def content_hash(spark, sf):
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')"
 
 
-@query("simhash64", f"""
+SIMHASHES = f"""
 WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 s AS (SELECT doc_id, unnest(list_distinct(list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+3], ' ')))) AS s FROM w WHERE len(ws) >= 4),
 h AS (SELECT doc_id, ('0x' || substr(md5(s), 17, 16))::UBIGINT AS h FROM s),
 b AS (SELECT doc_id, i, 2 * sum((h >> i) & 1) > count(*) AS lit FROM h, (SELECT unnest(generate_series(0, 63)) AS i) GROUP BY doc_id, i),
 v AS (SELECT doc_id, sum(CASE WHEN lit THEN CASE WHEN i = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << i) END ELSE 0 END)::BIGINT AS simhash FROM b GROUP BY doc_id)
 SELECT d.doc_id, coalesce(simhash, 0) AS simhash FROM documents d LEFT JOIN v USING (doc_id)
-""")
+"""
+
+
+@query("simhash64", SIMHASHES)
 def simhash64(spark, sf):
     return text.with_simhash(Tables(spark, sf).documents.select("doc_id", "text")).drop("text")
 
@@ -149,11 +152,15 @@ def lead_summary(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", text.lead_summary(F.col("text")).alias("summary"))
 
 
-def _stem_sql(w: str) -> str:
+def _suffixes_off(w: str) -> str:
     first = f"CASE WHEN {w} LIKE '%ies' THEN left({w}, -3) || 'y' WHEN {w} LIKE '%ying' THEN left({w}, -4) || 'y' WHEN {w} LIKE '%ing' THEN left({w}, -3) WHEN {w} LIKE '%ed' OR {w} LIKE '%es' THEN left({w}, -2) WHEN {w} LIKE '%s' THEN left({w}, -1) ELSE {w} END"
     for pattern, put in (("ational$", "ate"), ("tional$", "tion"), ("al$", ""), ("ment$", ""), ("ity$", ""), ("ive$", ""), ("tory$", ""), ("tion$", "")):
         first = f"regexp_replace({first}, '{pattern}', '{put}')"
-    return f"CASE WHEN length({w}) <= 3 THEN {w} ELSE (SELECT CASE WHEN length(x) > 3 THEN left(x, 5) ELSE x END FROM (SELECT {first} AS x)) END"
+    return first
+
+
+def _stem_sql(w: str) -> str:
+    return f"CASE WHEN length({w}) <= 3 THEN {w} ELSE (SELECT CASE WHEN length(x) > 3 THEN left(x, 5) ELSE x END FROM (SELECT {_suffixes_off(w)} AS x)) END"
 
 
 @query("stem", f"SELECT w AS word, {_stem_sql('w')} AS stem, n FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY 1)")
@@ -162,16 +169,30 @@ def stem(spark, sf):
     return words.groupBy("word").agg(F.count("*").alias("n")).select("word", text.stem(F.col("word")).alias("stem"), "n")
 
 
-def stops_sql() -> str:
-    return "['" + "', '".join(text.stop_words()) + "']"
+STOP_LIST = "['" + "', '".join(text.STOP_WORDS) + "']"
 
 
 CLEAN = "list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains({stops}, w))"
 
 
-@query("clean_keywords", "@")
+def clean(c: str) -> str:
+    """The keywords of a column, in SQL."""
+    return CLEAN.replace("{c}", c).replace("{stops}", STOP_LIST)
+
+
+def stemmed(words: str) -> str:
+    """A list of words as their stems, in SQL; a stem of a word of over three letters keeps at most five."""
+    return f"list_transform({words}, lambda w: CASE WHEN length(w) <= 3 THEN w ELSE left({_suffixes_off('w')}, 5) END)"
+
+
+def rare_words(c: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({STOP_LIST}, w))"
+
+
+
+@query("clean_keywords", f"SELECT item_id, array_to_string({clean('text')}, ' ') AS words FROM benchmark")
 def clean_keywords(spark, sf):
-    return Tables(spark, sf).benchmark.select("item_id", F.array_join(text.clean_keywords(F.col("text"), text.stop_words()), " ").alias("words"))
+    return Tables(spark, sf).benchmark.select("item_id", F.array_join(text.clean_keywords(F.col("text"), text.STOP_WORDS), " ").alias("words"))
 
 
 @query("prompt_keywords", "SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\\s-]', '', 'g'), '\\s+'), lambda w: length(w) > 4 AND NOT list_contains(['about','these','their','there','would','should','could','under','which','after','before'], w)), ' ') AS words FROM benchmark")
@@ -179,11 +200,12 @@ def prompt_keywords(spark, sf):
     return Tables(spark, sf).benchmark.select("item_id", F.array_join(text.prompt_keywords(F.col("text")), " ").alias("words"))
 
 
-@query("merge_keywords", "SELECT p_partkey AS id, array_to_string(list_concat([lower(p_brand)], list_filter([lower(trim(x)) for x in string_split(p_type, ' ')], lambda x: x <> lower(p_brand))), '|') AS words FROM (SELECT p_partkey, p_brand, p_type FROM part) WHERE len(string_split(p_type, ' ')) = len(list_distinct(string_split(p_type, ' ')))")
+@query("merge_keywords", """
+WITH k AS (SELECT p_partkey AS id, lower(trim(w)) AS w, i FROM (SELECT p_partkey, ws[i] AS w, i FROM (SELECT p_partkey, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT p_partkey, list_concat([p_brand], string_split(p_type, ' ')) AS ws FROM part))))
+SELECT id, string_agg(w, '|' ORDER BY i) AS words FROM (SELECT id, w, min(i) AS i FROM k WHERE w <> '' GROUP BY 1, 2) GROUP BY 1
+""")
 def merge_keywords(spark, sf):
-    kinds = F.split("p_type", " ")
-    some = Tables(spark, sf).part.where(F.size(kinds) == F.size(F.array_distinct(kinds)))
-    return some.select(F.col("p_partkey").alias("id"), F.array_join(text.merge_keywords(F.concat(F.lit(" , "), "p_brand", F.lit(",")), kinds), "|").alias("words"))
+    return Tables(spark, sf).part.select(F.col("p_partkey").alias("id"), F.array_join(text.merge_keywords(F.concat(F.lit(" , "), "p_brand", F.lit(",")), F.split("p_type", " ")), "|").alias("words"))
 
 
 @query("esg_category", "SELECT doc_id, " + "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)\\b({w})\\b') THEN '{n}'" for n, w in text.ESG.items()) + " ELSE 'General' END AS category FROM documents")
@@ -191,10 +213,10 @@ def esg_category(spark, sf):
     return Tables(spark, sf).documents.select("doc_id", text.esg_category(F.col("text")).alias("category"))
 
 
-@query("clean_paragraphs", "SELECT doc_id, array_to_string(list(p ORDER BY i), chr(10) || chr(10)) AS out FROM (SELECT doc_id, p, min(i) AS i FROM (SELECT doc_id, i, trim(regexp_replace(ps[i], '\\s+', ' ', 'g')) AS p FROM (SELECT doc_id, ps, unnest(generate_series(1, len(ps))) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS ps FROM documents))) WHERE p <> '' AND NOT regexp_matches(lower(p), '^(share on |share this|follow us)') AND NOT regexp_matches(lower(p), '" + "|".join(text.BOILERPLATE) + "') GROUP BY doc_id, regexp_replace(lower(p), '[^a-z0-9]', '', 'g'), p QUALIFY row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(p), '[^a-z0-9]', '', 'g') ORDER BY min(i)) = 1) GROUP BY 1")
+@query("clean_paragraphs", "SELECT d.doc_id, coalesce(out, '') AS out FROM documents d LEFT JOIN (SELECT doc_id, array_to_string(list(p ORDER BY i), chr(10) || chr(10)) AS out FROM (SELECT doc_id, p, min(i) AS i FROM (SELECT doc_id, i, trim(regexp_replace(ps[i], '\\s+', ' ', 'g')) AS p FROM (SELECT doc_id, ps, unnest(generate_series(1, len(ps))) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS ps FROM documents))) WHERE p <> '' AND NOT regexp_matches(lower(p), '^(share on |share this|follow us)') AND NOT regexp_matches(lower(p), '" + "|".join(text.BOILERPLATE) + "') GROUP BY doc_id, regexp_replace(lower(p), '[^a-z0-9]', '', 'g'), p QUALIFY row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(p), '[^a-z0-9]', '', 'g') ORDER BY min(i)) = 1) GROUP BY 1) x USING (doc_id)")
 def clean_paragraphs(spark, sf):
     out = text.clean_paragraphs(F.regexp_replace("text", "\n", "\n\n"))
-    return Tables(spark, sf).documents.select("doc_id", out.alias("out")).where("out != ''")
+    return Tables(spark, sf).documents.select("doc_id", out.alias("out"))
 
 
 @query("escape_html", "SELECT page_id, length(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS n, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS out FROM pages")
@@ -215,11 +237,17 @@ def strip_html(spark, sf):
 
 
 PROMPT = "Articles about carbon emissions, the regulations of nations and her community"
+LOCAL_PROMPT = PROMPT + " shonthe ereron"
 
 
-@query("local_relevance", "@")
+@query("local_relevance", f"""
+WITH q AS (SELECT list(w ORDER BY i) AS qs FROM (SELECT w, min(i) AS i FROM (SELECT ws[i] AS w, i FROM (SELECT ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT {clean("'" + LOCAL_PROMPT + "'")} AS ws))) GROUP BY 1)),
+s AS (SELECT s, arg_min(w, i) AS w, min(i) AS i FROM (SELECT qs[i] AS w, {stemmed('qs')}[i] AS s, i FROM (SELECT qs, unnest(generate_series(1, len(qs))) AS i FROM q)) GROUP BY 1),
+a AS (SELECT id, {stemmed(clean("title || ' ' || content"))} AS ds FROM {ARTICLES}),
+m AS (SELECT a.id, count(*) FILTER (WHERE list_contains(ds, s)) AS m, count(*) AS n, coalesce(string_agg(w, ',' ORDER BY i) FILTER (WHERE list_contains(ds, s)), '') AS matched FROM a, s GROUP BY 1)
+SELECT id, score, matched, n::INTEGER AS n_terms, score >= 70 AS related FROM (SELECT *, (CASE WHEN m = 0 THEN 0 WHEN m >= least(n, 2) THEN floor(70 + 30 * m / n + 0.5) ELSE floor(50 * m / least(n, 2) + 0.5) END)::INTEGER AS score FROM m)""")
 def local_relevance(spark, sf):
-    found = relevance.local_relevance(F.lit(PROMPT + " shonthe ereron"), F.col("title"), F.col("content"), text.stop_words())
+    found = relevance.local_relevance(F.lit(LOCAL_PROMPT), F.col("title"), F.col("content"), text.STOP_WORDS)
     return Tables(spark, sf).articles().select("id", found.alias("r")).select("id", "r.score", F.array_join("r.matched", ",").alias("matched"), "r.n_terms", "r.related")
 
 
@@ -228,9 +256,15 @@ def term_overlap_relevance(spark, sf):
     return Tables(spark, sf).articles().select("id", relevance.term_overlap_relevance(F.lit(PROMPT), F.col("title"), F.col("content")).alias("score"))
 
 
-@query("tfidf_relevance", "@")
+@query("tfidf_relevance", f"""
+WITH p AS (SELECT w, count(*) AS n FROM (SELECT unnest({rare_words("'" + PROMPT + "'")}) AS w) GROUP BY 1),
+d AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest({rare_words("title || chr(10) || chr(10) || content")}) AS w FROM {ARTICLES}) GROUP BY 1, 2),
+x AS (SELECT d.id, sum(CASE WHEN p.w IS NULL THEN (d.n * (ln(1.5) + 1)) ** 2 ELSE d.n ** 2 END) AS dd, sum(coalesce(d.n * p.n, 0)) AS dot, sum(coalesce(p.n ** 2, 0)) AS pp FROM d LEFT JOIN p USING (w) GROUP BY 1),
+t AS (SELECT sum((n * (ln(1.5) + 1)) ** 2) AS every FROM p),
+r AS (SELECT d.id, sum((p.n * (ln(1.5) + 1)) ** 2) AS rare FROM d JOIN p USING (w) GROUP BY 1)
+SELECT a.id, round(CASE WHEN coalesce(dot, 0) = 0 THEN 0.0 ELSE least(100.0, 250 * dot / (sqrt(dd) * sqrt(pp + every - rare))) END, 6) AS score FROM {ARTICLES} a LEFT JOIN x USING (id) LEFT JOIN r USING (id), t""")
 def tfidf_relevance(spark, sf):
-    return Tables(spark, sf).articles().select("id", F.round(relevance.tfidf_relevance(F.lit(PROMPT), F.col("title"), F.col("content"), text.stop_words()), 6).alias("score"))
+    return Tables(spark, sf).articles().select("id", F.round(relevance.tfidf_relevance(F.lit(PROMPT), F.col("title"), F.col("content"), text.STOP_WORDS), 6).alias("score"))
 
 
 @query("direct_keyword_match", f"SELECT id, len(list_filter(['her', 'stone'], lambda w: contains(lower(title || chr(10) || content), w))) > 0 AS hit FROM {ARTICLES}")
@@ -257,44 +291,10 @@ def parse_verdict(spark, sf):
     return Tables(spark, sf).events.select(F.col("event_id").alias("id"), relevance.parse_verdict(reply).alias("v")).select("id", "v.score", "v.related", "v.reason")
 
 
-@query("key_insights", "@")
-def key_insights(spark, sf):
-    stems = F.array(*[F.lit(s) for s in ("ening", "shon", "entio", "para", "nicht")])
-    return Tables(spark, sf).documents.select("doc_id", F.array_join(text.key_insights(F.col("text"), stems, text.stop_words()), "|").alias("insights"))
-
-
-def late_sql() -> dict[str, str]:
-    """The SQL that needs Spark's stop words, which are read when it is asked for."""
-    stops = stops_sql()
-    clean = lambda c: CLEAN.replace("{c}", c).replace("{stops}", stops)
-    stemmed = lambda words: f"list_transform({words}, lambda w: {_stem_plain('w')})"
-    prompt = PROMPT + " shonthe ereron"
-    words = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({stops}, w))"
-    return {
-        "clean_keywords": f"SELECT item_id, array_to_string({clean('text')}, ' ') AS words FROM benchmark",
-        "local_relevance": f"""
-WITH q AS (SELECT list(w ORDER BY i) AS qs FROM (SELECT w, min(i) AS i FROM (SELECT ws[i] AS w, i FROM (SELECT ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT {clean("'" + prompt + "'")} AS ws))) GROUP BY 1)),
-s AS (SELECT s, arg_min(w, i) AS w, min(i) AS i FROM (SELECT qs[i] AS w, {stemmed('qs')}[i] AS s, i FROM (SELECT qs, unnest(generate_series(1, len(qs))) AS i FROM q)) GROUP BY 1),
-a AS (SELECT id, {stemmed(clean("title || ' ' || content"))} AS ds FROM {ARTICLES}),
-m AS (SELECT a.id, count(*) FILTER (WHERE list_contains(ds, s)) AS m, count(*) AS n, coalesce(string_agg(w, ',' ORDER BY i) FILTER (WHERE list_contains(ds, s)), '') AS matched FROM a, s GROUP BY 1)
-SELECT id, score, matched, n::INTEGER AS n_terms, score >= 70 AS related FROM (SELECT *, (CASE WHEN m = 0 THEN 0 WHEN m >= least(n, 2) THEN floor(70 + 30 * m / n + 0.5) ELSE floor(50 * m / least(n, 2) + 0.5) END)::INTEGER AS score FROM m)""",
-        "tfidf_relevance": f"""
-WITH p AS (SELECT w, count(*) AS n FROM (SELECT unnest({words("'" + PROMPT + "'")}) AS w) GROUP BY 1),
-d AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest({words("title || chr(10) || chr(10) || content")}) AS w FROM {ARTICLES}) GROUP BY 1, 2),
-x AS (SELECT d.id, sum(CASE WHEN p.w IS NULL THEN (d.n * (ln(1.5) + 1)) ** 2 ELSE d.n ** 2 END) AS dd, sum(coalesce(d.n * p.n, 0)) AS dot, sum(coalesce(p.n ** 2, 0)) AS pp FROM d LEFT JOIN p USING (w) GROUP BY 1),
-t AS (SELECT sum((n * (ln(1.5) + 1)) ** 2) AS every FROM p),
-r AS (SELECT d.id, sum((p.n * (ln(1.5) + 1)) ** 2) AS rare FROM d JOIN p USING (w) GROUP BY 1)
-SELECT a.id, round(CASE WHEN coalesce(dot, 0) = 0 THEN 0.0 ELSE least(100.0, 250 * dot / (sqrt(dd) * sqrt(pp + every - rare))) END, 6) AS score FROM {ARTICLES} a LEFT JOIN x USING (id) LEFT JOIN r USING (id), t""",
-        "key_insights": f"""
+@query("key_insights", f"""
 WITH s AS (SELECT doc_id, i, trim(ss[i]) AS s FROM (SELECT doc_id, ss, unnest(generate_series(1, len(ss))) AS i FROM (SELECT doc_id, {PLAIN} AS ss FROM documents))),
 f AS (SELECT doc_id, s, min(i) AS i FROM s WHERE length(s) BETWEEN 30 AND 250 AND list_has_any({stemmed(clean('s'))}, ['ening', 'shon', 'entio', 'para', 'nicht']) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 3)
-SELECT d.doc_id, coalesce(string_agg(s, '|' ORDER BY i), '') AS insights FROM documents d LEFT JOIN f USING (doc_id) GROUP BY 1""",
-    }
-
-
-def _stem_plain(w: str) -> str:
-    first = f"CASE WHEN {w} LIKE '%ies' THEN left({w}, -3) || 'y' WHEN {w} LIKE '%ying' THEN left({w}, -4) || 'y' WHEN {w} LIKE '%ing' THEN left({w}, -3) WHEN {w} LIKE '%ed' OR {w} LIKE '%es' THEN left({w}, -2) WHEN {w} LIKE '%s' THEN left({w}, -1) ELSE {w} END"
-    for pattern, put in (("ational$", "ate"), ("tional$", "tion"), ("al$", ""), ("ment$", ""), ("ity$", ""), ("ive$", ""), ("tory$", ""), ("tion$", "")):
-        first = f"regexp_replace({first}, '{pattern}', '{put}')"
-    # a word of over three letters keeps at most five
-    return f"CASE WHEN length({w}) <= 3 THEN {w} ELSE left({first}, 5) END"
+SELECT d.doc_id, coalesce(string_agg(s, '|' ORDER BY i), '') AS insights FROM documents d LEFT JOIN f USING (doc_id) GROUP BY 1""")
+def key_insights(spark, sf):
+    stems = F.array(*[F.lit(s) for s in ("ening", "shon", "entio", "para", "nicht")])
+    return Tables(spark, sf).documents.select("doc_id", F.array_join(text.key_insights(F.col("text"), stems, text.STOP_WORDS), "|").alias("insights"))

@@ -124,7 +124,7 @@ def test_similar_titles_lose_nothing(spark):
 def test_stems_relevance_and_verdicts(spark):
     words = ["policies", "carrying", "running", "based", "cities", "boxes", "cats", "as", "national", "regulation"]
     assert [r[0] for r in strings(spark, words).select(text.stem(F.col("s"))).collect()] == ["polic", "carry", "runn", "bas", "c", "box", "cat", "as", "nate", "regul"]
-    stops = text.stop_words()
+    stops = text.STOP_WORDS
     score = lambda q, t: one(spark, relevance.local_relevance(F.lit(q), F.lit(""), F.lit(t), stops)["score"])[0]
     assert [score("the of", "x"), score("carbon", "carbon"), score("carbon water solar", "carbon"), score("carbon water solar", "carbon water"), score("carbon", "none")] == [70, 100, 25, 90, 0]
     v = [list(r[0]) for r in strings(spark, ['```json\n{"score": 40}\n```', "nonsense", '{"related": false}', None]).select(relevance.parse_verdict(F.col("s"))).collect()]
