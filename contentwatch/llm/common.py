@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,12 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; its own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and RuntimeError on a cluster."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
-        found = tempfile.mkdtemp(prefix="contentwatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="contentwatch-")
+        _own[context.applicationId] = found
     return found.rstrip("/")
 
 
@@ -27,10 +34,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, reread: cuts the lineage and survives lost executors."""
-    df.write.parquet(path := new_path(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20):
+    """While it lasts, at most ``most`` bytes go to a Python worker at once; texts are long, and tasks share memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder (or ``folder`` in it), reread: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(spark, name)
+    with small_batches(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A folder for intermediate tables, deleted at the end; what leaves the block must be written elsewhere."""
+    folder = new_path(spark, name)
+    try:
+        yield folder
+    finally:
+        remove(spark, folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -40,20 +72,19 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many bars after it as no column of ``df`` (whose names ignore case) has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """As many partitions as the session shuffles to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Lets the session send at most ``most`` bytes to a Python worker at once, if it would send more; texts are long, and tasks share memory."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    value = spark.conf.get(key, f"{64 << 20}").lower().rstrip("b")
-    unit = {"k": 10, "m": 20, "g": 30}.get(value[-1:], 0)
-    if int(value.rstrip("kmg")) << unit > most:
-        spark.conf.set(key, f"{most}b")
-
-
 def binaries(column: pa.Array) -> list[bytes]:
     """The values of a string or binary column as UTF-8; null gives empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()

@@ -6,15 +6,16 @@ m * m tables of 2k hashes from 2 * m * k minima, about the square root of what s
 (Andoni & Indyk 2006; Christiani 2019).  With k = 3 and m = 9, a pair at similarity 0.85 shares a table with probability
 0.9996, one at 0.9 with 0.99998.
 
-Equal sets become one class first, so copies never meet.  In each bucket all classes are compared to its
+Equal sets (by a 128-bit digest) become one class first, so copies never meet.  In each bucket all classes are compared to its
 least one and to that with most copies; what that links is one component, and only members of different
 components are then compared with each other, if enough of their shingles are not theirs alone: a shingle that no
 other compared class has can't be shared, so it counts against both bounds of a pair.  Every link is confirmed on the
 full sets.
 
 Cases: a text with fewer than five words has its whole sequence as one shingle; a null or empty text, or one
-without words, has an empty set and is linked with nothing; repeated rows each come back; a null id never
-names a component; an empty table gives no rows; further columns are kept out of the result.
+without words, has an empty set and is linked with nothing; a very long text is read whole, its minima taken a block of
+shingles at a time; repeated rows each come back; a null id never names a component; an empty table gives no rows;
+further columns, whatever their names, are kept out of the result of ``near_duplicates`` and kept by ``stage``.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentwatch.llm.common import SPACES, arrow_lists, binaries, bounded_batches, slices, written
+from contentwatch.llm.common import SPACES, arrow_lists, binaries, free_name, scratch, slices, written
 from contentwatch.llm.components import components
 from contentwatch.llm.words import Words, grams, mix
 
 SHINGLE, PERCENT = 5, 85
 GROUPS, ROWS = 9, 3
+STAGE_PERCENT, STAGE_GROUPS = 80, 10  # of the pipeline: a pair at 0.8 shares a table with probability 0.9985
 SEED = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(1 << 63)
 
@@ -44,9 +46,10 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return found[np.append(True, found[1:] != found[:-1])]
 
 
-def class_of(found: np.ndarray) -> int:
-    """A 64-bit digest of the whole set; equal sets have equal ones, other sets but for chance other ones."""
-    return int((mix(found.sum(keepdims=True)) ^ mix(mix(found ^ SEED).sum(keepdims=True)) + np.uint64(len(found)))[0])
+def class_of(found: np.ndarray) -> bytes:
+    """A 128-bit digest of the whole set; equal sets have equal ones, other sets but for chance other ones."""
+    both = np.stack([found.sum(), mix(found ^ SEED).sum() + np.uint64(len(found))])
+    return mix(both).tobytes()
 
 
 def _multipliers(count: int) -> np.ndarray:
@@ -59,7 +62,6 @@ def _salts(count: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, class, left, right): the set's size and digest and the groups of both collections; class is null and the groups are empty for an empty set."""
-    bounded_batches(docs.sparkSession)
     count = 2 * groups * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +78,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                     left.append(none)
                     right.append(none)
                     continue
-                classes.append(class_of(own) - (1 << 63))
+                classes.append(class_of(own))
                 minima = np.full((count, 1), ~np.uint64(0))
                 for i in range(0, len(own), 1 << 14):
                     minima = np.minimum(minima, ((own[None, i : i + (1 << 14)] ^ salts) * times).min(axis=1, keepdims=True))
@@ -86,9 +88,9 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
                 left.append(grouped[:groups])
                 right.append(grouped[groups:])
             lists = [arrow_lists([x.view(np.int64) for x in side], pa.int64()) for side in (left, right)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *lists], ["doc_id", "n_shingles", "class", "left", "right"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), *lists], ["doc_id", "n_shingles", "class", "left", "right"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class long, left array<long>, right array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class binary, left array<long>, right array<long>")
 
 
 def full_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -99,13 +101,13 @@ def full_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         for batch in slices(batches, "text"):
             hashes, offsets = words(binaries(batch.column(0)))
             found = [x for a, b in zip(offsets[:-1], offsets[1:]) if len(x := shingles(hashes[a:b], size))]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) - (1 << 63) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["class", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["class", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "class long, shingles binary")
+    return docs.select("text").mapInArrow(run, "class binary, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (x, y) pairs of classes with 100 * |intersection| >= percent * |union|."""
+    """The (x, y) pairs of class numbers with 100 * |intersection| >= percent * |union|."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,73 +119,82 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64())).select(["x", "y"])
 
-    x = sets.select(F.col("class").alias("x"), F.col("shingles").alias("a"))
-    y = sets.select(F.col("class").alias("y"), F.col("shingles").alias("b"))
+    x = sets.select(F.col("num").alias("x"), F.col("shingles").alias("a"))
+    y = sets.select(F.col("num").alias("y"), F.col("shingles").alias("b"))
     return pairs.join(x, "x").join(y, "y").select("x", "y", "a", "b").mapInArrow(run, "x long, y long")
 
 
 def shared_sizes(sets: DataFrame) -> DataFrame:
-    """(class, alone): how many of each class's shingles no other class of ``sets`` has; classes without any are left out."""
+    """(num, alone): how many of each class's shingles no other class of ``sets`` has; classes without any are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "shingles", 4 << 20):
             found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], ["class", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], ["num", "shingle"])
 
-    single = sets.select("class", "shingles").mapInArrow(run, "class long, shingle long").groupBy("shingle").agg(F.min("class").alias("class"), F.count("*").alias("n")).where("n = 1")
-    return single.groupBy("class").agg(F.count("*").alias("alone"))
+    single = sets.select("num", "shingles").mapInArrow(run, "num long, shingle long").groupBy("shingle").agg(F.min("num").alias("num"), F.count("*").alias("n")).where("n = 1")
+    return single.groupBy("num").agg(F.count("*").alias("alone"))
 
 
-def links(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Confirmed (x, y) links between classes: enough of them to connect what all links connect.  found: the signatures of docs."""
+def numbered(found: DataFrame, folder: str) -> DataFrame:
+    """(class, num, row, n, left, right, copies, least): the distinct sets of ``found``, numbered; row: one of their rows' ids, least: the least id that isn't null."""
     row = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    classes = written(found.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("row"), F.first("n_shingles").cast("int").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("copies")), "classes")
+    classes = found.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("row"), F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("copies"))
+    return written(classes.withColumn("num", F.monotonically_increasing_id()), "classes", folder)  # numbers hold once written
+
+
+def links(docs: DataFrame, classes: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Confirmed (x, y) links between numbers of classes: enough of them to connect what all links connect.  classes: from ``numbered``."""
     key = F.posexplode(F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y)))))
-    keys = classes.select("class", "n", "row", "copies", key.alias("table", "key"))
-    ends = keys.groupBy("key").agg(F.min(F.struct("class", "n")).alias("low"), F.max(F.struct("copies", "class", "n")).alias("high"), F.count("*").alias("many")).where("many > 1")
-    members = written(keys.join(ends, "key").select("key", "table", "class", "n", "row", "low", "high"), "members")
+    keys = classes.select("num", "n", "row", "copies", key.alias("table", "key"))
+    ends = keys.groupBy("key").agg(F.min(F.struct("num", "n")).alias("low"), F.max(F.struct("copies", "num", "n")).alias("high"), F.count("*").alias("many")).where("many > 1")
+    # the aggregate is a table of its own, so Spark can split a large key's rows when they join
+    members = written(keys.join(written(ends, "ends", folder), "key").select("key", "table", "num", "n", "row", "low", "high"), "members", folder)
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     ordered = lambda df: df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    wanted = members.select("row").distinct()
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("row"), F.col(text).alias("text")).join(wanted, "row", "left_semi")
-    sets = written(full_sets(texts, size).join(members.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+    wanted = written(members.select("num", "row").distinct(), "wanted", folder)
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("row"), F.col(text).alias("text")).join(wanted.select("row").distinct(), "row", "left_semi")
+    named = classes.select("class", "num").join(wanted.select("num"), "num")
+    sets = written(full_sets(texts, size).join(named, "class").groupBy("num").agg(F.first("shingles").alias("shingles")), "sets", folder)
 
-    stars = [members.where(F.col("class") != F.col(end)["class"]).where(near(F.col("n"), F.col(end)["n"])).select(F.col("class").alias("x"), F.col(end)["class"].alias("y")) for end in ("low", "high")]
-    first = written(confirmed(ordered(stars[0].union(stars[1])), sets, percent), "links")
+    stars = [members.where(F.col("num") != F.col(end)["num"]).where(near(F.col("n"), F.col(end)["n"])).select(F.col("num").alias("x"), F.col(end)["num"].alias("y")) for end in ("low", "high")]
+    first = written(confirmed(ordered(stars[0].union(stars[1])), sets, percent), "links", folder)
 
     known = components(first)
-    labelled = members.select("key", "table", "class", "n").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = members.select("key", "table", "num", "n").join(known.withColumnRenamed("node", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))
+    labelled = written(labelled, "labelled", folder)
     counted = labelled.groupBy("key", "component").agg(F.count("*").alias("many"))
     mixed = counted.groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("key", "main")
-    rest = labelled.join(mixed, "key").withColumn("most", F.col("n"))
+    rest = labelled.join(written(mixed, "mixed", folder), "key").withColumn("most", F.col("n"))
     for _ in range(2):
         # whoever has no partner that could share enough of what isn't its own alone is out, and no partner to others
-        alone = shared_sizes(sets.join(rest.select("class").distinct(), "class", "left_semi"))
-        bounded = rest.drop("most").join(alone, "class", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-        rest = written(bounded.where(F.col("most") * 100 >= F.col("n") * percent), "rest")
-    able = rest.join(classes.select("class", "left", "right"), "class")
-    own = lambda df, c: df.select("key", "table", *[F.col(a).alias(f"{b}_{c}") for a, b in (("class", "class"), ("n", "n"), ("most", "most"), ("component", "of"), ("left", "left"), ("right", "right"))])
+        alone = shared_sizes(sets.join(rest.select("num").distinct(), "num", "left_semi"))
+        bounded = rest.drop("most").join(alone, "num", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+        rest = written(bounded.where(F.col("most") * 100 >= F.col("n") * percent), "rest", folder)
+    able = rest.join(classes.select("num", "left", "right"), "num")
+    own = lambda df, c: df.select("key", "table", *[F.col(a).alias(f"{b}_{c}") for a, b in (("num", "num"), ("n", "n"), ("most", "most"), ("component", "of"), ("left", "left"), ("right", "right"))])
     # every pair of different components has at least one member outside the bucket's largest component
     pairs = own(able.where("component != main"), "x").join(own(able, "y").drop("table"), "key")
     enough = F.least("most_x", "most_y") * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
     # a pair meets in each table whose two groups are equal; it is taken from the first
     place = lambda side: F.array_position(F.zip_with(f"{side}_x", f"{side}_y", lambda a, b: a == b), F.lit(True)) - 1
     once = (place("left") == F.floor(F.col("table") / F.size("right_x"))) & (place("right") == F.col("table") % F.size("right_x"))
-    pairs = pairs.where("of_x != of_y").where(near(F.col("n_x"), F.col("n_y")) & enough & once).select(F.col("class_x").alias("x"), F.col("class_y").alias("y"))
-    return first.union(written(confirmed(ordered(pairs), sets, percent), "links"))
+    pairs = pairs.where("of_x != of_y").where(near(F.col("n_x"), F.col("n_y")) & enough & once).select(F.col("num_x").alias("x"), F.col("num_y").alias("y"))
+    return first.union(written(confirmed(ordered(pairs), sets, percent), "links", folder))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, groups: int = GROUPS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    found = written(signatures(docs, doc_id, text, size), "signatures")
-    joined = components(links(docs, found, doc_id, text, size, percent)).withColumnRenamed("node", "class")
-    classes = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).join(joined, "class", "left")
-    named = classes.withColumn("component", F.coalesce("component", "class"))
-    names = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", "component_id")
-    out = found.select("doc_id", "n_shingles", "class").join(names, "class", "left")
-    out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    with scratch(docs.sparkSession, "minhash") as folder:
+        found = written(signatures(docs, doc_id, text, size, groups), "signatures", folder)
+        classes = numbered(found, folder)
+        joined = components(links(docs, classes, folder, doc_id, text, size, percent)).withColumnRenamed("node", "num")
+        named = classes.select("class", "num", "least").join(joined, "num", "left").withColumn("component", F.coalesce("component", "num"))
+        names = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", "component_id")
+        out = found.select("doc_id", "n_shingles", "class").join(written(names, "names", folder), "class", "left")
+        out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+        return written(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,11 +202,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: that of the least id, null ids last; of equal ids that of the least key."""
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")  # names a row; equal rows are one
-    named = near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    ids = docs.select(key.alias("_key"), "doc_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))).getField("_key").alias("_key")
-    kept = named.join(ids, "_key").groupBy("component_id").agg(first).select("_key")
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = STAGE_PERCENT, groups: int = STAGE_GROUPS) -> DataFrame:
+    """One row of each component at a similarity of 0.8 stays: that of the least id, null ids last; of equal ids that of the least key.
+
+    Rows are told apart by a 128-bit digest of id and text, not by id; of rows equal in both one stays.
+    """
+    row = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+    digest = F.md5(F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), row).cast("binary"))
+    with scratch(spark, "near-stage") as folder:
+        # the operator's rows are named by numbers, one for each digest
+        rows = written(docs.select(digest.alias("digest"), "doc_id", "text").dropDuplicates(["digest"]).withColumn("num", F.monotonically_increasing_id()), "rows", folder)
+        named = near_duplicates(rows.select("num", "text"), "num", "text", SHINGLE, percent, groups).select(F.col("doc_id").alias("num"), "component_id")
+        first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))).getField("digest").alias("digest")
+        kept = written(named.join(rows.select("num", "doc_id", "digest"), "num").groupBy("component_id").agg(first).select("digest"), "kept")
+    name = free_name(docs, "row_digest")
+    chosen = docs.withColumn(name, digest)
+    return chosen.join(kept.withColumnRenamed("digest", name), name, "left_semi").dropDuplicates([name]).select(*[chosen[f"`{c}`"] for c in docs.columns])

@@ -15,7 +15,7 @@ def shingles(text):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
-def brute(docs):
+def brute(docs, percent=85):
     sets = [shingles(t) for _, t in docs]
     root = list(range(len(docs)))
 
@@ -26,7 +26,7 @@ def brute(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(docs):
@@ -58,7 +58,7 @@ def test_equals_brute_force(spark):
     rng = random.Random(5)
     texts = near_texts(rng, 6, 25, 7) + ["a b", "A B", "a b c d e f", None, "", "  ", "x " * 4000, "x " * 90]
     docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (None, "alone with null id"), (500, texts[2])]
-    df = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, class int")
+    df = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, num int")
     assert result(mh.near_duplicates(df)) == brute(docs)
 
 
@@ -85,10 +85,19 @@ def test_query(spark, small_tables):
 
 def test_stage_keeps_one_row_of_each_component(spark):
     words = [f"w{i}" for i in range(200)]
-    near = words[:90] + ["x"] + words[91:150] + ["y"] + words[151:170] + ["z"] + words[171:]  # 15 of 196 shingles differ
+    near = words[:90] + ["x"] + words[91:150] + ["y"] + words[151:170] + ["z"] + words[171:190] + ["v"] + words[191:]  # 20 of 196 shingles differ: 0.815
     a, b = " ".join(words), " ".join(near)
     # ids shared by a near copy and a clean text, clean rows and copies without an id
     docs = [(1, a), (2, b), (2, "a clean text under an id that is used twice"), (None, "clean without id"), (None, "clean without id"), (None, a), (None, "another without id")]
-    got = mh.stage(spark, spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, kind string"), "")
+    got = mh.stage(spark, spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, row_digest string"), "")
     want = [(None, "another without id"), (None, "clean without id"), (1, a), (2, docs[2][1])]
+    assert got.columns == ["doc_id", "text", "row_digest"]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=lambda r: (r[0] or 0, r[1])) == want
+
+
+def test_texts_of_a_hundred_thousand_words(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(100_000)]
+    other = [w if i % 200 else "x" for i, w in enumerate(long)]
+    docs = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(reversed(long)))]
+    assert result(mh.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
