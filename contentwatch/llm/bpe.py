@@ -1,19 +1,22 @@
 """Operator 10: byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text is cut in halves down to leaves, each leaf is encoded by itself, and neighbours are joined by
-encoding a window around the cut anew.  The window grows until the tokens outside are proven final:
+A text is cut in halves down to leaves of at most ``leaf`` characters, each leaf is encoded by itself, and neighbours are
+joined by encoding a window around the cut anew.  The window grows until the tokens outside are proven final:
 
 * between words: no piece of the pattern holds white space after another character, so a change from
   the one to the other starts a piece whatever stands around it.  A window between two such places can't
-  reach tokens beyond them;
+  reach tokens beyond them; the halves give up the tokens inside it and keep the others;
 * inside one long piece: an encoding by merges is final exactly when each pair of neighbouring tokens
   encodes to itself (Berglund & van der Merwe 2023).  Pairs away from the cut hold already, so only the two
   pairs at the window's ends are tested.
 
-Decoding concatenates the tokens' bytes up the same kind of tree.
+A stretch of over eight leaves without such a place (a long run, or a script without spaces) is one node: its pieces are
+told by the pattern, and one of over ``PIECE`` bytes is a tree over its tokens.  Decoding joins the tokens' bytes up the same
+kind of tree.  No tokenizer library takes part; the tests compare with one.
 
-Cases: a null text encodes as empty (no ids, decoded empty); repeated rows, ties and empty tables pass
-through; further columns are kept.  A clash with the output columns raises ValueError.
+Cases: a null text encodes as empty (no ids, decoded empty); a very long text costs time in proportion; repeated rows, ties
+and empty tables pass through; further columns are kept, and where one has the name of an output column, the new one
+gets a bar at its end (``ids_``).
 """
 
 from __future__ import annotations
@@ -21,15 +24,36 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentwatch.llm.common import arrow_lists, bounded_batches, slices
+from contentwatch.llm.common import arrow_lists, free_name, slices, written
 
-LEAF = 4096
-WINDOW = 1024
+LEAF = 512
+WINDOW = 32
+PIECE = 256
+MEMO = 200_000
+
+
+class Memo(dict):
+    """The ids of pieces met before; it starts anew when it holds ``most``."""
+
+    def __init__(self, encode, most: int = MEMO):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, piece: str) -> list[int]:
+        found = self.encode(piece.encode())
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class TreeBpe:
@@ -37,50 +61,52 @@ class TreeBpe:
 
     def __init__(self, content: bytes, pattern: str, leaf: int = LEAF, window: int = WINDOW):
         import regex
-        import tiktoken
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.encoding = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.length = {v: len(k) for k, v in self.ranks.items()}
         self.pieces = regex.compile(pattern)
         self.cut_after = regex.compile(r"(?<=\S)(?=\s)")
         self.leaf, self.window = leaf, window
+        self.memo = Memo(self.piece)
 
     # encoding
 
-    def encode(self, text: str):
-        """The ids of a text as a numpy array."""
-        import numpy as np
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text."""
+        return self.span(text, 0, len(text))
 
-        if len(text) <= self.leaf:
-            return self.encoding.encode_to_numpy(text, disallowed_special=())
-        parts: list = []
-        self._encode(text, 0, len(text), parts)
-        return np.concatenate(parts)
-
-    def _encode(self, text: str, lo: int, hi: int, out: list) -> None:
-        """Appends the ids of text[lo:hi], whose ends are certain piece starts, in order."""
+    def span(self, text: str, lo: int, hi: int) -> list[int]:
+        """The ids of text[lo:hi] as a text of its own."""
         if hi - lo <= self.leaf:
-            if hi > lo:
-                out.append(self.encoding.encode_to_numpy(text[lo:hi], disallowed_special=()))
-            return
+            return self.direct(text, lo, hi)
         middle = (lo + hi) // 2
-        a, b = self._certain(text, lo, hi, middle)
-        if b - a <= self.leaf:
-            # the halves' tokens outside [a, b) are final, so only the window is encoded again
-            self._encode(text, lo, a, out)
-            out.append(self.encoding.encode_to_numpy(text[a:b], disallowed_special=()))
-        else:
-            self._encode(text, lo, a, out)
-            self._long(text[a:b], out)
-        self._encode(text, b, hi, out)
-
-    def _certain(self, text: str, lo: int, hi: int, middle: int) -> tuple[int, int]:
-        """The nearest certain piece starts at or before and after ``middle``, by growing windows."""
+        a, b = self.certain(text, lo, hi, middle)
+        if b - a > 8 * self.leaf:
+            return self.span(text, lo, a) + self.direct(text, a, b) + self.span(text, b, hi)
+        left, right = self.span(text, lo, middle), self.span(text, middle, hi)
+        if a == middle:
+            return left + right
+        i, given = len(left), len(text[a:middle].encode())
+        while given:
+            i -= 1
+            given -= self.length[left[i]]
+        j, given = 0, len(text[middle:b].encode())
+        while given:
+            given -= self.length[right[j]]
+            j += 1
+        return left[:i] + self.direct(text, a, b) + right[j:]
+
+    def direct(self, text: str, lo: int, hi: int) -> list[int]:
+        """The ids of the pieces of text[lo:hi], one after the other."""
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces.findall(text, lo, hi))))
+
+    def certain(self, text: str, lo: int, hi: int, middle: int) -> tuple[int, int]:
+        """The nearest certain piece starts at or before and after ``middle``, by growing windows; else the ends."""
         a, b, size = lo, hi, self.window
         while True:
             left = max(lo, middle - size)
-            found = [m.start() for m in self.cut_after.finditer(text, left + 1, middle + 1)] if left < middle else []
+            found = [m.start() for m in self.cut_after.finditer(text, left + 1, middle + 1)]
             if found or left == lo:
                 a = found[-1] if found else lo
                 break
@@ -95,14 +121,10 @@ class TreeBpe:
             size *= 2
         return a, b
 
-    def _long(self, text: str, out: list) -> None:
-        """A stretch without a certain place inside: its pieces, long ones by a tree over their bytes."""
-        import numpy as np
-
-        for m in self.pieces.finditer(text):
-            piece = m.group().encode()
-            whole = self.ranks.get(piece)
-            out.append(np.array([whole] if whole is not None else self.tree(piece), np.uint32))
+    def piece(self, piece: bytes) -> list[int]:
+        """The ids of one piece: its own, or its merges."""
+        whole = self.ranks.get(piece)
+        return [whole] if whole is not None else self.tree(piece)
 
     def merges(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost on ties: the definition, with a heap."""
@@ -134,7 +156,7 @@ class TreeBpe:
     def stable(self, a: int, b: int) -> bool:
         return self.merges(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
-    def tree(self, piece: bytes, least: int = 256) -> list[int]:
+    def tree(self, piece: bytes, least: int = PIECE) -> list[int]:
         """The merges of one piece: halves, joined pairwise up the tree."""
         level = [self.merges(piece[i : i + least]) for i in range(0, len(piece), least)]
         while len(level) > 1:
@@ -155,11 +177,11 @@ class TreeBpe:
 
     # decoding
 
-    def decode(self, ids, leaf: int = 1 << 16) -> bytes:
-        if len(ids) <= leaf:
-            return self.encoding.decode_bytes(ids.tolist())
-        middle = len(ids) // 2
-        return self.decode(ids[:middle], leaf) + self.decode(ids[middle:], leaf)
+    def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
+        level = [b"".join(map(self.bytes_of.__getitem__, ids[i : i + leaf])) for i in range(0, len(ids), leaf)]
+        while len(level) > 1:
+            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 def _content(path: str) -> bytes:
@@ -175,23 +197,33 @@ def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
     return path, pattern
 
 
+_trees: dict = {}
+
+
+def _tree(content: bytes, pattern: str) -> TreeBpe:
+    """One tree a Python worker, so that its memo lasts from task to task."""
+    key = (hash(content), len(content), pattern)
+    if key not in _trees:
+        _trees.clear()
+        _trees[key] = TreeBpe(content, pattern)
+    return _trees[key]
+
+
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"{name} is a column already")
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``df`` with the ids (array<int>) of each text.  The rank file is read on the driver and sent along."""
-    bounded_batches(df.sparkSession)
+    """``df`` with the ids (array<int>) of each text.  The rank file, of fixed size, is read on the driver and sent along."""
     path, pattern = _defaults(path, pattern)
+    ids = free_name(df, ids)
     content = df.sparkSession.sparkContext.broadcast(_content(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = TreeBpe(content.value, pattern)
-        for batch in slices(batches, text, 4 << 20):
+        bpe = _tree(content.value, pattern)
+        for batch in slices(batches, text, 2 << 20):
             column = batch.column(batch.schema.names.index(text)).to_pylist()
-            found = [bpe.encode(x or "") for x in column]
+            found = [np.array(bpe.encode(x or ""), np.int32) for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, arrow_lists(found, pa.int32())], [*batch.schema.names, ids])
 
     return df.mapInArrow(run, _with(df, ids, T.ArrayType(T.IntegerType())))
@@ -200,17 +232,13 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``df`` with the bytes (binary) of each row's ids; null ids give empty."""
     path, pattern = _defaults(path, pattern)
+    decoded = free_name(df, decoded)
     content = df.sparkSession.sparkContext.broadcast(_content(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        bpe = TreeBpe(content.value, pattern)
-        none = np.zeros(0, np.int32)
+        bpe = _tree(content.value, pattern)
         for batch in batches:
-            column = batch.column(batch.schema.names.index(ids))
-            values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            found = [bpe.decode(values[a:b] if b > a else none) for a, b in zip(offsets[:-1], offsets[1:])]
+            found = [bpe.decode(x or []) for x in batch.column(batch.schema.names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, decoded])
 
     return df.mapInArrow(run, _with(df, decoded, T.BinaryType()))
@@ -218,8 +246,6 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: ids and their round trip for every document."""
-    from pyspark.sql import functions as F
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = decode(encode(docs).select("doc_id", "ids"))
     return found.select(
@@ -228,3 +254,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose ids decode to their texts (all, unless the tokenizer fails), with the ids and n_tokens, their number; names that are taken get a bar at the end."""
+    ids, n_tokens = free_name(docs, "ids"), free_name(docs, "n_tokens")
+    made = encode(docs)
+    decoded = free_name(made, "decoded")
+    checked = decode(made, ids).where(F.col(f"`{decoded}`") == F.coalesce("text", F.lit("")).cast("binary")).drop(decoded)
+    return written(checked.withColumn(n_tokens, F.size(f"`{ids}`").cast("long")), "tokens")

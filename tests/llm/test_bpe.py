@@ -2,6 +2,7 @@ import hashlib
 
 import public_tokenizers as P
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -11,12 +12,14 @@ PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
 
 TREE = bpe.TreeBpe(bpe._content(PATH), P.PATTERN, leaf=16, window=4)
+PRODUCTION = bpe.TreeBpe(bpe._content(PATH), P.PATTERN)
+LIBRARY = tiktoken.Encoding("library", pat_str=P.PATTERN, mergeable_ranks=TREE.ranks, special_tokens={})
 
 
 def same(tree, text):
-    want = tree.encoding.encode_ordinary(text)
+    want = LIBRARY.encode_ordinary(text)
     got = tree.encode(text)
-    assert got.tolist() == want
+    assert got == want
     assert tree.decode(got, leaf=4) == text.encode()
 
 
@@ -29,6 +32,7 @@ def test_texts_encode_as_the_library_does(text):
 @pytest.mark.parametrize("text", ["", " ", "a" * 5000, " " * 3000, "ab" * 2000 + " " * 50 + "x" * 700, "é" * 900, "<|endoftext|>" * 40, "it's we'll they've " * 60, "\r\n" * 400, "thethe" * 500])
 def test_long_runs(text):
     same(TREE, text)
+    same(PRODUCTION, text * 40)
 
 
 @settings(max_examples=200, deadline=None)
@@ -42,17 +46,25 @@ def test_query_columns_and_null(spark):
     rows = bpe.decode(bpe.encode(df)).orderBy("doc_id").collect()
     assert [r.extra for r in rows] == [7, 8, 8, 9]
     assert bytes(rows[0].decoded).decode() == "héllo wörld " * 50
-    assert rows[0].ids == TREE.encoding.encode_ordinary("héllo wörld " * 50)
+    assert rows[0].ids == LIBRARY.encode_ordinary("héllo wörld " * 50)
     assert rows[1].ids == [] and bytes(rows[3].decoded) == b""
     assert bpe.encode(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(df.withColumnRenamed("extra", "ids"))
+    clash = bpe.decode(bpe.encode(df.withColumnRenamed("extra", "ids")), "ids_")
+    assert clash.columns == ["doc_id", "text", "ids", "ids_", "decoded"]
+    assert {(r.doc_id, r.ids): bytes(r.decoded).decode() for r in clash.collect()}[1, 7] == "héllo wörld " * 50
+
+
+def test_stage_keeps_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7), (None, None, None, None, None)], "doc_id long, text string, ids int, n_tokens int, decoded int")
+    got = bpe.stage(spark, df, "")
+    assert got.columns == [*df.columns, "ids_", "n_tokens_"]
+    assert {tuple(r)[:5] + (len(r.ids_), r.n_tokens_) for r in got.collect()} == {(1, "a b", 5, 6, 7, 2, 2), (None, None, None, None, None, 0, 0)}
 
 
 def test_query_on_documents(spark, small_tables):
     rows = {r.doc_id: r for r in bpe.query(spark, small_tables).collect()}
     for doc in spark.read.parquet(f"{small_tables}/documents.parquet").collect():
-        ids = TREE.encoding.encode_ordinary(doc.text or "")
+        ids = LIBRARY.encode_ordinary(doc.text or "")
         assert rows[doc.doc_id].n_tokens == len(ids)
         assert rows[doc.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert rows[doc.doc_id].decoded_sha256 == hashlib.sha256((doc.text or "").encode()).hexdigest()
