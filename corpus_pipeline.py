@@ -8,7 +8,6 @@ driver and executors share and gives the next stage what it reads back.  All sta
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from contentwatch.llm import bpe, common, decontaminate, langid, minhash, substrings
 
@@ -35,8 +34,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts and keeps what decodes to itself; adds ids and their number."""
-    checked = bpe.decode(bpe.encode(docs))
-    return checked.where(F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).drop("decoded").withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.stage(spark, docs, sf_dir)
 
 
 STAGES = [
