@@ -4,8 +4,9 @@ The cache is a table (digest, tokenizer, n_tokens): the SHA-256 of a text's UTF-
 file.  Texts that the cache lacks are brought together by digest, each distinct one is encoded once, and
 the new counts are appended.  Counts then come from a join of digests; texts aren't part of it.
 
-Cases: a null text counts as empty; equal texts, in however many rows, are encoded once; an empty table
-gives no rows and appends nothing; a cache that another tokenizer filled has no hits.
+Cases: a null text counts as empty; a very long text is encoded whole; equal texts, in however many rows, are encoded once;
+an empty table gives no rows and appends nothing; a cache that another tokenizer filled has no hits; further columns are
+kept, and where one has the name of the count, the count gets a bar at its end.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentwatch.llm.common import new_path, partitions, slices
+from contentwatch.llm.common import free_name, partitions, scratch, slices, small_batches, written
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
@@ -86,16 +87,18 @@ def fill(docs: DataFrame, cache: str, path: str, text: str = "text") -> None:
     known = read_cache(spark, cache, version).select("digest")
     # copies are dropped before the shuffle, so a text that fills a third of the table sends a row a task
     apart = texts.mapInArrow(_once, texts.schema).join(known, "digest", "left_anti").repartition(partitions(spark), "digest")
-    apart.mapInArrow(encoded, CACHE).write.mode("append").parquet(cache)
+    with small_batches(spark):
+        apart.mapInArrow(encoded, CACHE).write.mode("append").parquet(cache)
 
 
 def count_tokens(docs: DataFrame, cache: str, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """``docs`` without the text, with ``out``: each text's tokens as the library for ``path`` counts them."""
-    if out in docs.columns:
-        raise ValueError(f"{out} is a column already")
+    out, key = free_name(docs, out), free_name(docs, "digest")
     fill(docs, cache, path, text)
-    counts = read_cache(docs.sparkSession, cache, tokenizer_version(path)).groupBy(F.col("digest").alias("_digest")).agg(F.first("n_tokens").alias(out))
-    return docs.withColumn("_digest", digest_of(text)).drop(text).join(counts, "_digest").drop("_digest")
+    counts = read_cache(docs.sparkSession, cache, tokenizer_version(path)).groupBy(F.col("digest").alias(key)).agg(F.first("n_tokens").alias(out))
+    # a table of its own, so Spark can split the rows of a frequent text when they join
+    counts = written(counts, "token-counts")
+    return docs.withColumn(key, digest_of(text)).drop(text).join(counts, key).drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,5 +106,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    found = count_tokens(docs, new_path(spark, "token-cache"), public_tokenizers.path("piece_bpe_32k.model"))
+    with scratch(spark, "token-cache") as cache:
+        found = count_tokens(docs, cache, public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
