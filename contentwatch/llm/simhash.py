@@ -6,11 +6,13 @@ Fingerprints are strings of 32 hex digits; likeness is 1 - Hamming distance / 12
 
 ``search`` finds every fingerprint within a Hamming radius r: of b > r blocks at least b - r are equal, so
 for each choice of b - r blocks a table is keyed by their bits (Manku, Jain & Das Sarma 2007).  It runs over
-distinct fingerprints, so copies meet no more often than one text does.
+distinct fingerprints, so copies meet no more often than one text does.  At the radius of 6, with 8 blocks, 28 tables are
+keyed by 32 bits each.
 
 Cases: a null or empty text, or one without words, has the fingerprint of all zeros; equal texts have equal
-fingerprints; repeated ids are ordered by fingerprint and text; a single document is its own next one; an
-empty table gives no rows; null ids come first in the order.
+fingerprints; a very long text is read whole, its votes summed a block of terms at a time; repeated ids are ordered by
+fingerprint and text; a single document is its own next one; an empty table gives no rows; null ids come first in the order;
+``fingerprints`` keeps further columns and puts a bar at the end of its own where a column has its name.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentwatch.llm.common import SPACES, binaries, partitions, slices, written
+from contentwatch.llm.common import SPACES, binaries, free_name, partitions, scratch, slices, written
 from contentwatch.llm.words import Words, grams, mix
 
 BITS = 128
-RADIUS = 3
+RADIUS = 6
 
 
 def votes(terms: np.ndarray) -> np.ndarray:
@@ -48,8 +50,7 @@ def fingerprint(words: np.ndarray) -> str:
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``df`` with the fingerprint of each text."""
-    if out in df.columns:
-        raise ValueError(f"{out} is a column already")
+    out = free_name(df, out)
     at, names = df.columns.index(text), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,12 +82,12 @@ def search(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: i
     choices = list(combinations(range(blocks), blocks - radius))
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        parts = [F.substring(name, a + 1, b - a) for a, b in zip(edges, edges[1:])]
+        parts = [F.substring("fingerprint", a + 1, b - a) for a, b in zip(edges, edges[1:])]
         keys = F.array(*[F.xxhash64(F.lit(t), *[parts[x] for x in choice]) for t, choice in enumerate(choices)])
-        return df.select(F.col("fingerprint").alias(name)).distinct().select(name, F.explode(keys).alias("key"))
+        return df.select("fingerprint").distinct().select(F.unhex("fingerprint").alias(name), F.explode(keys).alias("key"))
 
     # a merge join: the keys of either side grow with the table, so none of them is to be broadcast
-    pairs = keyed(queries, "query").hint("merge").join(keyed(table, "found"), "key")
+    pairs = keyed(queries, "q").hint("merge").join(keyed(table, "f"), "key").select(F.lower(F.hex("q")).alias("query"), F.lower(F.hex("f")).alias("found"))
     distance = sum((F.bit_count(_word("query", i).bitwiseXOR(_word("found", i))) for i in range(4)), F.lit(0))
     return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).select("query", "found", "distance").distinct()
 
@@ -136,17 +137,25 @@ def with_next(df: DataFrame, key: str, text: str, carried: str, ids: DataFrame |
     return ordered.mapInArrow(pair, out)
 
 
+def near_counts(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, n_near, n_near_rows): for each distinct one of ``queries``, the other fingerprints of ``table`` within the radius, and the rows that have them or itself."""
+    rows = table.groupBy("fingerprint").agg(F.count("*").alias("rows"))
+    found = search(queries, table, radius).join(rows.withColumnRenamed("fingerprint", "found"), "found")
+    return found.groupBy(F.col("query").alias("fingerprint")).agg(F.sum((F.col("query") != F.col("found")).cast("long")).alias("n_near"), F.sum("rows").alias("n_near_rows"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: fingerprints of every document and of its edited text; n_near: for ids divisible by 50, the other distinct fingerprints within the radius (else null)."""
+    """op8: fingerprints of every document and of its edited text; for ids divisible by 50 (else null) n_near, the other distinct fingerprints within the radius, and n_near_docs, the other documents there, copies included."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     paired = with_next(fingerprints(docs), "doc_id", "text", "fingerprint", docs.select("doc_id"))
     edited = fingerprints(paired.select("doc_id", "fingerprint", "next_carried", F.length("text").cast("long").alias("n_chars"), "edited"), "edited", "edited_fingerprint")
     digests = written(edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_carried"), "simhash")
     asked = F.col("doc_id") % 50 == 0
-    near = search(digests.where(asked), digests).where("query != found").groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("n"))
-    found = digests.join(near.hint("merge"), "fingerprint", "left")
-    return found.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_carried").alias("near_next"),
-        F.when(asked, F.coalesce("n", F.lit(0))).alias("n_near"),
-    )
+    with scratch(spark, "simhash-near") as folder:
+        # a table of its own, so Spark can split the rows of a frequent fingerprint when they join
+        near = written(near_counts(digests.where(asked), digests), "near", folder)
+        return written(digests.join(near.hint("merge"), "fingerprint", "left").select(
+            "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+            likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_carried").alias("near_next"),
+            F.when(asked, F.col("n_near")).alias("n_near"), F.when(asked, F.col("n_near_rows") - 1).alias("n_near_docs"),
+        ), "fingerprints")

@@ -39,6 +39,11 @@ def test_query(spark, small_tables):
     for a, b in zip(by_id, by_id[1:] + by_id[:1]):
         assert rows[a].near_next == 1 - distance(rows[a].fingerprint, rows[b].fingerprint) / 128
         assert rows[a].near_edited == 1 - distance(rows[a].fingerprint, rows[a].edited_fingerprint) / 128
+    prints = {d: rows[d].fingerprint for d in by_id}
+    for a in by_id:
+        near = [b for b in by_id if distance(prints[a], prints[b]) <= sh.RADIUS]
+        want = (len({prints[b] for b in near}) - 1, len(near) - 1) if a % 50 == 0 else (None, None)
+        assert (rows[a].n_near, rows[a].n_near_docs) == want
     mean = lambda name: sum(r[name] for r in rows.values()) / len(rows)
     assert mean("near_edited") > mean("near_next") + 0.15
 
@@ -59,3 +64,10 @@ def test_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "one"), (5, "ONE")], "doc_id long, text string")
     got = [r.fingerprint for r in sh.fingerprints(df).orderBy("doc_id").collect()]
     assert got[:3] == ["0" * 32] * 3 and got[3] == got[4] != got[0]
+
+
+def test_clash_and_long_text(spark):
+    df = spark.createDataFrame([(1, "a b c " * 80_000, "x")], "doc_id long, text string, fingerprint string")
+    got = sh.fingerprints(df)
+    assert got.columns == [*df.columns, "fingerprint_"] and got.first().fingerprint == "x"
+    assert got.first().fingerprint_ == sh.fingerprints(df.selectExpr("'A b c A b c a' AS text")).first().fingerprint
