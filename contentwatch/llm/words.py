@@ -25,15 +25,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes the words of texts; ``separators``: the bytes between words; ``fold``: A-Z equal a-z."""
+    """Hashes the words of texts; ``separators``: the bytes between words; ``fold``: A-Z equal a-z; another ``seed``: another hash."""
 
-    def __init__(self, separators: bytes, fold: bool = True):
+    def __init__(self, separators: bytes, fold: bool = True, seed: int = 0):
         self.word = np.ones(256, bool)
         self.word[np.frombuffer(separators, np.uint8)] = False
         self.separators = separators
         lower = np.arange(256)
         lower[65:91] += 32 * fold
-        self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[lower]
+        self.value = mix(np.arange(1 + 256 * seed, 257 + 256 * seed, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[lower]
         self.grow(BLOCK + 2)
 
     def grow(self, n: int) -> None:

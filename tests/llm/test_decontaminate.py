@@ -52,8 +52,16 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert result(de.decontaminate(docs, items.limit(0))) == [(1, 2, 0, [])]
     assert de.decontaminate(docs.limit(0), items).count() == 0
-    with pytest.raises(ValueError):
-        de.decontaminate(docs.selectExpr("doc_id AS n_words", "text"), items)
+    assert result(de.decontaminate(docs, items, block_bytes=0)) == [(1, 2, 1, ["1"])]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 0])
+def test_columns_of_the_same_names(spark, block_bytes):
+    docs, items = spark.createDataFrame([(1, "a b", 7, 8, 9)], "doc_id long, text string, n_words int, hit_items int, row_number int"), spark.createDataFrame([(1, "a")], "item_id long, text string")
+    got = de.decontaminate(docs, items, block_bytes=block_bytes)
+    assert got.columns == [*docs.columns, "n_words_", "hit_spans", "hit_items_"]
+    r = got.first()
+    assert (r.n_words, r.hit_items, r.row_number, r.n_words_, r.hit_items_) == (7, 8, 9, 2, ["1"])
 
 
 def test_query(spark, small_tables):
