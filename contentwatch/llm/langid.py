@@ -1,17 +1,18 @@
 """Operator 5: language identification by segmentation-marginalised unigrams.
 
 The pieces of a fixed public vocabulary get a probability per language.  A word (a run of letters, lower-cased, with
-the vocabulary's word mark before it; runs over 32 letters are cut) may be segmented into pieces in many ways;
-the forward algorithm sums the product of piece probabilities over all of them, and a text's probability is the
-product over its words.  Probabilities are learned by expectation-maximisation: forward and backward sums give
+the vocabulary's word mark before it) may be segmented into pieces in many ways; the forward algorithm sums the product
+of piece probabilities over all of them, and a text's probability is the product over its words.  Words of up to ``SHORT``
+letters are summed together, longer ones one by one with logarithms, in time in proportion to their length.  Probabilities are learned by expectation-maximisation: forward and backward sums give
 each piece's expected count per language (Kudo 2018).
 
-Learning reads at most about ``sample`` documents of each language, drawn by a hash of their ids; with fewer, all.  Scoring reads
-every text whole, and each distinct word of a block of text is summed once.
+Learning reads at most about ``sample`` documents of each of the ``LANGUAGES`` most frequent languages, drawn by a hash of their
+ids; with fewer, all.  Scoring reads every text whole, and each distinct word of a block of text is summed once.
 
 Cases: a null text or one without letters is ``und`` with score 0, as is every text where nothing could be learned;
 letters outside the vocabulary cost the same in all languages; equal scores go to the language that sorts first; null
-languages aren't learned from; repeated rows and empty tables pass through; further columns are kept.
+languages aren't learned from; a very long text or word is read whole; repeated rows and empty tables pass through; further
+columns are kept, and where one has the name of an output column, the new one gets a bar at its end.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentwatch.llm.common import bounded_batches, slices, written
+from contentwatch.llm.common import free_name, slices, written
 from contentwatch.llm.words import mix
 
-MARK, CUT = 0x2581, 32
+MARK, SHORT = 0x2581, 32
 SAMPLE, ROUNDS, SMOOTHING = 2000, 3, 0.05
 UNKNOWN = 1e-7
 LANGUAGES = 1000
@@ -79,11 +80,6 @@ class Lattice:
         code = np.frombuffer("".join(x for t in texts for x in (t.lower(), "\n")).encode("utf-32-le", "surrogatepass"), np.uint32)
         edges = np.flatnonzero(np.diff(self.letter[code], prepend=False))
         starts, stops = edges[0::2], edges[1::2]
-        parts = -(-(stops - starts) // CUT)
-        if len(parts) and parts.max() > 1:
-            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            starts, stops = np.repeat(starts, parts) + CUT * nth, np.repeat(stops, parts)
-            stops = np.minimum(stops, starts + CUT)
         ends = np.flatnonzero(code == 10)
         # lower-casing keeps line breaks, so the k-th text ends at the break after its own ones
         breaks = np.cumsum([t.count("\n") + 1 for t in texts]) - 1
@@ -147,6 +143,79 @@ class Lattice:
             np.add.at(counts, ids, alpha[i, rows] * p[ids] * beta[j, rows] * scale[rows])
         return counts
 
+    # words of any length, one at a time
+
+    def long_arcs(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, piece ids) of all arcs over the code points of one word after its mark, by ends."""
+        code = np.append(np.uint32(MARK), code)
+        values, n = self._values(code), len(code)
+        hashed, found = np.zeros(n, np.uint64), []
+        for size in range(1, min(self.longest, n) + 1):
+            hashed = hashed[: n - size + 1] + values[size - 1 :] * self.power[size - 1]
+            at, ids = self.find(mix(hashed.copy()))
+            if size == 1:
+                missing = np.ones(n, bool)
+                missing[at] = False
+                rest = np.flatnonzero(missing)
+                at, ids = np.append(at, rest), np.append(ids, np.full(len(rest), self.n_pieces))
+            found.append((at, at + size, ids))
+        starts, ends, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(ends, kind="stable")
+        return starts[order], ends[order], ids[order]
+
+    def long_log_probability(self, code: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """(languages): as ``log_probability``, of one word; logs: the logarithms of p.  Holds as many sums as a piece is long."""
+        starts, ends, ids = self.long_arcs(code)
+        n, ring = len(code) + 1, self.longest + 1
+        edges = np.searchsorted(ends, np.arange(1, n + 2))
+        alpha = np.zeros((ring, logs.shape[1]))
+        for j in range(1, n + 1):
+            own = slice(edges[j - 1], edges[j])
+            alpha[j % ring] = np.logaddexp.reduce(alpha[starts[own] % ring] + logs[ids[own]], axis=0)
+        return alpha[n % ring]
+
+    def long_expected(self, code: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids, expected counts) of one word for one language; logs: (pieces + 1)."""
+        starts, ends, ids = self.long_arcs(code)
+        n = len(code) + 1
+        edges = np.searchsorted(ends, np.arange(1, n + 2))
+        alpha, beta = np.zeros(n + 1), np.full(n + 1, -np.inf)
+        for j in range(1, n + 1):
+            own = slice(edges[j - 1], edges[j])
+            alpha[j] = np.logaddexp.reduce(alpha[starts[own]] + logs[ids[own]])
+        beta[n] = 0
+        for j in range(n, 0, -1):
+            own = slice(edges[j - 1], edges[j])
+            np.logaddexp.at(beta, starts[own], beta[j] + logs[ids[own]])
+        return ids, np.exp(alpha[starts] + logs[ids] + beta[ends] - alpha[n])
+
+    # words of texts
+
+    def word_logs(self, code: np.ndarray, starts: np.ndarray, stops: np.ndarray, p: np.ndarray, block: int = 8_000) -> np.ndarray:
+        """(words, languages): the log probability of every word."""
+        out, short = np.zeros((len(starts), p.shape[1])), stops - starts <= SHORT
+        matrix, lengths, row = self.distinct(code, starts[short], stops[short])
+        if len(lengths):
+            out[short] = np.concatenate([self.log_probability(matrix[i : i + block, : int(lengths[i])], lengths[i : i + block], p) for i in range(0, len(lengths), block)])[row]
+        known: dict[bytes, np.ndarray] = {}
+        for i in np.flatnonzero(~short).tolist():
+            word = code[starts[i] : stops[i]]
+            key = word.tobytes()
+            if key not in known:
+                known[key] = self.long_log_probability(word, np.log(p))
+            out[i] = known[key]
+        return out
+
+    def word_expected(self, code: np.ndarray, starts: np.ndarray, stops: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces over words with weights, for one language."""
+        short = stops - starts <= SHORT
+        matrix, lengths, row = self.distinct(code, starts[short], stops[short])
+        total = self.expected(matrix, lengths, p, np.bincount(row, weights=weights[short], minlength=len(lengths))) if len(lengths) else np.zeros(self.n_pieces + 1)
+        for i in np.flatnonzero(~short).tolist():
+            ids, n = self.long_expected(code[starts[i] : stops[i]], np.log(p))
+            np.add.at(total, ids, n * weights[i])
+        return total
+
 
 def model_vocabulary(path: str | None) -> list[str]:
     if path is None:
@@ -159,10 +228,7 @@ def model_vocabulary(path: str | None) -> list[str]:
 def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", by: str = "doc_id", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities (pieces + 1, languages)); the size is bounded by the vocabulary and LANGUAGES."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    sizes = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(lang).limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((len(pieces) + 1, 0))
@@ -176,9 +242,13 @@ def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
             langs, texts = np.array(batch.column(0).to_pylist(), object), np.array(batch.column(1).to_pylist(), object)
             for one in set(langs):
                 code, starts, stops, _ = lattice.words(texts[langs == one].tolist())
-                matrix, lengths, row = lattice.distinct(code, starts, stops)
-                n = np.bincount(row, minlength=len(lengths))
+                short = stops - starts <= SHORT
+                matrix, lengths, row = lattice.distinct(code, starts[short], stops[short])
+                n = np.bincount(row, minlength=len(lengths)).tolist()
                 found = ["".join(map(chr, m[1:k])) for m, k in zip(matrix.tolist(), lengths.tolist())]
+                for i in np.flatnonzero(~short).tolist():
+                    found.append(code[starts[i] : stops[i]].tobytes().decode("utf-32-le", "surrogatepass"))
+                    n.append(1)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
     words = written(drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
@@ -194,9 +264,9 @@ def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
                 for k, one in enumerate(languages):
                     own = texts[langs == one].tolist()
                     if own:
-                        code, starts, stops, _ = lattice.words(own)
-                        matrix, lengths, row = lattice.distinct(code, starts, stops)
-                        total[:, k] += lattice.expected(matrix, lengths, now.value[:, k], np.bincount(row, weights=n[langs == one], minlength=len(lengths)))
+                        code, starts, stops, offsets = lattice.words(own)
+                        weights = np.repeat(n[langs == one], np.diff(offsets)).astype(float)
+                        total[:, k] += lattice.word_expected(code, starts, stops, now.value[:, k], weights)
             at, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[at, k])], ["piece", "k", "n"])
 
@@ -210,8 +280,7 @@ def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
 
 def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndarray, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred string and score double, the posterior of lang_pred under a uniform prior."""
-    if clash := {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    named = [free_name(docs, "lang_pred"), free_name(docs, "score")]
     shared, names, at = docs.sparkSession.sparkContext.broadcast((pieces, p)), docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,18 +290,16 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndar
             code, starts, stops, offsets = lattice.words(texts)
             found, scores = [UND] * len(texts), np.zeros(len(texts))
             if len(starts) and languages:
-                matrix, lengths, row = lattice.distinct(code, starts, stops)
-                logs = np.concatenate([lattice.log_probability(matrix[i : i + 8_000, : int(lengths[i])], lengths[i : i + 8_000], shared.value[1]) for i in range(0, len(lengths), 8_000)])
-                sums = np.zeros((len(row) + 1, len(languages)))
-                np.cumsum(logs[row], axis=0, out=sums[1:])
+                sums = np.zeros((len(starts) + 1, len(languages)))
+                np.cumsum(lattice.word_logs(code, starts, stops, shared.value[1]), axis=0, out=sums[1:])
                 own = sums[offsets[1:]] - sums[offsets[:-1]]
                 best = own.argmax(axis=1)
                 posterior = 1 / np.exp(own - own.max(axis=1, keepdims=True)).sum(axis=1)
                 for i in np.flatnonzero(np.diff(offsets)):
                     found[i], scores[i] = languages[best[i]], posterior[i]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], [*names, *named])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(named[0], T.StringType()), T.StructField(named[1], T.DoubleType())]))
 
 
 def held_out(doc_id: str, of: int):
@@ -252,4 +319,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5)
     """The documents with a language: not ``und``, and with a posterior of at least ``least``."""
     pieces = model_vocabulary(None)
     languages, p = train(docs.where(~held_out("doc_id", 5)), pieces)
-    return predict(docs, pieces, languages, p).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    kept = predict(docs, pieces, languages, p).where((F.col(lang) != UND) & (F.col(score) >= least))
+    return written(kept.select(*[f"`{c}`" for c in docs.columns]), "language")  # written here, with small batches

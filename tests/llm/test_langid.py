@@ -2,7 +2,6 @@ import math
 import zlib
 
 import numpy as np
-import pytest
 
 from contentwatch.llm import langid as li
 
@@ -45,12 +44,52 @@ def test_forward_and_expected_counts_sum_all_segmentations():
     assert np.allclose(got, want)
 
 
-def test_long_runs_are_cut_and_stay_finite():
-    lattice = li.Lattice(PIECES)
-    code, starts, stops, offsets = lattice.words(["z" * 1000, "1 2"])
-    assert offsets.tolist() == [0, 32, 32] and (stops - starts).max() == li.CUT
-    p = np.full((len(PIECES) + 1, 1), li.UNKNOWN)
-    assert np.isfinite(lattice.log_probability(*lattice.distinct(code, starts, stops)[:2], p)).all()
+def test_long_words_are_summed_whole():
+    lattice, rng = li.Lattice(PIECES), np.random.default_rng(3)
+    p = np.vstack([rng.random((len(PIECES), 2)), np.full((1, 2), li.UNKNOWN)])
+    words = ["".join(rng.choice(list("abéz"), size=n)) for n in (1, 2, 5, 31, 32, 33, 60)]
+    code, starts, stops, _ = lattice.words([" ".join(words)])
+    for a, b, w in zip(starts, stops, words):
+        assert "".join(map(chr, code[a:b])) == w
+        matrix, lengths, _ = lattice.distinct(code, np.array([a]), np.array([b]))
+        assert np.allclose(lattice.long_log_probability(code[a:b], np.log(p)), lattice.log_probability(matrix, lengths, p)[0])
+        total = np.zeros(len(PIECES) + 1)
+        np.add.at(total, *lattice.long_expected(code[a:b], np.log(p[:, 1])))
+        assert np.allclose(total, lattice.expected(matrix, lengths, p[:, 1], np.ones(1)))
+    code, starts, stops, offsets = lattice.words(["z" * 20_000, "1 2", "ab " + "z" * 20_000])
+    assert offsets.tolist() == [0, 1, 1, 3]
+    logs = lattice.word_logs(code, starts, stops, p)
+    assert np.isfinite(logs).all() and np.allclose(logs[0], logs[2]) and logs[0, 0] < 20_000 * np.log(li.UNKNOWN) + 1
+
+
+def brute_predict(text, pieces, languages, p):
+    """The definition, word by word and piece by piece."""
+    at, sums = {x: i for i, x in enumerate(pieces)}, np.zeros(len(languages))
+    longest, some = max(map(len, pieces)), False
+    for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" "):
+        if not word:
+            continue
+        some, word = True, "\u2581" + word
+        alpha = [np.zeros(len(languages))]
+        for j in range(1, len(word) + 1):
+            ways = [alpha[i] + np.log(p[at[word[i:j]]]) for i in range(max(0, j - longest), j) if word[i:j] in at]
+            if word[j - 1] not in at:
+                ways.append(alpha[j - 1] + np.log(p[-1]))
+            alpha.append(np.logaddexp.reduce(ways, axis=0))
+        sums += alpha[-1]
+    if not some or not languages:
+        return li.UND, 0.0
+    return languages[int(sums.argmax())], float(1 / np.exp(sums - sums.max()).sum())
+
+
+def test_query_equals_the_definition(spark, small_tables):
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "text", "lang")
+    pieces = li.model_vocabulary(None)
+    languages, p = li.train(docs.where(~li.held_out("doc_id", 5)), pieces)
+    rows = {r.doc_id: r for r in li.query(spark, small_tables).collect()}
+    for d in sorted(docs.collect(), key=lambda r: r.doc_id)[:60]:
+        lang, score = brute_predict(d.text, pieces, languages, p)
+        assert rows[d.doc_id].lang_pred == lang and math.isclose(rows[d.doc_id].score, score, rel_tol=1e-6, abs_tol=1e-9)
 
 
 def test_held_out_accuracy(spark, small_tables):
@@ -75,5 +114,7 @@ def test_odd_rows(spark):
     none = li.train(docs.where("lang = 'xx'"), pieces)
     assert {r.lang_pred for r in li.predict(docs, pieces, *none).collect()} == {"und"}
     assert li.predict(docs.limit(0), pieces, languages, p).count() == 0
-    with pytest.raises(ValueError):
-        li.predict(docs.withColumnRenamed("extra", "score"), pieces, languages, p)
+    clash = li.predict(docs.withColumnRenamed("extra", "score"), pieces, languages, p)
+    assert clash.columns == ["doc_id", "text", "lang", "score", "lang_pred", "score_"] and clash.first().score == "x"
+    long = spark.createDataFrame([(1, "the and of " * 50_000 + "z" * 5_000)], "doc_id long, text string")
+    assert li.predict(long, pieces, languages, p).first().lang_pred == "en"
