@@ -127,10 +127,12 @@ class TreeBpe:
         return [whole] if whole is not None else self.tree(piece)
 
     def merges(self, piece: bytes) -> list[int]:
-        """Lowest rank first, leftmost on ties: the definition, with a heap."""
+        """Lowest rank first, leftmost on ties: the definition; with a heap where the piece is long."""
         n, ranks = len(piece), self.ranks
         if n < 2:
             return [ranks[piece]] if n else []
+        if n <= 24:
+            return self.short_merges(piece)
         end = list(range(1, n + 1))  # of the part that starts here; 0 once merged away
         before = list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -153,6 +155,21 @@ class TreeBpe:
             i = end[i]
         return ids
 
+    def short_merges(self, piece: bytes) -> list[int]:
+        ranks = self.ranks
+        none = len(ranks) + 256
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+        return [ranks[p] for p in parts]
+
     def stable(self, a: int, b: int) -> bool:
         return self.merges(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
