@@ -111,7 +111,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, row, span_start, span_stop, first_doc_id): spans, in characters, that documents with smaller ids hold too."""
     id_or_null = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
     with scratch(docs.sparkSession, "substrings") as folder:
-        chunks = written(chunk_table(docs, doc_id, text), "chunks", folder)
+        chunks = chunk_table(docs, doc_id, text)  # computed on both sides: a table of chunks takes more than the texts do
         seen = chunks.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         # a table of its own, so Spark can split a frequent chunk's rows when they join
         firsts = written(seen.select("high", "low", "first"), "firsts", folder)
