@@ -34,72 +34,117 @@ from pyspark.sql import types as T
 
 from contentwatch.llm.common import arrow_lists, free_name, slices, written
 
-LEAF = 512
+LEAF = 1024
 WINDOW = 32
 PIECE = 256
-MEMO = 200_000
+WIDE = 24
+MEMO = 150_000
+BLOCK = 1 << 20
+NONE = (1 << 31) - 1
 
 
 class Memo(dict):
-    """The ids of pieces met before; it starts anew when it holds ``most``."""
+    """The ids of pieces met before; it starts anew when it would hold more than ``most``."""
 
-    def __init__(self, encode, most: int = MEMO):
+    def __init__(self, tree: TreeBpe, most: int = MEMO):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.tree, self.most = tree, most
 
     def __missing__(self, piece: str) -> list[int]:
-        found = self.encode(piece.encode())
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = found
-        return found
+        return self.tree.piece(piece.encode())
+
+    def learn(self, pieces: set[str]) -> None:
+        """Takes in pieces, the short ones all at once."""
+        new = [p for p in pieces if p not in self and len(p) <= WIDE]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = [p for p in pieces if len(p) <= WIDE]
+        self.update(zip(new, map(tuple, self.tree.merge_many([p.encode() for p in new]))))  # tuples of numbers cost the collector nothing
 
 
 class TreeBpe:
-    """Encodes and decodes with the ranks of a tiktoken file's content."""
+    """Encodes and decodes with the ranks of a tiktoken file's content; ids are ranks."""
 
     def __init__(self, content: bytes, pattern: str, leaf: int = LEAF, window: int = WINDOW):
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.length = {v: len(k) for k, v in self.ranks.items()}
         self.pieces = regex.compile(pattern)
         self.cut_after = regex.compile(r"(?<=\S)(?=\s)")
         self.leaf, self.window = leaf, window
-        self.memo = Memo(self.piece)
+        self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        pairs = {(self.ranks[t[:i]] << 24) + self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.fromiter(pairs.values(), np.int32, len(pairs))[order]
+        self.memo = Memo(self)
 
-    # encoding
+    # encoding: a tree is planned first, so that all its new pieces are merged at once, and then reduced
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
-        return self.span(text, 0, len(text))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts that are of some MB together, or of one text."""
+        new: list[str] = []
+        plans = [self.plan(t, 0, len(t), new) if len(t) <= BLOCK else None for t in texts]
+        self.memo.learn(set(new))
+        return [self.reduce(p) if p is not None else self.span(t, 0, len(t)) for t, p in zip(texts, plans)]
 
     def span(self, text: str, lo: int, hi: int) -> list[int]:
-        """The ids of text[lo:hi] as a text of its own."""
-        if hi - lo <= self.leaf:
-            return self.direct(text, lo, hi)
+        """The ids of text[lo:hi], a part of a long text, as a text of its own: halves down to blocks that are planned."""
+        if hi - lo <= BLOCK:
+            return self.encode_all([text[lo:hi]])[0]
         middle = (lo + hi) // 2
         a, b = self.certain(text, lo, hi, middle)
         if b - a > 8 * self.leaf:
-            return self.span(text, lo, a) + self.direct(text, a, b) + self.span(text, b, hi)
+            return self.span(text, lo, a) + self.stretch(text, a, b) + self.span(text, b, hi)
         left, right = self.span(text, lo, middle), self.span(text, middle, hi)
+        return self.joined(left, right, self.pieces.findall(text, a, b), len(text[a:middle].encode()), len(text[middle:b].encode()))
+
+    def stretch(self, text: str, lo: int, hi: int) -> list[int]:
+        """The ids of a stretch without a certain place, piece by piece."""
+        return list(chain.from_iterable(self.memo[m.group()] for m in self.pieces.finditer(text, lo, hi)))
+
+    def leaf_of(self, text: str, lo: int, hi: int, new: list[str]) -> list:
+        """The pieces of text[lo:hi]: the ids of those met before, else the piece itself, which is added to ``new``."""
+        pieces = self.pieces.findall(text, lo, hi)
+        found = list(map(self.memo.get, pieces, pieces))
+        new += [x for x in found if x.__class__ is str]
+        return found
+
+    def plan(self, text: str, lo: int, hi: int, new: list[str]):
+        """The tree of text[lo:hi]: a leaf is a list of pieces; a node (left, right, pieces of the window, its bytes on the left, on the right)."""
+        if hi - lo <= self.leaf:
+            return self.leaf_of(text, lo, hi, new)
+        middle = (lo + hi) // 2
+        a, b = self.certain(text, lo, hi, middle)
+        if b - a > 8 * self.leaf:
+            inner = self.leaf_of(text, a, b, new)
+            return (self.plan(text, lo, a, new), (inner, self.plan(text, b, hi, new), [], 0, 0), [], 0, 0)
+        left, right = self.plan(text, lo, middle, new), self.plan(text, middle, hi, new)
         if a == middle:
-            return left + right
-        i, given = len(left), len(text[a:middle].encode())
-        while given:
+            return (left, right, [], 0, 0)
+        return (left, right, self.leaf_of(text, a, b, new), len(text[a:middle].encode()), len(text[middle:b].encode()))
+
+    def reduce(self, node) -> list[int]:
+        if isinstance(node, list):
+            return list(chain.from_iterable([self.memo[x] if x.__class__ is str else x for x in node]))
+        left, right, window, before, after = node
+        return self.joined(self.reduce(left), self.reduce(right), window, before, after)
+
+    def joined(self, left: list[int], right: list[int], window: list, before: int, after: int) -> list[int]:
+        """Two encoded neighbours as one: their tokens inside the window, ``before`` and ``after`` bytes of it, give way to its own."""
+        i, j, size = len(left), 0, self.bytes_of
+        while before:
             i -= 1
-            given -= self.length[left[i]]
-        j, given = 0, len(text[middle:b].encode())
-        while given:
-            given -= self.length[right[j]]
+            before -= len(size[left[i]])
+        while after:
+            after -= len(size[right[j]])
             j += 1
-        return left[:i] + self.direct(text, a, b) + right[j:]
-
-    def direct(self, text: str, lo: int, hi: int) -> list[int]:
-        """The ids of the pieces of text[lo:hi], one after the other."""
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces.findall(text, lo, hi))))
+        return left[:i] + self.reduce(window) + right[j:]
 
     def certain(self, text: str, lo: int, hi: int, middle: int) -> tuple[int, int]:
         """The nearest certain piece starts at or before and after ``middle``, by growing windows; else the ends."""
@@ -127,12 +172,10 @@ class TreeBpe:
         return [whole] if whole is not None else self.tree(piece)
 
     def merges(self, piece: bytes) -> list[int]:
-        """Lowest rank first, leftmost on ties: the definition; with a heap where the piece is long."""
+        """Lowest rank first, leftmost on ties: the definition, with a heap."""
         n, ranks = len(piece), self.ranks
         if n < 2:
             return [ranks[piece]] if n else []
-        if n <= 24:
-            return self.short_merges(piece)
         end = list(range(1, n + 1))  # of the part that starts here; 0 once merged away
         before = list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -155,20 +198,54 @@ class TreeBpe:
             i = end[i]
         return ids
 
-    def short_merges(self, piece: bytes) -> list[int]:
-        ranks = self.ranks
-        none = len(ranks) + 256
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-        while pairs and (least := min(pairs)) < none:
-            i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-            if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
-        return [ranks[p] for p in parts]
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks that pairs of ids merge to; NONE where they don't."""
+        keys = (left.astype(np.int64) << 24) + right
+        at = np.searchsorted(self.pair_keys, keys)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE) if len(self.pair_keys) else np.full(len(keys), NONE)
+
+    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merges`` of many pieces, all at once: in each step every row merges its lowest pair, the leftmost on ties."""
+        out = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for start in range(0, len(rest), 1 << 14):
+            some = rest[start : start + (1 << 14)]
+            sizes = np.array([len(pieces[i]) for i in some])
+            width = int(sizes.max()) + 1
+            filled = np.arange(width) < sizes[:, None]
+            ids = np.full((len(some), width), -1, np.int32)
+            ids[filled] = self.byte_id[np.frombuffer(b"".join([pieces[i] for i in some]), np.uint8)]
+            after = np.tile(np.arange(1, width + 1, dtype=np.int16), (len(some), 1))  # the next part's column
+            before = np.tile(np.arange(-1, width - 1, dtype=np.int16), (len(some), 1))
+            rank = np.full((len(some), width), NONE, np.int32)
+            pair = filled[:, 1:]
+            rank[:, :-1][pair] = self.rank_of(ids[:, :-1][pair], ids[:, 1:][pair])
+            rows = np.arange(len(some))
+            while len(rows):
+                own = rank[rows]
+                i = own.argmin(axis=1)
+                least = own[np.arange(len(rows)), i]
+                on = least < NONE
+                rows, i, least = rows[on], i[on], least[on]
+                j = after[rows, i]
+                k = after[rows, j]
+                ids[rows, i], ids[rows, j], rank[rows, j], after[rows, i] = least, -1, NONE, k
+                following = k < sizes[rows]
+                r, c = rows[following], k[following]
+                before[r, c] = i[following]
+                rank[rows, i] = NONE
+                rank[r, i[following]] = self.rank_of(least[following], ids[r, c])
+                p = before[rows, i]
+                led = p >= 0
+                r, c = rows[led], p[led]
+                rank[r, c] = self.rank_of(ids[r, c], least[led])
+            left = ids >= 0
+            stops = np.cumsum(left.sum(axis=1)).tolist()
+            flat = ids[left].tolist()
+            for row, begin, stop in zip(some, [0, *stops], stops):
+                out[row] = flat[begin:stop]
+        return out
 
     def stable(self, a: int, b: int) -> bool:
         return self.merges(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
@@ -192,13 +269,13 @@ class TreeBpe:
                 return left[:i] + window + right[j:]
             size *= 2
 
-    # decoding
 
-    def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
-        level = [b"".join(map(self.bytes_of.__getitem__, ids[i : i + leaf])) for i in range(0, len(ids), leaf)]
-        while len(level) > 1:
-            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
-        return level[0] if level else b""
+def decode_ids(ids: list[int], bytes_of: dict[int, bytes], leaf: int = LEAF) -> bytes:
+    """The bytes of ids: leaves first, then pairs up the tree."""
+    level = [b"".join(map(bytes_of.__getitem__, ids[i : i + leaf])) for i in range(0, len(ids), leaf)]
+    while len(level) > 1:
+        level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+    return level[0] if level else b""
 
 
 def _content(path: str) -> bytes:
@@ -230,20 +307,22 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``df`` with the ids (array<int>) of each text.  The rank file, of fixed size, is read on the driver and sent along."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, decoded: str | None = None) -> DataFrame:
+    """``df`` with the ids (array<int>) of each text and, if named, the bytes that they decode to.  The rank file, of fixed size, is read on the driver and sent along."""
     path, pattern = _defaults(path, pattern)
-    ids = free_name(df, ids)
+    ids, decoded = free_name(df, ids), decoded and free_name(df, decoded)
     content = df.sparkSession.sparkContext.broadcast(_content(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tree(content.value, pattern)
-        for batch in slices(batches, text, 2 << 20):
+        for batch in slices(batches, text, 1 << 20):
             column = batch.column(batch.schema.names.index(text)).to_pylist()
-            found = [np.array(bpe.encode(x or ""), np.int32) for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, arrow_lists(found, pa.int32())], [*batch.schema.names, ids])
+            found = bpe.encode_all([x or "" for x in column])
+            back = [pa.array([decode_ids(x, bpe.bytes_of) for x in found], pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, arrow_lists([np.array(x, np.int32) for x in found], pa.int32()), *back], [*batch.schema.names, ids, *([decoded] if decoded else [])])
 
-    return df.mapInArrow(run, _with(df, ids, T.ArrayType(T.IntegerType())))
+    made = _with(df, ids, T.ArrayType(T.IntegerType()))
+    return df.mapInArrow(run, made.add(decoded, T.BinaryType()) if decoded else made)
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -253,9 +332,9 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
     content = df.sparkSession.sparkContext.broadcast(_content(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tree(content.value, pattern)
+        bytes_of = {int(b): base64.b64decode(a) for a, b in map(bytes.split, content.value.splitlines())}
         for batch in batches:
-            found = [bpe.decode(x or []) for x in batch.column(batch.schema.names.index(ids)).to_pylist()]
+            found = [decode_ids(x or [], bytes_of) for x in batch.column(batch.schema.names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, decoded])
 
     return df.mapInArrow(run, _with(df, decoded, T.BinaryType()))
@@ -264,7 +343,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: ids and their round trip for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = decode(encode(docs).select("doc_id", "ids"))
+    found = encode(docs, decoded="decoded")
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -276,7 +355,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose ids decode to their texts (all, unless the tokenizer fails), with the ids and n_tokens, their number; names that are taken get a bar at the end."""
     ids, n_tokens = free_name(docs, "ids"), free_name(docs, "n_tokens")
-    made = encode(docs)
-    decoded = free_name(made, "decoded")
-    checked = decode(made, ids).where(F.col(f"`{decoded}`") == F.coalesce("text", F.lit("")).cast("binary")).drop(decoded)
+    decoded = free_name(docs, "decoded")
+    checked = encode(docs, decoded=decoded).where(F.col(f"`{decoded}`") == F.coalesce("text", F.lit("")).cast("binary")).drop(decoded)
     return written(checked.withColumn(n_tokens, F.size(f"`{ids}`").cast("long")), "tokens")

@@ -20,7 +20,7 @@ def same(tree, text):
     want = LIBRARY.encode_ordinary(text)
     got = tree.encode(text)
     assert got == want
-    assert tree.decode(got, leaf=4) == text.encode()
+    assert bpe.decode_ids(got, tree.bytes_of, leaf=4) == text.encode()
 
 
 @settings(max_examples=300, deadline=None)
@@ -39,6 +39,23 @@ def test_long_runs(text):
 @given(st.binary(min_size=1, max_size=300))
 def test_tree_over_one_piece_equals_plain_merges(piece):
     assert TREE.tree(piece, least=7) == TREE.merges(piece)
+    parts = [piece[i : i + 9] for i in range(0, len(piece), 9)]
+    assert TREE.merge_many(parts) == [[TREE.ranks[p]] if p in TREE.ranks else TREE.merges(p) for p in parts]
+
+
+def test_texts_over_a_block(monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 200)
+    for text in ("it's a text of words " * 100, "word" * 900 + " and then " * 60 + "漢字" * 700, "a b" * 600):
+        same(TREE, text)
+        same(PRODUCTION, text)
+
+
+def test_memo_starts_anew():
+    small = bpe.TreeBpe(bpe._content(PATH), P.PATTERN, leaf=16, window=4)
+    small.memo.most = 5
+    for i in range(20):
+        same(small, f"some words {i} that differ{i} from others{i}")
+    assert len(small.memo) <= 40
 
 
 def test_query_columns_and_null(spark):
