@@ -10,7 +10,8 @@ The loss mask is a list of character spans of the formatted string: what assista
 
 Cases: a null text, role or part list is empty, null parts are left out, unknown part types count as ``file``; null
 units count as one; turns are ordered by number (null first), then role and text, repeated ones stay; a null conv_id is
-one conversation; an empty table gives no rows; a conversation is one output row, so it must fit a row.
+one conversation; an empty table gives no rows; further columns, whatever
+their names, are left out; a very long text is formatted whole, and a conversation is one output row, so it must fit a row.
 """
 
 from __future__ import annotations
@@ -107,6 +108,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("said").cast("long").alias("loss_chars"),
         F.sha2(F.col("said").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -121,6 +124,7 @@ SELECT conv_id, count(*) AS n_turns,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(length('<|im_start|>') + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\|+)', '<|\1', 'g')) + 1
-      + length(regexp_replace(text, '<(\|+)', '<|\1', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+      + length(regexp_replace(text, '<(\|+)', '<|\1', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM m GROUP BY conv_id
 """
