@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentwatch.functions.text import clean_keywords, let, stem
 
 
-def local_relevance(prompt: Column, title: Column, text: Column, stops: list[str], threshold: Column | int = 70) -> Column:
-    """struct(score, matched, n_terms, related): stems of the prompt found among those of the text.
-
-    Two matches (or all, of fewer) give 70 to 100, fewer up to 50, none 0; a prompt without words gives 70.  ``matched``
-    names each matched stem's first word.
-    """
+def _verdict(words: Column, found: Column, threshold: Column | int) -> Column:
+    """The judgement of a prompt's words against the stems ``found`` in a text."""
     js_round = lambda x: F.floor(x + 0.5).cast("int")
 
-    def judged(words: Column) -> Column:
-        stems = F.transform(words, stem)
-        wanted = F.array_distinct(stems)
-        found = F.array_distinct(F.transform(F.array_distinct(clean_keywords(F.concat_ws(" ", title, text), stops)), stem))
-        return let(F.struct(words.alias("words"), stems.alias("stems"), F.size(wanted).alias("n"), F.array_intersect(wanted, found).alias("hit")), verdict)
-
     def verdict(v: Column) -> Column:
         n, m = v["n"], F.size(v["hit"])
         required = F.least(n, F.lit(2))
@@ -29,7 +19,34 @@ def local_relevance(prompt: Column, title: Column, text: Column, stops: list[str
         matched = F.transform(v["hit"], lambda s: F.get(v["words"], F.array_position(v["stems"], s).cast("int") - 1))
         return let(score, lambda x: F.struct(x.alias("score"), matched.alias("matched"), n.alias("n_terms"), (x >= threshold).alias("related")))
 
-    return let(F.array_distinct(clean_keywords(prompt, stops)), judged)
+    stems = F.transform(words, stem)
+    wanted = F.array_distinct(stems)
+    return let(F.struct(words.alias("words"), stems.alias("stems"), F.size(wanted).alias("n"), F.array_intersect(wanted, found).alias("hit")), verdict)
+
+
+def local_relevance(prompt: Column, title: Column, text: Column, stops: list[str], threshold: Column | int = 70) -> Column:
+    """struct(score, matched, n_terms, related): stems of the prompt found among those of the text.
+
+    Two matches (or all, of fewer) give 70 to 100, fewer up to 50, none 0; a prompt without words gives 70.  ``matched``
+    names each matched stem's first word.
+    """
+    found = F.array_distinct(F.transform(F.array_distinct(clean_keywords(F.concat_ws(" ", title, text), stops)), stem))
+    return let(F.array_distinct(clean_keywords(prompt, stops)), lambda words: _verdict(words, found, threshold))
+
+
+def local_relevance_of(rows: DataFrame, key: str, prompt: Column, title: Column, text: Column, stops: list[str], threshold: Column | int = 70) -> DataFrame:
+    """(key, relevance): ``local_relevance`` of many texts; ``key`` names a row.
+
+    Each text's words become rows, and only words that start like one of the prompt's stems are stemmed (a stem keeps its
+    word's first letter), so a long text costs few stems, and what is shuffled are the stems that match.
+    """
+    asked = rows.select(key, F.array_distinct(clean_keywords(prompt, stops)).alias("_words"), F.concat_ws(" ", title, text).alias("_text"))
+    wanted = asked.select(key, F.array_distinct(F.transform("_words", stem)).alias("_wanted"), F.explode(F.array_distinct(clean_keywords(F.col("_text"), stops))).alias("_word"))
+    near = wanted.where(F.array_contains(F.transform("_wanted", lambda s: F.substring(s, 1, 1)), F.substring("_word", 1, 1)))
+    hits = near.select(key, "_wanted", stem(F.col("_word")).alias("_stem")).where(F.array_contains("_wanted", F.col("_stem")))
+    found = hits.groupBy(key).agg(F.collect_set("_stem").alias("_found"))
+    joined = asked.select(key, "_words").join(found, key, "left")
+    return joined.select(key, _verdict(F.col("_words"), F.coalesce("_found", F.array().cast("array<string>")), threshold).alias("relevance"))
 
 
 def term_overlap_relevance(prompt: Column, title: Column, text: Column) -> Column:

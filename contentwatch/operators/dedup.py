@@ -55,12 +55,12 @@ def similar_titles(values: DataFrame, least: float = 0.9) -> DataFrame:
     return pairs.where(title_ratio("value", "other") >= least)
 
 
-def deduplicate(records: DataFrame, most: int = 200) -> DataFrame:
+def deduplicate(records: DataFrame) -> DataFrame:
     """The records (pos, canonical_url, content_hash, simhash, title) that a pass in the order of ``pos`` would keep.
 
     A record goes if one kept before it has its url, its content hash, a simhash within 3 bits or a similar title.  In each
     round, whoever has no undecided earlier neighbour is kept and its later neighbours go; rounds are as many as the
-    longest chain of such dependencies, and more than ``most`` raise RuntimeError.  Equal values are keys, never pairs.
+    longest chain of such dependencies; each round decides at least the first open record.  Equal values are keys, never pairs.
     """
     records = written(records, "dedup-records")
     key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"))
@@ -78,7 +78,7 @@ def deduplicate(records: DataFrame, most: int = 200) -> DataFrame:
         return own.unionByName(beside).groupBy("kind", "value").agg(F.min("least").alias("least"))
 
     kept, open_ = None, rows
-    for _ in range(most):
+    while True:
         judged = open_.join(earliest(open_), ["kind", "value"]).groupBy("pos").agg(F.min(F.col("least") >= F.col("pos")).alias("first"))
         now = written(judged.where("first").select("pos"), "dedup-kept")
         kept = now if kept is None else kept.unionByName(now)
@@ -87,4 +87,3 @@ def deduplicate(records: DataFrame, most: int = 200) -> DataFrame:
         if open_.isEmpty():
             # records without any key have nothing to share
             return records.join(kept, "pos", "left_semi").unionByName(records.join(rows.select("pos").distinct(), "pos", "left_anti"))
-    raise RuntimeError(f"undecided after {most} rounds")

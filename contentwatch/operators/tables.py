@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of its own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """``spark.checkpoint.dir``; where that is unset, a temporary folder in local mode and RuntimeError on a cluster, whose executors would each write their own."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
-        found = tempfile.mkdtemp(prefix="contentwatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="contentwatch-")
+        _own[context.applicationId] = found
     return found.rstrip("/")
 
 

@@ -247,8 +247,8 @@ a AS (SELECT id, {stemmed(clean("title || ' ' || content"))} AS ds FROM {ARTICLE
 m AS (SELECT a.id, count(*) FILTER (WHERE list_contains(ds, s)) AS m, count(*) AS n, coalesce(string_agg(w, ',' ORDER BY i) FILTER (WHERE list_contains(ds, s)), '') AS matched FROM a, s GROUP BY 1)
 SELECT id, score, matched, n::INTEGER AS n_terms, score >= 70 AS related FROM (SELECT *, (CASE WHEN m = 0 THEN 0 WHEN m >= least(n, 2) THEN floor(70 + 30 * m / n + 0.5) ELSE floor(50 * m / least(n, 2) + 0.5) END)::INTEGER AS score FROM m)""")
 def local_relevance(spark, sf):
-    found = relevance.local_relevance(F.lit(LOCAL_PROMPT), F.col("title"), F.col("content"), text.STOP_WORDS)
-    return Tables(spark, sf).articles().select("id", found.alias("r")).select("id", "r.score", F.array_join("r.matched", ",").alias("matched"), "r.n_terms", "r.related")
+    found = relevance.local_relevance_of(Tables(spark, sf).articles(), "id", F.lit(LOCAL_PROMPT), F.col("title"), F.col("content"), text.STOP_WORDS)
+    return found.select("id", "relevance.score", F.array_join("relevance.matched", ",").alias("matched"), "relevance.n_terms", "relevance.related")
 
 
 @query("term_overlap_relevance", f"SELECT id, 100.0 * len(list_filter(ws, lambda w: contains(lower(title || ' ' || content), w))) / len(ws) AS score FROM (SELECT *, list_filter(regexp_extract_all(lower('{PROMPT}'), '\\w+'), lambda w: length(w) > 2) AS ws FROM {ARTICLES})")
