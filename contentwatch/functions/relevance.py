@@ -42,7 +42,7 @@ def local_relevance_of(rows: DataFrame, key: str, prompt: Column, title: Column,
     """
     asked = rows.select(key, F.array_distinct(clean_keywords(prompt, stops)).alias("_words"), F.concat_ws(" ", title, text).alias("_text"))
     wanted = asked.select(key, F.array_distinct(F.transform("_words", stem)).alias("_wanted"), F.explode(F.array_distinct(clean_keywords(F.col("_text"), stops))).alias("_word"))
-    near = wanted.where(F.array_contains(F.transform("_wanted", lambda s: F.substring(s, 1, 1)), F.substring("_word", 1, 1)))
+    near = wanted.where(F.array_join("_wanted", " ", "").contains(F.substring("_word", 1, 1)))
     hits = near.select(key, "_wanted", stem(F.col("_word")).alias("_stem")).where(F.array_contains("_wanted", F.col("_stem")))
     found = hits.groupBy(key).agg(F.collect_set("_stem").alias("_found"))
     joined = asked.select(key, "_words").join(found, key, "left")
