@@ -9,7 +9,7 @@ an insertion changes the chunks around it and no others, and a passage has the s
 Chunks are deduplicated by 128-bit digest, as is each whole text of ``LEAST_CHARS`` characters or more: one is repeated if a
 document with a smaller id has it too.  The first document keeps it; elsewhere, overlapping and touching repeated chunks join to
 spans, and spans of at least ``least_chars`` characters are reported.  Exact copies of that length are always found; a shared
-passage of over 50 words is found but for chance (about 2 in 1,000).
+passage of over 50 words is found but for chance (2 in 100 of 51 words, fewer of longer ones).
 
 Cases: null and empty texts and those of fewer than ``LEAST`` bytes have no chunks and no spans; a very long text is chunked
 whole, its chunks being rows of their own; rows that share a doc_id count as one document and don't repeat each other; equal
