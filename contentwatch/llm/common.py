@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
+#: Bytes a task holds of a table that it writes; texts are long, and tasks share memory.
+BLOCK = 32 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -51,7 +54,7 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(spark, name)
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", BLOCK).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

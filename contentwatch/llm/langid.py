@@ -191,19 +191,22 @@ class Lattice:
 
     # words of texts
 
-    def word_logs(self, code: np.ndarray, starts: np.ndarray, stops: np.ndarray, p: np.ndarray, block: int = 8_000) -> np.ndarray:
-        """(words, languages): the log probability of every word."""
-        out, short = np.zeros((len(starts), p.shape[1])), stops - starts <= SHORT
+    def text_logs(self, code: np.ndarray, starts: np.ndarray, stops: np.ndarray, offsets: np.ndarray, p: np.ndarray, block: int = 4_000) -> np.ndarray:
+        """(texts, languages): the log probability of every text, summed over its words in their order, so that equal texts get equal sums."""
+        of, short = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), stops - starts <= SHORT
+        out = np.zeros((len(offsets) - 1, p.shape[1]))
         matrix, lengths, row = self.distinct(code, starts[short], stops[short])
         if len(lengths):
-            out[short] = np.concatenate([self.log_probability(matrix[i : i + block, : int(lengths[i])], lengths[i : i + block], p) for i in range(0, len(lengths), block)])[row]
-        known: dict[bytes, np.ndarray] = {}
+            known = np.concatenate([self.log_probability(matrix[i : i + block, : int(lengths[i])], lengths[i : i + block], p) for i in range(0, len(lengths), block)])
+            for k in range(p.shape[1]):  # one language at a time: words by languages would take many times the text
+                out[:, k] = np.bincount(of[short], known[row, k], len(out))
+        logs, seen = None if short.all() else np.log(p), {}
         for i in np.flatnonzero(~short).tolist():
             word = code[starts[i] : stops[i]]
             key = word.tobytes()
-            if key not in known:
-                known[key] = self.long_log_probability(word, np.log(p))
-            out[i] = known[key]
+            if key not in seen:
+                seen[key] = self.long_log_probability(word, logs)
+            out[of[i]] += seen[key]
         return out
 
     def word_expected(self, code: np.ndarray, starts: np.ndarray, stops: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -290,9 +293,7 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndar
             code, starts, stops, offsets = lattice.words(texts)
             found, scores = [UND] * len(texts), np.zeros(len(texts))
             if len(starts) and languages:
-                sums = np.zeros((len(starts) + 1, len(languages)))
-                np.cumsum(lattice.word_logs(code, starts, stops, shared.value[1]), axis=0, out=sums[1:])
-                own = sums[offsets[1:]] - sums[offsets[:-1]]
+                own = lattice.text_logs(code, starts, stops, offsets, shared.value[1])
                 best = own.argmax(axis=1)
                 posterior = 1 / np.exp(own - own.max(axis=1, keepdims=True)).sum(axis=1)
                 for i in np.flatnonzero(np.diff(offsets)):

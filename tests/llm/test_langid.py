@@ -58,8 +58,19 @@ def test_long_words_are_summed_whole():
         assert np.allclose(total, lattice.expected(matrix, lengths, p[:, 1], np.ones(1)))
     code, starts, stops, offsets = lattice.words(["z" * 20_000, "1 2", "ab " + "z" * 20_000])
     assert offsets.tolist() == [0, 1, 1, 3]
-    logs = lattice.word_logs(code, starts, stops, p)
-    assert np.isfinite(logs).all() and np.allclose(logs[0], logs[2]) and logs[0, 0] < 20_000 * np.log(li.UNKNOWN) + 1
+    logs = lattice.text_logs(code, starts, stops, offsets, p)
+    matrix, lengths, _ = lattice.distinct(code, starts[1:2], stops[1:2])
+    assert np.isfinite(logs).all() and np.allclose(logs[0], logs[2] - lattice.log_probability(matrix, lengths, p)[0]) and logs[0, 0] < 20_000 * np.log(li.UNKNOWN) + 1
+    assert (logs[1] == 0).all()
+
+
+def test_equal_texts_get_equal_sums_wherever_they_stand():
+    lattice, rng = li.Lattice(PIECES), np.random.default_rng(5)
+    p = np.vstack([rng.random((len(PIECES), 3)), np.full((1, 3), li.UNKNOWN)])
+    texts = [" ".join("".join(rng.choice(list("abéz"), size=n)) for n in rng.integers(1, 40, size=200)) for _ in range(4)]
+    alone = [lattice.text_logs(*lattice.words([t]), p)[0] for t in texts]
+    together = lattice.text_logs(*lattice.words(texts + texts[::-1]), p, block=17)
+    assert (together == np.array(alone + alone[::-1])).all()
 
 
 def brute_predict(text, pieces, languages, p):
