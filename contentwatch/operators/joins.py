@@ -81,8 +81,16 @@ def cascade_delete(plans: DataFrame, articles: DataFrame, seen: DataFrame, doome
 
 def delete_articles(articles: DataFrame, seen: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Articles and their seen urls without those of ``doomed`` (id)."""
-    gone = articles.join(doomed.select("id").distinct(), "id", "left_semi").select("plan_id", "url")
-    return articles.join(doomed.select("id").distinct(), "id", "left_anti"), seen.join(gone, ["plan_id", "url"], "left_anti")
+    ids = doomed.select("id").distinct()
+    gone = articles.join(ids, "id", "left_semi").select("plan_id", "url").distinct()
+    return articles.join(ids, "id", "left_anti"), seen.join(gone, ["plan_id", "url"], "left_anti")
+
+
+def clear_user(plans: DataFrame, articles: DataFrame, seen: DataFrame, logs: DataFrame, user_id: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The tables without what belongs to a user: plans, articles and logs by user_id (null: nobody's, so they stay), seen urls by the user's plans."""
+    others = lambda df: df.where(~F.col("user_id").eqNullSafe(F.lit(user_id)))
+    own = plans.where(F.col("user_id") == user_id).select(F.col("id").alias("plan_id")).distinct()
+    return others(plans), others(articles), seen.join(own, "plan_id", "left_anti"), others(logs)
 
 
 def union_candidates(*lists: DataFrame, key: str = "url") -> DataFrame:

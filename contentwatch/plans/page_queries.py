@@ -283,6 +283,24 @@ def stream_new_articles(spark, sf):
     return found.select("plan_id", "url")
 
 
+HISTORY = "(SELECT (user_id % 50)::VARCHAR AS plan_id, event_type || event_id % 37 AS url, event_id FROM events)"
+
+
+@query("stream_unseen_articles", f"SELECT DISTINCT plan_id, url FROM {HISTORY} WHERE (plan_id, url) NOT IN (SELECT plan_id, url FROM {HISTORY} WHERE event_id % 5 = 0)")
+def stream_unseen_articles(spark, sf):
+    """New against the whole stored history, batch after batch; a fifth of the events' addresses is stored before."""
+    path = _path(spark)
+    address = [(F.col("user_id") % 50).cast("string").alias("plan_id"), F.concat("event_type", F.col("event_id") % 37).alias("url")]
+    events = Tables(spark, sf).events
+    events.where("event_id % 5 = 0").select(*address, F.lit(-1).cast("long").alias("batch")).write.parquet(f"{path}/seen")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{path}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events").select(*address)
+    put = lambda rows, number: rows.select("plan_id", "url").write.mode("append").parquet(f"{path}/out")
+    run = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(jobs.new_articles_batch(f"{path}/seen", put, "url")).start()
+    run.awaitTermination()
+    return spark.read.schema("plan_id string, url string").parquet(f"{path}/out")
+
+
 @query("stream_window_filter", "SELECT event_id AS id, user_id % 50 AS plan_id FROM events WHERE ts::DATE >= DATE '2024-01-10' AND ts::DATE <= DATE '2024-01-12'")
 def stream_window_filter(spark, sf):
     windows = Tables(spark, sf).customer.where("c_custkey < 50").select(F.col("c_custkey").alias("plan_id"), F.lit("2024-01-10").cast("timestamp").alias("cutoff"), F.lit("2024-01-12").cast("timestamp").alias("stop"))

@@ -180,6 +180,29 @@ def cascade_delete(spark, sf):
     return joins.cascade_delete(t.plans(), t.dated(), t.dated().select("plan_id", "url"), doomed)[1].select("id")
 
 
+@query("delete_articles", f"SELECT plan_id, url FROM {DATED} WHERE (plan_id, url) NOT IN (SELECT plan_id, url FROM {DATED} WHERE status = 'F')")
+def delete_articles(spark, sf):
+    """What stays seen once all articles of one status are deleted."""
+    articles = Tables(spark, sf).dated()
+    return joins.delete_articles(articles, articles.select("plan_id", "url"), articles.where("status = 'F'").select("id"))[1]
+
+
+@query("clear_user", f"""
+WITH own AS (SELECT id FROM {PLANS} WHERE user_id = '3')
+SELECT 'plans' AS tab, count(*) AS n FROM {PLANS} WHERE user_id <> '3'
+UNION ALL SELECT 'articles', count(*) FROM {DATED} WHERE plan_id % 25 <> 3
+UNION ALL SELECT 'seen', count(*) FROM {DATED} WHERE plan_id NOT IN (SELECT id FROM own)
+UNION ALL SELECT 'logs', count(*) FROM {LOG} WHERE user_id <> 3
+""")
+def clear_user(spark, sf):
+    """How much of each table stays without one user's rows."""
+    t = Tables(spark, sf)
+    articles = t.dated().withColumn("user_id", (F.col("plan_id") % 25).cast("string"))
+    kept = joins.clear_user(t.plans(), articles, t.dated().select("plan_id", "url"), t.log().withColumn("user_id", F.col("user_id").cast("string")), "3")
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n") for name, df in zip(("plans", "articles", "seen", "logs"), kept)]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
 @query("near_duplicate_pairs", f"""
 WITH v AS (SELECT DISTINCT simhash AS v FROM ({SIMHASHES}) WHERE simhash <> 0)
 SELECT a.v AS value, b.v AS other FROM v a JOIN v b ON a.v <> b.v AND bit_count(xor(a.v, b.v)) <= 3
