@@ -37,23 +37,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes that go to a Python worker at once; texts are long, and tasks share memory.
+BATCH = 8 << 20
+
+
 @contextmanager
-def small_batches(spark: SparkSession, most: int = 8 << 20):
-    """While it lasts, at most ``most`` bytes go to a Python worker at once; texts are long, and tasks share memory."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, f"{most}b")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings ``values`` while it lasts, then those of before."""
+    before = {key: spark.conf.get(key, None) for key in values}
     try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder (or ``folder`` in it), reread: cuts the lineage and survives lost executors."""
+    """``df`` as a table in the shared folder (or ``folder`` in it), reread: cuts the lineage and survives lost executors.
+
+    Its shuffle files are deleted with the end of the write, as nothing reads them after it.
+    """
     spark = df.sparkSession
     path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(spark, name)
-    with small_batches(spark):
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": f"{BATCH}b", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.option("parquet.block.size", BLOCK).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentwatch.llm.common import SPACES, arrow_lists, binaries, free_name, scratch, slices, written
@@ -60,8 +60,8 @@ def _salts(count: int) -> np.ndarray:
     return mix(np.arange(1 << 20, (1 << 20) + count, dtype=np.uint64) * SEED)
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, class, left, right): the set's size and digest and the groups of both collections; class is null and the groups are empty for an empty set."""
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, groups: int = GROUPS, rows: int = ROWS, kind: str = "long") -> DataFrame:
+    """(doc_id of type ``kind``, n_shingles, class, left, right): the set's size and digest and the groups of both collections; class is null and the groups are empty for an empty set."""
     count = 2 * groups * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
             lists = [arrow_lists([x.view(np.int64) for x in side], pa.int64()) for side in (left, right)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), *lists], ["doc_id", "n_shingles", "class", "left", "right"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class binary, left array<long>, right array<long>")
+    return docs.select(F.col(doc_id).cast(kind).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, left array<long>, right array<long>")
 
 
 def full_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -136,25 +136,29 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
     return single.groupBy("num").agg(F.count("*").alias("alone"))
 
 
-def numbered(found: DataFrame, folder: str) -> DataFrame:
+def row_of(doc_id: str, kind: str) -> Column:
+    """The id by which a class's text is found again."""
+    return F.coalesce(F.col(doc_id).cast(kind), F.lit(NO_ID if kind == "long" else b""))
+
+
+def numbered(found: DataFrame, folder: str, kind: str = "long") -> DataFrame:
     """(class, num, row, n, left, right, copies, least): the distinct sets of ``found``, numbered; row: one of their rows' ids, least: the least id that isn't null."""
-    row = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    classes = found.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("row"), F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("copies"))
+    classes = found.where("class IS NOT NULL").groupBy("class").agg(F.min(row_of("doc_id", kind)).alias("row"), F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("copies"))
     return written(classes.withColumn("num", F.monotonically_increasing_id()), "classes", folder)  # numbers hold once written
 
 
-def links(docs: DataFrame, classes: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, kind: str = "long") -> DataFrame:
     """Confirmed (x, y) links between numbers of classes: enough of them to connect what all links connect.  classes: from ``numbered``."""
     key = F.posexplode(F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y)))))
-    keys = classes.select("num", "n", "row", "copies", key.alias("table", "key"))
+    keys = classes.select("num", "n", "copies", key.alias("table", "key"))
     ends = keys.groupBy("key").agg(F.min(F.struct("num", "n")).alias("low"), F.max(F.struct("copies", "num", "n")).alias("high"), F.count("*").alias("many")).where("many > 1")
     # the aggregate is a table of its own, so Spark can split a large key's rows when they join
-    members = written(keys.join(written(ends, "ends", folder), "key").select("key", "table", "num", "n", "row", "low", "high"), "members", folder)
+    members = written(keys.join(written(ends, "ends", folder), "key").select("key", "table", "num", "n", "low", "high"), "members", folder)
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     ordered = lambda df: df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    wanted = written(members.select("num", "row").distinct(), "wanted", folder)
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("row"), F.col(text).alias("text")).join(wanted.select("row").distinct(), "row", "left_semi")
+    wanted = written(classes.select("num", "row").join(members.select("num").distinct(), "num"), "wanted", folder)
+    texts = docs.select(row_of(doc_id, kind).alias("row"), F.col(text).alias("text")).join(wanted.select("row").distinct(), "row", "left_semi")
     named = classes.select("class", "num").join(wanted.select("num"), "num")
     sets = written(full_sets(texts, size).join(named, "class").groupBy("num").agg(F.first("shingles").alias("shingles")), "sets", folder)
 
@@ -184,12 +188,12 @@ def links(docs: DataFrame, classes: DataFrame, folder: str, doc_id: str = "doc_i
     return first.union(written(confirmed(ordered(pairs), sets, percent), "links", folder))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, groups: int = GROUPS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, groups: int = GROUPS, kind: str = "long") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; ids are of type ``kind``, long or binary."""
     with scratch(docs.sparkSession, "minhash") as folder:
-        found = written(signatures(docs, doc_id, text, size, groups), "signatures", folder)
-        classes = numbered(found, folder)
-        joined = components(links(docs, classes, folder, doc_id, text, size, percent)).withColumnRenamed("node", "num")
+        found = written(signatures(docs, doc_id, text, size, groups, kind=kind), "signatures", folder)
+        classes = numbered(found, folder, kind)
+        joined = components(links(docs, classes, folder, doc_id, text, size, percent, kind)).withColumnRenamed("node", "num")
         named = classes.select("class", "num", "least").join(joined, "num", "left").withColumn("component", F.coalesce("component", "num"))
         names = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", "component_id")
         out = found.select("doc_id", "n_shingles", "class").join(written(names, "names", folder), "class", "left")
@@ -205,16 +209,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = STAGE_PERCENT, groups: int = STAGE_GROUPS) -> DataFrame:
     """One row of each component at a similarity of 0.8 stays: that of the least id, null ids last; of equal ids that of the least key.
 
-    Rows are told apart by a 128-bit digest of id and text, not by id; of rows equal in both one stays.
+    Rows are told apart by a 128-bit digest of id and text, not by id; of rows equal in both one stays.  The key of a row starts
+    with its id, so the least key of a component is the row that stays, and no texts are shuffled before the last step.
     """
     row = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
     digest = F.md5(F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), row).cast("binary"))
-    with scratch(spark, "near-stage") as folder:
-        # the operator's rows are named by numbers, one for each digest
-        rows = written(docs.select(digest.alias("digest"), "doc_id", "text").dropDuplicates(["digest"]).withColumn("num", F.monotonically_increasing_id()), "rows", folder)
-        named = near_duplicates(rows.select("num", "text"), "num", "text", SHINGLE, percent, groups).select(F.col("doc_id").alias("num"), "component_id")
-        first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))).getField("digest").alias("digest")
-        kept = written(named.join(rows.select("num", "doc_id", "digest"), "num").groupBy("component_id").agg(first).select("digest"), "kept")
-    name = free_name(docs, "row_digest")
-    chosen = docs.withColumn(name, digest)
-    return chosen.join(kept.withColumnRenamed("digest", name), name, "left_semi").dropDuplicates([name]).select(*[chosen[f"`{c}`"] for c in docs.columns])
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(NO_ID))), 16, "0")  # sorts as the number does
+    key = F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), number), F.lit("01")), digest))
+    name = free_name(docs, "row_key")
+    chosen = docs.withColumn(name, key)
+    named = near_duplicates(docs.select(key.alias("row_key"), "text"), "row_key", "text", SHINGLE, percent, groups, "binary")
+    kept = written(named.where("kept").select(F.col("doc_id").alias(name)).distinct(), "kept")
+    return chosen.join(kept, name, "left_semi").dropDuplicates([name]).select(*[chosen[f"`{c}`"] for c in docs.columns])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentwatch.llm.common import free_name, partitions, scratch, slices, small_batches, written
+from contentwatch.llm.common import BATCH, free_name, partitions, scratch, slices, settings, written
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
@@ -87,7 +87,7 @@ def fill(docs: DataFrame, cache: str, path: str, text: str = "text") -> None:
     known = read_cache(spark, cache, version).select("digest")
     # copies are dropped before the shuffle, so a text that fills a third of the table sends a row a task
     apart = texts.mapInArrow(_once, texts.schema).join(known, "digest", "left_anti").repartition(partitions(spark), "digest")
-    with small_batches(spark):
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": f"{BATCH}b"}):
         apart.mapInArrow(encoded, CACHE).write.mode("append").parquet(cache)
 
 
