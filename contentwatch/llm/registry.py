@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contentwatch.llm import bpe, brown, chat, decontaminate, langid, licenses, minhash, simhash, substrings, token_counts
+from contentwatch.llm import alignment, bpe, brown, chat, decontaminate, langid, licenses, minhash, pii, resampling, simhash, substrings, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_simhash": simhash.query,
         "op9_decontaminate": decontaminate.query,
         "op10_byte_bpe": bpe.query,
+        "op11_alignment": alignment.query,
+        "op12_pii": pii.query,
+        "op13_resampling": resampling.query,
     }
 
 
