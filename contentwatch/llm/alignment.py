@@ -39,6 +39,10 @@ from contentwatch.llm.common import arrow_lists, free_name, scratch, slices, wri
 SENT = 1 << 20
 #: Words after which a task's cache begins anew, keeping one older one, and the longest word in it.
 KEPT, LONGEST = 1 << 17, 48
+#: Fixed value: the pattern of byte-level BPE, as the library has it.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters, digits and signs that every version of Unicode classes alike, and spaces.
+LATIN = re.compile("[\x20-\x7e\u00a1-\u024f]+")
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -96,9 +100,10 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Both tokenizers over words: (ids of A, ids of B) and the bytes of each id."""
+    """Both tokenizers over words, with the bytes of each id."""
 
-    def __init__(self, a: bytes, b: bytes):
+    def __init__(self, a: bytes, b: bytes, ranked: bool = False):
+        """ranked: whether the merges of A follow the ids, so that words of Latin letters can be merged by rank (``by_rank``)."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,119 +118,189 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level vocabulary writes as themselves
         other = [x for x in range(256) if x not in plain]
         byte = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(other)}
-        vocab = json.loads(a)["model"]["vocab"]
+        model = json.loads(a)["model"]
         self.bytes_a = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for entry, i in vocab.items():
+        for entry, i in model["vocab"].items():
             self.bytes_a[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.kept: dict[str, tuple] = {}  # the words of late, and those before them
-        self.older: dict[str, tuple] = {}
+        self.ranks = None
+        if ranked:
+            import tiktoken
+
+            special = {x["content"] for x in json.loads(a).get("added_tokens", [])}
+            self.ranks = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={self.bytes_a[i]: i for entry, i in model["vocab"].items() if entry not in special}, special_tokens={})
+        # ids of the words of late and of those before them, as the bytes of int32 arrays
+        self.kept_a, self.kept_b, self.older_a, self.older_b = {}, {}, {}, {}
+        self.bad: set[str] = set()
+
+    def _ids_a(self, text: str) -> list[int]:
+        """The ids of A of a space and the text."""
+        if self.ranks and LATIN.fullmatch(text):
+            return self.ranks.encode_ordinary(" " + text)
+        return self.a.encode(" " + text, add_special_tokens=False).ids
+
+    def _same(self, text: str, x: list[int], y: list[int]) -> bool:
+        """Whether both give back a space and the text."""
+        given = b" " + text.encode()
+        return b"".join(map(self.bytes_a.__getitem__, x)) == given and b"".join(map(self.bytes_b.__getitem__, y)) == given
 
-    def _each(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-        """(ids of A, ids of B, whether both give back a space and the word) of words encoded one by one."""
-        found = []
+    def _keep(self, word: str, x: np.ndarray, y: np.ndarray, same: bool) -> None:
+        self.kept_a[word], self.kept_b[word] = x.tobytes(), y.tobytes()
+        if not same:
+            self.bad.add(word)
+
+    def _each(self, words: list[str]) -> None:
+        """Keeps words encoded one by one."""
         for word in words:
-            x, y = self.a.encode(" " + word, add_special_tokens=False).ids, self.b.encode(word)
-            given = b" " + word.encode()
-            same = b"".join([self.bytes_a[i] for i in x]) == given and b"".join([self.bytes_b[i] for i in y]) == given
-            found.append((np.array(x, np.int32), np.array(y, np.int32), same))
-        return found
+            x, y = self._ids_a(word), self.b.encode(word)
+            self._keep(word, np.array(x, np.int32), np.array(y, np.int32), self._same(word, x, y))
 
-    def _together(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    def _together(self, words: list[str]) -> None:
         """``_each`` for words without white space at their ends, encoded as one text and cut where they end."""
+        if not words:
+            return
         text = " ".join(words)
-        x, y = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-        given = b" " + text.encode()
-        if b"".join([self.bytes_a[i] for i in x]) != given or b"".join([self.bytes_b[i] for i in y]) != given:
-            half = len(words) // 2
-            return self._together(words[:half]) + self._together(words[half:]) if half else self._each(words)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
-        parts = []
-        for ids, size in ((x, self.size_a), (y, self.size_b)):
+        x, y = self._ids_a(text), self.b.encode(text)
+        if not self._same(text, x, y):
+            if len(words) == 1:
+                return self._each(words)
+            self._together(words[: len(words) // 2])
+            return self._together(words[len(words) // 2 :])
+        ends = np.cumsum([len(w) + 1 for w in words]) if text.isascii() else np.cumsum([len(w.encode()) + 1 for w in words])
+        for ids, size, kept in ((x, self.size_a, self.kept_a), (y, self.size_b, self.kept_b)):
             ids = np.array(ids, np.int32)
-            cuts = [0, *(np.searchsorted(np.cumsum(size[ids]), ends) + 1).tolist()]
-            parts.append([ids[i:j] for i, j in zip(cuts, cuts[1:])])
-        return [(i, j, True) for i, j in zip(*parts)]
+            cuts, whole = [0, *((np.searchsorted(np.cumsum(size[ids]), ends) + 1) * 4).tolist()], ids.tobytes()
+            kept.update(zip(words, [whole[i:j] for i, j in zip(cuts, cuts[1:])]))
 
-    def __call__(self, texts: list[str]) -> list[list[tuple]]:
-        """Per text its words' ids; a null or empty text has no words."""
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text; none for null and empty texts and those that aren't given back."""
         cut = [(BETWEEN.split(t) if self.apart and "▁" not in t else [t]) if t else [] for t in texts]
-        known, missing = self.kept, set()
-        for word in {w for words in cut for w in words}:
-            if word not in known:
-                if word in self.older:
-                    known[word] = self.older[word]
-                else:
-                    missing.add(word)
-        short = [w for w in missing if len(w) <= LONGEST and not w[0].isspace() and not w[-1].isspace() and "▁" not in w]
-        for i in range(0, len(short), 2048):
-            part = short[i : i + 2048]
-            known.update(zip(part, self._together(part)))
-        missing.difference_update(short)
-        long = dict(zip(missing, self._each(list(missing))))
-        found = [[known[w] if w in known else long[w] for w in words] for words in cut]
-        if len(known) > KEPT:
-            self.older, self.kept = known, {}
+        missing = set().union(*cut) - self.kept_a.keys()
+        for word in missing & self.older_a.keys():
+            self.kept_a[word], self.kept_b[word] = self.older_a[word], self.older_b[word]
+        missing -= self.older_a.keys()
+        odd = [w for w in missing if len(w) > LONGEST or w[0].isspace() or w[-1].isspace() or "▁" in w]
+        missing.difference_update(odd)
+        # Latin words apart from others, as these are encoded in another way
+        latin = [w for w in missing if LATIN.fullmatch(w)] if self.ranks else []
+        for some in (latin, list(missing.difference(latin))):
+            for i in range(0, len(some), 2048):
+                self._together(some[i : i + 2048])
+        self._each(odd)
+        found = []
+        for words in cut:
+            good = not self.bad or self.bad.isdisjoint(words)
+            found.append(tuple(np.frombuffer(b"".join(map(kept.__getitem__, words)) if good else b"", np.int32) for kept in (self.kept_a, self.kept_b)))
+        for word in odd:
+            del self.kept_a[word], self.kept_b[word]
+        self.bad.difference_update(odd)
+        if len(self.kept_a) > KEPT:
+            self.older_a, self.older_b, self.kept_a, self.kept_b = self.kept_a, self.kept_b, {}, {}
+            self.bad &= self.older_a.keys()
         return found
 
 
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+def by_rank(a: bytes, b: bytes) -> bool:
+    """Whether merging by id gives what A's merges give: the same splitting pattern, merges in the order of their ids, and every entry of Latin letters, as a word, alike."""
+    encoder, model = Encoder(a, b, True), json.loads(a)
+    if model.get("normalizer") or model["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": model["pre_tokenizer"].get("trim_offsets"), "use_regex": True}:
+        return False
+    vocab, merges = model["model"]["vocab"], model["model"]["merges"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    if made != sorted(made) or model["model"].get("dropout") or model["model"].get("ignore_merges"):
+        return False
+    words = [w for w in (x.decode("utf-8", "replace").removeprefix(" ") for x in encoder.bytes_a) if w and LATIN.fullmatch(w) and w.strip() == w]
+    return all(x.ids == encoder.ranks.encode_ordinary(" " + w) for w, x in zip(words, encoder.a.encode_batch([" " + w for w in words], add_special_tokens=False)))
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with a_ids, b_ids array<int> and, for each token of A, the first and last token of B that it overlaps: b_first, b_last array<int> (numbers from 0).
+_encoders: dict[bytes, Encoder] = {}
 
-    A is a byte-level BPE of the library tokenizers, given a space and the text; B a sentencepiece model, which adds the space itself.
-    Token i of A ends a group where the next token's ``b_first`` is greater than its ``b_last``.
-    """
-    context = docs.sparkSession.sparkContext
+
+def _encoder(a: bytes, b: bytes, ranked: bool) -> Encoder:
+    """One encoder a Python worker, so that its cache outlives a task."""
+    key = hashlib.sha256(a + b).digest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(a, b, ranked)
+    return _encoders[key]
+
+
+def _tokenizers(docs: DataFrame, path_a: str, path_b: str):
+    """The files of both tokenizers and ``by_rank``, sent to the tasks."""
     files = []
     for path in (path_a, path_b):
         with open(path, "rb") as f:
             files.append(f.read())
-    sent = context.broadcast(files)
-    rest = [c for c in docs.columns if c != text]
-    names = [free_name(docs.drop(text), n) for n in ("a_ids", "b_ids", "b_first", "b_last")]
-    schema = T.StructType([*[docs.schema[c] for c in rest], *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in names]])
+    return docs.sparkSession.sparkContext.broadcast((*files, by_rank(*files)))
+
+
+def _align(sent, text: str, rest: list[str], names: list[str]):
+    """A function over batches that puts the columns of ``align`` in the place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*sent.value)
+        encoder = _encoder(*sent.value)
         for batch in slices(batches, text, 1 << 20):
-            words = encoder(batch.column(batch.schema.names.index(text)).to_pylist())
-            good = [all(w[2] for w in own) for own in words]
-            own_a = [_joined([w[0] for w in own] if ok else []) for own, ok in zip(words, good)]
-            own_b = [_joined([w[1] for w in own] if ok else []) for own, ok in zip(words, good)]
+            ids = encoder(batch.column(batch.schema.names.index(text)).to_pylist())
+            none = np.zeros(0, np.int32)
+            firsts, lasts = [none] * len(ids), [none] * len(ids)
             # the texts' ends follow each other in one list; texts with fewer tokens of A than of B are searched apart from the others
-            firsts, lasts = [None] * len(words), [None] * len(words)
             for side in (True, False):
-                some = [i for i in range(len(words)) if (len(own_a[i]) <= len(own_b[i])) == side and len(own_a[i])]
+                some = [i for i, (a, b) in enumerate(ids) if (len(a) <= len(b)) == side and len(a)]
                 if not some:
                     continue
-                ends_a, ends_b = (np.cumsum(size[_joined([own[i] for i in some])]) for size, own in ((encoder.size_a, own_a), (encoder.size_b, own_b)))
-                first, last = overlaps(ends_a, ends_b)
+                ends = [np.cumsum(size[np.concatenate([ids[i][j] for i in some])]) for j, size in ((0, encoder.size_a), (1, encoder.size_b))]
+                first, last = overlaps(*ends)
                 place_a = place_b = 0
                 for i in some:
-                    n = len(own_a[i])
+                    n = len(ids[i][0])
                     firsts[i], lasts[i] = first[place_a : place_a + n] - place_b, last[place_a : place_a + n] - place_b
-                    place_a, place_b = place_a + n, place_b + len(own_b[i])
-            none = np.zeros(0, np.int32)
-            lists = [own_a, own_b, [none if x is None else x for x in firsts], [none if x is None else x for x in lasts]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in rest], *[arrow_lists([x.astype(np.int32) for x in one], pa.int32()) for one in lists]], [*rest, *names])
+                    place_a, place_b = place_a + n, place_b + len(ids[i][1])
+            lists = [[x for x, _ in ids], [x for _, x in ids], [x.astype(np.int32) for x in firsts], [x.astype(np.int32) for x in lasts]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in rest], *[arrow_lists(x, pa.int32()) for x in lists]], [*rest, *names])
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
-def linked(aligned: DataFrame, columns: tuple[str, ...] = ("a_ids", "b_ids", "b_first", "b_last")) -> DataFrame:
-    """``aligned`` with n_a, n_b, n_groups, n_links long, groups string (``a1,a2|b1;a3|b2,b3``; its SHA-256 in hex, or '' without tokens), pair_a, pair_b, times array<int>: the distinct linked id pairs and how often each occurs; without the columns of ``align``."""
+ALIGNED = ("a_ids", "b_ids", "b_first", "b_last")
+LINKED = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "pair_a": "array<int>", "pair_b": "array<int>", "times": "array<int>"}
+
+
+def _schema(docs: DataFrame, rest: list[str], kinds: dict[str, str]) -> T.StructType:
+    return T.StructType([*[docs.schema[c] for c in rest], *[T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds.items()]])
+
+
+def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
+    """``docs`` without the text, with a_ids, b_ids array<int> and, for each token of A, the first and last token of B that it overlaps: b_first, b_last array<int> (numbers from 0).
+
+    A is a byte-level BPE of the library tokenizers, given a space and the text; B a sentencepiece model, which adds the space itself.
+    Token i of A ends a group where the next token's ``b_first`` is greater than its ``b_last``.
+    """
+    rest = [c for c in docs.columns if c != text]
+    names = [free_name(docs.drop(text), n) for n in ALIGNED]
+    return docs.mapInArrow(_align(_tokenizers(docs, path_a, path_b), text, rest, names), _schema(docs, rest, dict.fromkeys(names, "array<int>")))
+
+
+def align_and_link(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
+    """``linked`` of ``align``, in one pass of one worker."""
+    rest = [c for c in docs.columns if c != text]
+    inner = [free_name(docs.drop(text), n) for n in ALIGNED]
+    names = [free_name(docs.drop(text), n) for n in LINKED]
+    first, second = _align(_tokenizers(docs, path_a, path_b), text, rest, inner), _link(inner, rest, names)
+    return docs.mapInArrow(lambda batches: second(first(batches)), _schema(docs, rest, dict(zip(names, LINKED.values()))))
+
+
+def linked(aligned: DataFrame, columns: tuple[str, ...] = ALIGNED) -> DataFrame:
+    """``aligned`` with n_a, n_b, n_groups, n_links long, groups_sha256 string (of ``a1,a2|b1;a3|b2,b3`` in hex, or '' without tokens), pair_a, pair_b, times array<int>: the distinct linked id pairs and how often each occurs; without the columns of ``align``."""
     rest = [c for c in aligned.columns if c not in columns]
-    whole = ("n_a", "n_b", "n_groups", "n_links")
-    names = [free_name(aligned, n) for n in (*whole, "groups_sha256", "pair_a", "pair_b", "times")]
-    kinds = [*[T.LongType()] * 4, T.StringType(), *[T.ArrayType(T.IntegerType())] * 3]
-    schema = T.StructType([*[aligned.schema[c] for c in rest], *[T.StructField(n, k) for n, k in zip(names, kinds)]])
+    names = [free_name(aligned, n) for n in LINKED]
+    return aligned.mapInArrow(_link(columns, rest, names), _schema(aligned, rest, dict(zip(names, LINKED.values()))))
+
+
+def _link(columns, rest: list[str], names: list[str]):
+    """A function over batches that puts the columns of ``linked`` in the place of those of ``align``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, np.ndarray] = {}
@@ -268,7 +343,7 @@ def linked(aligned: DataFrame, columns: tuple[str, ...] = ("a_ids", "b_ids", "b_
             arrays = [*[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.string()), *[arrow_lists([v.astype(np.int32) for v in x], pa.int32()) for x in out[5:]]]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(c)) for c in rest], *arrays], [*rest, *names])
 
-    return aligned.mapInArrow(run, schema)
+    return run
 
 
 def _pairs(batch: pa.RecordBatch) -> np.ndarray:
@@ -349,6 +424,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch(spark, "alignment") as folder:
-        links = written(linked(align(docs, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))), "links", folder)
+        links = written(align_and_link(docs, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")), "links", folder)
         found = scored(links, folder).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
         return written(found, "alignment-result")

@@ -93,11 +93,14 @@ def test_gallop_and_overlaps(a, b):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab Z0.'s\n\t 　é漢▁́😀-<>|"), max_size=40))
 def test_words_encode_as_the_whole_text(text):
-    encoder = test_words_encode_as_the_whole_text.__dict__.setdefault("encoder", None) or al.Encoder(open(A, "rb").read(), open(B, "rb").read())
+    encoder = test_words_encode_as_the_whole_text.__dict__.setdefault("encoder", None) or al.Encoder(open(A, "rb").read(), open(B, "rb").read(), al.by_rank(open(A, "rb").read(), open(B, "rb").read()))
     test_words_encode_as_the_whole_text.__dict__["encoder"] = encoder
     (words,) = encoder([text])
+    if not encoder.a.encode(" " + text, add_special_tokens=False).ids or not brute_tokens(text, (encoder.a, encoder.b), encoder)[0]:
+        assert not len(words[0]) and not len(words[1])
+        return
     for side, want in ((0, encoder.a.encode(" " + text, add_special_tokens=False).ids), (1, encoder.b.encode(text))):
-        assert [int(i) for w in words for i in w[side]] == (want if text else [])
+        assert words[side].tolist() == want
 
 
 def test_odd_texts_against_brute_force(spark, tmp_path, libraries, encoder):
@@ -115,6 +118,12 @@ def test_odd_texts_against_brute_force(spark, tmp_path, libraries, encoder):
     assert al.scored(empty, str(tmp_path)).count() == 0
 
 
+def test_merging_by_rank():
+    a, b = open(A, "rb").read(), open(B, "rb").read()
+    assert al.by_rank(a, b)
+    assert not al.by_rank(a.replace(b'"use_regex":true', b'"use_regex":false').replace(b'"use_regex": true', b'"use_regex": false'), b)
+
+
 def test_query(spark, small_tables, libraries, encoder):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet").collect()
     got = {r.doc_id: tuple(r[n] for n in NAMES) for r in al.query(spark, small_tables).collect()}
