@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contentwatch.llm.common import SPACES, binaries, partitions, slices, written
+from contentwatch.llm.common import SPACES, binaries, partitions, scratch, slices, written
 from contentwatch.llm.words import Words, mix
 
 FREQUENT, COMMON = 2048, 131_072
@@ -186,7 +186,7 @@ def most_common(counts: DataFrame, most: int):
     return level >= least if least is not None else F.lit(False)
 
 
-def neighbours(texts: DataFrame, units: Units) -> DataFrame:
+def neighbours(texts: DataFrame, units: Units, folder: str) -> DataFrame:
     """(unit, other, side, n): how often units stand beside each other; side 0: other follows unit, 1: it precedes."""
     shared = texts.sparkSession.sparkContext.broadcast(units)
 
@@ -209,9 +209,9 @@ def neighbours(texts: DataFrame, units: Units) -> DataFrame:
         if held:
             yield counted(held)
 
-    pairs = written(texts.select("text").mapInArrow(run, "unit int, other int, n long").groupBy("unit", "other").agg(F.sum("n").alias("n")), "unit-pairs")
+    pairs = written(texts.select("text").mapInArrow(run, "unit int, other int, n long").groupBy("unit", "other").agg(F.sum("n").alias("n")), "unit-pairs", folder)
     both = pairs.withColumn("side", F.lit(0)).union(pairs.select(F.col("other").alias("unit"), F.col("unit").alias("other"), "n", F.lit(1).alias("side")))
-    return written(both.repartition(partitions(texts.sparkSession), "unit"), "neighbours")
+    return written(both.repartition(partitions(texts.sparkSession), "unit"), "neighbours", folder)
 
 
 def with_ends(units: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -221,7 +221,7 @@ def with_ends(units: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return line
 
 
-def cluster(units: Units, beside: DataFrame, rounds: int = ROUNDS) -> None:
+def cluster(units: Units, beside: DataFrame, folder: str, rounds: int = ROUNDS) -> None:
     """Gives the units their classes and the counts between these, by exchange."""
     spark, k = beside.sparkSession, units.n_classes
     rank = np.argsort(-units.n, kind="stable")
@@ -238,7 +238,7 @@ def cluster(units: Units, beside: DataFrame, rounds: int = ROUNDS) -> None:
                 n = np.bincount(row, weights=batch.column(batch.schema.names.index("n")).to_numpy()).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((keys // (2 * k)).astype(np.int32)), pa.array((keys % (2 * k)).astype(np.int32)), pa.array(n)], ["unit", "cell", "n"])
 
-        cells = written(beside.mapInArrow(by_class, "unit int, cell int, n long").groupBy("unit", "cell").agg(F.sum("n").alias("n")).repartition(partitions(spark), "unit"), "cells")
+        cells = written(beside.mapInArrow(by_class, "unit int, cell int, n long").groupBy("unit", "cell").agg(F.sum("n").alias("n")).repartition(partitions(spark), "unit"), "cells", folder)
 
         def between_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((k, k), np.int64)
@@ -449,34 +449,36 @@ def score(docs: DataFrame, model: Model, words: DataFrame, doc_id: str = "doc_id
 def train(texts: DataFrame, frequent: int = FREQUENT, common: int = COMMON, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """(model, table of all words (word, ending, n, class)) of the column text."""
     spark = texts.sparkSession
-    counts = written(word_counts(texts), "word-counts")
-    n_texts = texts.count()
-    n_words, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_classes = int(np.clip(round(n_distinct ** (1 / 3)), *CLASSES))
-    sent = most_common(counts, common)
-    top = counts.where(sent).toPandas()
-    order = np.lexsort((top["word"].to_numpy(), -top["n"].to_numpy()))[:frequent]
-    own, n, ending = (top[c].to_numpy()[order] for c in ("word", "n", "ending"))
-    groups = {r.ending: r.n for r in counts.groupBy("ending").agg(F.sum("n").alias("n")).collect()}
-    for e, m in zip(ending.tolist(), n.tolist()):
-        groups[e] -= m
-    units = Units(own.view(np.uint64), n, {e: m for e, m in groups.items() if m}, n_texts, n_classes)
-    cluster(units, neighbours(texts, units), rounds)
-    singles = spark.createDataFrame(pd.DataFrame({"word": units.words.view(np.int64), "class": units.classes[1 : units.single]}), "word long, class int")
-    classes = swept(texts, units).union(singles)
-    words = written(counts.join(classes, "word").select("word", "ending", "n", "class"), "words")
-    model = Model(words.where(sent).select("word", "n", "class").toPandas(), units.classes[units.of_ending], n_texts, int(n_words), int(n_distinct), n_classes)
-    size, members = np.zeros((2, n_classes))
-    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        size[r["class"]], members[r["class"]] = r.n, r.words
-    model.finish(transitions(texts, model, words), size, members)
-    return model, words
+    with scratch(spark, "brown") as folder:
+        counts = written(word_counts(texts), "word-counts", folder)
+        n_texts = texts.count()
+        n_words, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        n_classes = int(np.clip(round(n_distinct ** (1 / 3)), *CLASSES))
+        sent = most_common(counts, common)
+        top = counts.orderBy(F.desc("n"), "word").limit(frequent).toPandas()  # whatever the counts, as many as there are
+        own, n, ending = (top[c].to_numpy() for c in ("word", "n", "ending"))
+        groups = {r.ending: r.n for r in counts.groupBy("ending").agg(F.sum("n").alias("n")).collect()}
+        for e, m in zip(ending.tolist(), n.tolist()):
+            groups[e] -= m
+        units = Units(own.view(np.uint64), n, {e: m for e, m in groups.items() if m}, n_texts, n_classes)
+        cluster(units, neighbours(texts, units, folder), folder, rounds)
+        singles = spark.createDataFrame(pd.DataFrame({"word": units.words.view(np.int64), "class": units.classes[1 : units.single]}), "word long, class int")
+        classes = swept(texts, units).union(singles)
+        words = written(counts.join(classes, "word").select("word", "ending", "n", "class"), "words")
+        model = Model(words.where(sent).select("word", "n", "class").toPandas(), units.classes[units.of_ending], n_texts, int(n_words), int(n_distinct), n_classes)
+        size, members = np.zeros((2, n_classes))
+        for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+            size[r["class"]], members[r["class"]] = r.n, r.words
+        model.finish(transitions(texts, model, words), size, members)
+        return model, words
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the score of every document under a model of nine tenths of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
-    model, words = train(docs.where(remainder != 0).select("text"))
-    found = score(docs, model, words)
-    return found.select("doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    with scratch(spark, "brown-query"):
+        model, words = train(docs.where(remainder != 0).select("text"))
+        found = score(docs, model, words)
+        out = found.select("doc_id", (remainder == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+        return written(out, "brown-scores")

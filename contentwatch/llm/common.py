@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from contentwatch.operators.tables import moved, read_back, remove, scratch, shared_dir, table_path  # noqa: F401
+
 #: Words of the contracts: runs of anything but space and the ASCII controls tab to carriage return.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -18,25 +18,6 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes a task holds of a table that it writes; texts are long, and tasks share memory.
 BLOCK = 32 << 20
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and RuntimeError on a cluster."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not found and not context.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not found:
-        found = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="contentwatch-")
-        _own[context.applicationId] = found
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 #: Bytes that go to a Python worker at once; texts are long, and tasks share memory.
 BATCH = 8 << 20
 
@@ -55,32 +36,21 @@ def settings(spark: SparkSession, values: dict[str, str]):
 
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder (or ``folder`` in it), reread: cuts the lineage and survives lost executors.
+    """``df`` as a table in ``folder``, reread: cuts the lineage and survives lost executors.  Without a folder it is the result of the innermost ``scratch`` block and outlives that.
 
     Its shuffle files are deleted with the end of the write, as nothing reads them after it.
     """
     spark = df.sparkSession
-    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(spark, name)
+    path = table_path(spark, name, folder)
     with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": f"{BATCH}b", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.option("parquet.block.size", BLOCK).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession, name: str):
-    """A folder for intermediate tables, deleted at the end; what leaves the block must be written elsewhere."""
-    folder = new_path(spark, name)
-    try:
-        yield folder
-    finally:
-        remove(spark, folder)
+    return read_back(spark, path, df.schema)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that this library wrote in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``written``, but a table that was just written is moved and not written again."""
+    found = moved(df, name)
+    return written(df, name) if found is None else found
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -6,8 +6,8 @@ consecutive k-grams is kept (Schleimer, Wilkerson & Aiken 2003).  Equal spans of
 hashes, so no shared span is missed.  Kept hashes of documents are joined with those of the benchmark, and
 the hits are extended to whole windows and confirmed by 128-bit keys of their words.
 
-A benchmark of at most ``block_bytes`` of text is sent to the tasks, and the documents are never shuffled.  A larger one
-stays a table: the documents' kept hashes meet its own in a shuffle join, and the windows of documents that had one in another.
+A benchmark whose index takes at most ``block_bytes`` as sorted arrays (WINDOW_BYTES a window) is sent to the tasks, and the documents are never
+shuffled.  A larger one stays a table: the documents' kept hashes meet its own in a shuffle join, and the windows of documents that had one in another.
 
 Cases: a null or empty text has no words and no hits; a very long text is read whole; items without words have no windows; an
 item with a null id hits words but is not listed; repeated items and rows count once and each; empty tables give no hits;
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from contentwatch.llm.words import Words, grams, grams_at
 SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 SPAN = 10
 BLOCK_BYTES = 32 << 20
+#: Of the index: two halves of a key, a kept hash, the item's number, and what building it takes besides.
+WINDOW_BYTES = 40
 
 
 def shape(m: int) -> tuple[int, int]:
@@ -78,14 +81,23 @@ def index_rows(items: DataFrame, item_id: str, text: str, span: int) -> DataFram
 
 
 class Index:
-    """Windows of m words of a block of the benchmark."""
+    """Windows of m words of a benchmark: sorted arrays of their keys and items."""
 
-    def __init__(self, rows):
-        self.kept = np.unique(rows["kept"].to_numpy().view(np.uint64))
-        self.high = np.unique(rows["high"].to_numpy().view(np.uint64))
-        self.items: dict[tuple[int, int], list] = {}
-        for high, low, item in zip(rows["high"].tolist(), rows["low"].tolist(), rows["item"].tolist()):
-            self.items.setdefault((high, low), []).append(item)
+    def __init__(self, rows: pa.Table):
+        high, low, kept = (rows[c].to_numpy().view(np.uint64) for c in ("high", "low", "kept"))
+        item = rows["item"].combine_chunks().dictionary_encode()
+        self.names = item.dictionary.to_pylist()
+        numbers = item.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        order = np.lexsort((low, high))
+        self.kept, self.high, self.low, self.item = np.unique(kept), high[order], low[order], numbers[order]
+
+    def among(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the keys, row of the index) for each row that has one of the keys."""
+        first, after = np.searchsorted(self.high, high), np.searchsorted(self.high, high, side="right")
+        which = np.repeat(np.arange(len(high)), after - first)
+        row = np.arange(len(which)) - np.repeat(np.cumsum(after - first) - after, after - first)
+        same = self.low[row] == low[which]
+        return which[same], row[same]
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -120,12 +132,12 @@ def hits(texts: list[bytes], words: Words, others: Words, index: dict[int, Index
         some = np.unique(text_of[at])
         second, starts = others([texts[i] for i in some.tolist()])
         moved = at - offsets[text_of[at]] + starts[np.searchsorted(some, text_of[at])]
-        for place, (high, low) in zip(at.tolist(), keys_of(grams_at(hashes, at, m), grams_at(second, moved, m)).tolist()):
-            found = one.items.get((high, low))
-            if found is not None:
-                mask[place] += 1
-                mask[place + m] -= 1
-                pairs.update((int(text_of[place]), x) for x in found if x is not None)
+        which, row = one.among(grams_at(hashes, at, m), grams_at(second, moved, m))
+        hit = at[np.unique(which)]
+        np.add.at(mask, hit, 1)
+        np.add.at(mask, hit + m, -1)
+        named = one.item[row] >= 0
+        pairs.update((t, one.names[i]) for t, i in set(zip(text_of[at[which[named]]].tolist(), one.item[row[named]].tolist())))
     return offsets, np.cumsum(mask[:-1]) > 0, pairs
 
 
@@ -137,12 +149,12 @@ SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words long, hit_spans array<struct<start, stop>> (word numbers, merged, ascending) and hit_items array<string> (sorted, distinct)."""
-    total = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     names = [free_name(docs, n) for n in ("n_words", "hit_spans", "hit_items")]
-    if total > block_bytes:
+    found = index_rows(items, item_id, item_text, span)
+    if found.count() * WINDOW_BYTES > block_bytes:
         return _by_join(docs, items, text, item_id, item_text, span, names)
-    rows = index_rows(items, item_id, item_text, span).toPandas()  # at most a window a word of block_bytes
-    index = docs.sparkSession.sparkContext.broadcast({int(m): Index(part) for m, part in rows.groupby("m")})
+    rows = found.toArrow()
+    index = docs.sparkSession.sparkContext.broadcast({m: Index(rows.filter(pc.equal(rows["m"], m))) for m in pc.unique(rows["m"]).to_pylist()})
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], SPANS), T.StructField(names[2], T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

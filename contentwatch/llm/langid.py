@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentwatch.llm.common import free_name, slices, written
+from contentwatch.llm.common import free_name, scratch, slices, written
 from contentwatch.llm.words import mix
 
 MARK, SHORT = 0x2581, 32
 SAMPLE, ROUNDS, SMOOTHING = 2000, 3, 0.05
 UNKNOWN = 1e-7
-LANGUAGES = 1000
+#: Languages that are learned, or scored, at once; more take further passes.
+BLOCK = 64
 UND = "und"
 _BASE, _INVERSE = 6364136223846793005, pow(6364136223846793005, -1, 1 << 64)
 
@@ -229,15 +230,23 @@ def model_vocabulary(path: str | None) -> list[str]:
 
 
 def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", by: str = "doc_id", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """(languages, probabilities (pieces + 1, languages)); the size is bounded by the vocabulary and LANGUAGES."""
+    """(languages, probabilities (pieces + 1, languages)): of every language that occurs, learned in blocks of BLOCK."""
     spark = docs.sparkSession
-    sizes = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
     languages = sorted(sizes)
     if not languages:
         return [], np.zeros((len(pieces) + 1, 0))
+    with scratch(spark, "langid") as folder:
+        blocks = [languages[i : i + BLOCK] for i in range(0, len(languages), BLOCK)]
+        return languages, np.hstack([_train_block(docs, pieces, {k: sizes[k] for k in block}, folder, text, lang, by, sample, rounds) for block in blocks])
+
+
+def _train_block(docs: DataFrame, pieces: list[str], sizes: dict[str, int], folder: str, text: str, lang: str, by: str, sample: int, rounds: int) -> np.ndarray:
+    """The probabilities of the languages of ``sizes``, in their order; sizes: their documents."""
+    spark, languages = docs.sparkSession, list(sizes)
     shared = spark.sparkContext.broadcast(pieces)
     share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, sample / sizes[k]))])
-    drawn = docs.where(F.col(lang).isNotNull() & (F.pmod(F.xxhash64(by), F.lit(1_000_003)) < share[F.col(lang)] * 1_000_003)).select(F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
+    drawn = docs.where(F.col(lang).isin(languages) & (F.pmod(F.xxhash64(by), F.lit(1_000_003)) < share[F.col(lang)] * 1_000_003)).select(F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(shared.value)
@@ -254,7 +263,7 @@ def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
                     n.append(1)
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(found), pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    words = written(drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+    words = written(drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words", folder)
     p = np.full((len(pieces) + 1, len(languages)), 1.0 / len(pieces))
     p[-1] = UNKNOWN
     for _ in range(rounds):
@@ -278,11 +287,13 @@ def train(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
         got = got[got["piece"] < len(pieces)]
         np.add.at(counts, (got["piece"].to_numpy(), got["k"].to_numpy()), got["n"].to_numpy())
         p = np.vstack([counts / counts.sum(axis=0), np.full((1, len(languages)), UNKNOWN)])
-    return languages, p
+    return p
 
 
 def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndarray, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred string and score double, the posterior of lang_pred under a uniform prior."""
+    if len(languages) > BLOCK:
+        return _predict_blocks(docs, pieces, languages, p, text)
     named = [free_name(docs, "lang_pred"), free_name(docs, "score")]
     shared, names, at = docs.sparkSession.sparkContext.broadcast((pieces, p)), docs.columns, docs.columns.index(text)
 
@@ -303,6 +314,44 @@ def predict(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndar
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(named[0], T.StringType()), T.StructField(named[1], T.DoubleType())]))
 
 
+def _predict_blocks(docs: DataFrame, pieces: list[str], languages: list[str], p: np.ndarray, text: str) -> DataFrame:
+    """``predict`` for many languages: a pass over the texts for each block, of which the best language and the sum of likelihoods stay."""
+    spark, row = docs.sparkSession, free_name(docs, "row_number")
+    named = [free_name(docs, "lang_pred"), free_name(docs, "score")]
+    shared = spark.sparkContext.broadcast(pieces)
+    with scratch(spark, "languages") as folder:
+        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "documents", folder)  # numbers hold once written
+        given = numbered.select(F.col(row).alias("row"), F.col(text).alias("text"))
+
+        def logs(own: list[str], sent):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                lattice = Lattice(shared.value)
+                for batch in slices(batches, "text", 1 << 20):
+                    code, starts, stops, offsets = lattice.words([t or "" for t in batch.column(1).to_pylist()])
+                    some = np.flatnonzero(np.diff(offsets))
+                    if not len(some):
+                        continue
+                    found = lattice.text_logs(code, starts, stops, offsets, sent.value)[some]
+                    most = found.max(axis=1)
+                    total = most + np.log(np.exp(found - most[:, None]).sum(axis=1))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array([own[k] for k in found.argmax(axis=1)], pa.string()), pa.array(most), pa.array(total)], ["row", "lang", "most", "total"])
+
+            return run
+
+        parts = None
+        for i in range(0, len(languages), BLOCK):
+            sent = spark.sparkContext.broadcast(np.ascontiguousarray(p[:, i : i + BLOCK]))
+            part = written(given.mapInArrow(logs(languages[i : i + BLOCK], sent), "row long, lang string, most double, total double"), "logs", folder)
+            parts = part if parts is None else parts.unionByName(part)
+            sent.destroy()
+        # of equal likelihoods the first language, as in one pass
+        best = parts.groupBy("row").agg(F.min_by("lang", F.struct(-F.col("most"), "lang")).alias(named[0]), F.max("most").alias("most"), F.collect_list("total").alias("totals"))
+        score = 1 / F.aggregate("totals", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("most")))
+        judged = written(best.select(F.col("row").alias(row), named[0], score.alias(named[1])), "judged", folder)
+        out = numbered.join(judged, row, "left").select(*[numbered[f"`{c}`"] for c in docs.columns], F.coalesce(named[0], F.lit(UND)).alias(named[0]), F.coalesce(named[1], F.lit(0.0)).alias(named[1]))
+        return written(out, "languages")
+
+
 def held_out(doc_id: str, of: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of == 0
 

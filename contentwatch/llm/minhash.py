@@ -218,6 +218,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = STAG
     key = F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), number), F.lit("01")), digest))
     name = free_name(docs, "row_key")
     chosen = docs.withColumn(name, key)
-    named = near_duplicates(docs.select(key.alias("row_key"), "text"), "row_key", "text", SHINGLE, percent, groups, "binary")
-    kept = written(named.where("kept").select(F.col("doc_id").alias(name)).distinct(), "kept")
+    with scratch(spark, "near-duplicates"):
+        named = near_duplicates(docs.select(key.alias("row_key"), "text"), "row_key", "text", SHINGLE, percent, groups, "binary")
+        kept = written(named.where("kept").select(F.col("doc_id").alias(name)).distinct(), "kept")
     return chosen.join(kept, name, "left_semi").dropDuplicates([name]).select(*[chosen[f"`{c}`"] for c in docs.columns])

@@ -149,9 +149,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     paired = with_next(fingerprints(docs), "doc_id", "text", "fingerprint", docs.select("doc_id"))
     edited = fingerprints(paired.select("doc_id", "fingerprint", "next_carried", F.length("text").cast("long").alias("n_chars"), "edited"), "edited", "edited_fingerprint")
-    digests = written(edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_carried"), "simhash")
     asked = F.col("doc_id") % 50 == 0
-    with scratch(spark, "simhash-near") as folder:
+    with scratch(spark, "simhash") as folder:
+        digests = written(edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_carried"), "digests", folder)
         # a table of its own, so Spark can split the rows of a frequent fingerprint when they join
         near = written(near_counts(digests.where(asked), digests), "near", folder)
         return written(digests.join(near.hint("merge"), "fingerprint", "left").select(

@@ -56,7 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``; tables between them are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with common.scratch(spark, "pipeline") as folder:
+    with common.scratch(spark, "pipeline"):
         for name, stage in STAGES[:-1]:
-            docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"), folder)
-        return common.written(STAGES[-1][1](spark, docs, sf_dir), "pipeline-result")
+            with common.scratch(spark, "stage"):
+                docs = common.kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return common.kept(STAGES[-1][1](spark, docs, sf_dir), "pipeline-result")

@@ -125,3 +125,10 @@ def test_rare_words_join_the_class_of_their_neighbours(spark):
     of_word = {r.word: r["class"] for r in table.collect()}
     of = [{of_word[h] for h in reader([w.encode() for w in side])[0].view(np.int64).tolist()} for side in rare]
     assert not of[0] & of[1]
+
+
+def test_units_whatever_the_counts(spark):
+    """Words of one count, more than are sent along: the first of them are units all the same."""
+    texts = spark.createDataFrame([(" ".join(f"w{i}" for i in range(300)),)], "text string")
+    model, words = brown.train(texts, frequent=50, common=100, rounds=1)
+    assert words.count() == 300 and len(set(r["class"] for r in words.collect())) > 1

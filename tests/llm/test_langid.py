@@ -129,3 +129,28 @@ def test_odd_rows(spark):
     assert clash.columns == ["doc_id", "text", "lang", "score", "lang_pred", "score_"] and clash.first().score == "x"
     long = spark.createDataFrame([(1, "the and of " * 50_000 + "z" * 5_000)], "doc_id long, text string")
     assert li.predict(long, pieces, languages, p).first().lang_pred == "en"
+
+
+def test_many_languages(spark):
+    """More languages than a block: each is learned and found."""
+    pieces = ["\u2581"] + [chr(0x4E00 + i) for i in range(1200)] + list("ab")
+    rows = [(i, chr(0x4E00 + i) * 30 + " ab", f"l{i:04}") for i in range(1200)]
+    docs = spark.createDataFrame([*rows, (5000, None, None), (5001, "12 .", "l0000")], "doc_id long, text string, lang string")
+    languages, p = li.train(docs, pieces, rounds=1)
+    assert languages == sorted({r[2] for r in rows}) and p.shape == (len(pieces) + 1, 1200)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.predict(docs, pieces, languages, p).collect()}
+    assert all(got[i][0] == lang and got[i][1] > 0.99 for i, _, lang in rows)
+    assert got[5000] == got[5001] == ("und", 0.0)
+
+
+def test_blocks_score_as_one_pass(spark, small_tables, monkeypatch):
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet").limit(80)
+    pieces = li.model_vocabulary(None)
+    languages, p = li.train(docs, pieces)
+    want = {r.doc_id: (r.lang_pred, r.score) for r in li.predict(docs, pieces, languages, p).collect()}
+    monkeypatch.setattr(li, "BLOCK", 3)
+    again, q = li.train(docs, pieces)
+    assert again == languages and abs(p - q).max() < 1e-12
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.predict(docs, pieces, languages, q).collect()}
+    assert {d: x for d, (x, _) in got.items()} == {d: x for d, (x, _) in want.items()}
+    assert all(abs(got[d][1] - s) < 1e-9 for d, (_, s) in want.items())

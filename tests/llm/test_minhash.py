@@ -91,7 +91,7 @@ def test_stage_keeps_one_row_of_each_component(spark):
     docs = [(1, a), (2, b), (2, "a clean text under an id that is used twice"), (None, "clean without id"), (None, "clean without id"), (None, a), (None, "another without id")]
     got = mh.stage(spark, spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, row_key string"), "")
     want = [(None, "another without id"), (None, "clean without id"), (1, a), (2, docs[2][1])]
-    assert got.columns == ["doc_id", "text", "row_digest"]
+    assert got.columns == ["doc_id", "text", "row_key"]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=lambda r: (r[0] or 0, r[1])) == want
 
 

@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from contentwatch.llm import langid
+from contentwatch.llm import common, langid
 from tests.llm import test_bpe, test_decontaminate, test_langid, test_minhash, test_substrings
 
 
@@ -35,7 +37,7 @@ def test_run_equals_the_stages_by_brute_force(spark, small_tables):
 
 def test_stages_keep_columns_and_survive_odd_rows(spark, small_tables):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet").limit(60)
-    own = ("lang_pred", "score", "row_digest", "span_doc_id", "span_row", "span_list", "removed_chars", "n_words", "hit_spans", "hit_items", "ids", "n_tokens", "decoded", "num", "class", "digest", "_id")
+    own = ("lang_pred", "score", "row_key", "span_doc_id", "span_row", "span_list", "removed_chars", "n_words", "hit_spans", "hit_items", "ids", "n_tokens", "decoded", "num", "class", "digest", "_id")
     odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "x", 0), (10**6 + 1, "", "en", "x", 0), (None, "the and of that", "en", "x", 15)], docs.schema)
     crowded = docs.union(odd).withColumns({n: F.lit(n) for n in own})
     for given in (crowded, docs.limit(0)):
@@ -49,3 +51,15 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, small_tables):
         last = corpus_pipeline.STAGES[-1][1](spark, given, small_tables)
         ids, n = ("ids_", "n_tokens_") if "ids" in columns else ("ids", "n_tokens")
         assert last.columns == [*columns, ids, n] and last.where(F.size(ids) != F.col(n)).count() == 0
+
+
+def test_tables_left_in_the_shared_folder(spark, small_tables):
+    """Each query leaves the one table that its result is read from, or none."""
+    from contentwatch.llm import registry
+
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    for name, query in {**registry.queries(), "pipeline": corpus_pipeline.run}.items():
+        known = set(folder.iterdir())
+        query(spark, small_tables).count()
+        left = set(folder.iterdir()) - known
+        assert len(left) <= 1, (name, left)
