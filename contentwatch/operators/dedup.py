@@ -5,12 +5,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contentwatch.functions.text import hamming, let
-from contentwatch.operators.tables import written
+from contentwatch.operators.tables import scratch, written
 
 
 def near_simhashes(values: DataFrame, radius: int = 3) -> DataFrame:
@@ -28,31 +28,68 @@ def near_simhashes(values: DataFrame, radius: int = 3) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; the order of the two matters."""
+    """Ratcliff-Obershelp similarity, twice the matched characters by the characters of both; the order of the two matters."""
     from difflib import SequenceMatcher
 
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
 
 
+#: Characters that titles of up to DELETED_FROM characters may miss for candidates to meet in what is left of both.
+DELETED, DELETED_FROM = 2, 29
+
+
+def title_bounds(least: float, a: Column, b: Column) -> tuple[Column, Column, Column, Column]:
+    """For lengths a and b: matched characters that the ratio needs; those that either title may have besides; shared bigrams and edits that follow.
+
+    The matched characters stand in the same order in both, so deleting the others makes both the same.  They fall into blocks that are parted
+    by a deleted character of either title, so of their bigrams all but one a gap are shared.
+    """
+    matched = F.ceil(F.lit(least / 2) * (a + b) - 1e-9).cast("int")
+    return matched, F.greatest(a, b) - matched, 3 * matched - a - b - 1, a + b - 2 * matched
+
+
 def similar_titles(values: DataFrame, least: float = 0.9) -> DataFrame:
     """(value, other): distinct lower-case titles of which ``value``, as the later one, is similar to ``other``.
 
-    A ratio of 0.9 needs lengths within 0.818 of each other and that many common bigrams, that two titles share one of their
-    rarest two fifths; candidates meet there and are then compared.
+    Candidates meet by the lengths of both.  Where either may miss at most DELETED characters, both are keyed by what stays without them
+    (one title of a pair must give the string that the other gives).  Longer ones are keyed by their rarest bigrams, as many as a
+    pair that shares enough of them can't all miss.  Edits, counted in the JVM up to the bound, leave few for the ratio itself, which is taken once a pair, both ways.
     """
-    short = (2 - least) / least
-    titles = values.where(F.length("value") > 2).select("value").distinct()
+    titles = values.where(F.length("value") > 1).select("value", F.length("value").alias("n")).distinct()
+    lengths = titles.select(F.col("n").alias("m")).distinct()  # as many as the longest title has characters
+    low, high = F.least("n", "m"), F.greatest("n", "m")
+    matched, most, shared, _ = title_bounds(least, F.col("n"), F.col("m"))
+    own = titles.join(F.broadcast(lengths), F.greatest("n", "m") * least <= F.least("n", "m") * (2 - least) + 1e-9)
+    own = own.withColumns({"low": low, "high": high, "gone": F.col("n") - matched, "by_deletion": (most <= DELETED) & (high <= DELETED_FROM), "shared": shared}).where("gone >= 0")
+
+    cut = lambda c, i: F.concat(F.substring(c, F.lit(1), i), F.substring(c, i + 2, F.lit(DELETED_FROM)))
+    once = lambda a: F.transform(F.sequence(F.lit(0), F.length(a) - 1), lambda i: cut(a, i))
+    left = F.when(F.col("gone") == 0, F.array("value")).when(F.col("gone") == 1, once(F.col("value"))).otherwise(F.flatten(F.transform(once(F.col("value")), lambda x: once(x))))
+    by_deletion = own.where("by_deletion").select("value", "n", "low", "high", F.explode(F.array_distinct(left)).alias("key"))
+
+    some = own.where("NOT by_deletion")
     grams = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))
     # equal bigrams are neighbours once sorted, so each gets its number within its run
     runs = lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(g, x) + 1).cast("string")))
-    rows = titles.select("value", F.explode(let(F.array_sort(grams), runs)).alias("gram"))
+    rows = some.select("value").distinct().select("value", F.explode(let(F.array_sort(grams), runs)).alias("gram"))
     counts = rows.groupBy("gram").agg(F.count("*").alias("df"))
     ordered = rows.join(counts, "gram").groupBy("value").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("gs"))
-    needed = F.greatest(F.lit(1), F.ceil(0.6 * F.length("value") - 1 - 1e-9))
-    prefix = ordered.select("value", F.explode(F.slice("gs", F.lit(1), F.greatest(F.lit(1), F.size("gs") - needed + 1).cast("int"))).alias("p")).select("value", F.col("p.gram").alias("gram"))
-    fits = (F.length("value") <= short * F.length("other") + 1e-9) & (F.length("other") <= short * F.length("value") + 1e-9)
-    pairs = prefix.join(prefix.withColumnRenamed("value", "other"), "gram").where("value != other").where(fits).select("value", "other").distinct()
-    return pairs.where(title_ratio("value", "other") >= least)
+    prefix = F.slice("gs", F.lit(1), F.greatest(F.lit(1), F.size("gs") - F.greatest(F.lit(1), F.col("shared")) + 1).cast("int"))
+    by_grams = some.join(ordered, "value").select("value", "n", "low", "high", F.explode(prefix).alias("p")).select("value", "n", "low", "high", F.col("p.gram").alias("key"))
+
+    def met(keyed: DataFrame) -> DataFrame:
+        other = keyed.select(F.col("value").alias("other"), F.col("n").alias("m"), "low", "high", "key")
+        apart = (F.col("n") != F.col("m")) | (F.col("low") == F.col("high"))  # a title keyed for a length other than its own meets titles of that length
+        return keyed.join(other, ["low", "high", "key"]).where((F.col("value") < F.col("other")) & apart).select("value", "other").distinct()
+
+    pairs = met(by_deletion).unionByName(met(by_grams))
+    _, _, _, edits = title_bounds(least, F.length("value"), F.length("other"))
+    # the threshold of the function is a constant; a greater one for longer titles
+    near = F.when(edits <= 2 * DELETED, F.levenshtein("value", "other", 2 * DELETED)).otherwise(F.levenshtein("value", "other"))
+    close = pairs.where(near.between(F.lit(0), edits))
+    ratios = close.select("value", "other", title_ratio("value", "other").alias("there"), title_ratio("other", "value").alias("back"))
+    both = F.filter(F.array(F.struct(F.col("value").alias("value"), F.col("other").alias("other"), F.col("there").alias("ratio")), F.struct(F.col("other").alias("value"), F.col("value").alias("other"), F.col("back").alias("ratio"))), lambda x: x["ratio"] >= least)
+    return ratios.select(F.explode(both).alias("x")).select("x.value", "x.other")
 
 
 def deduplicate(records: DataFrame) -> DataFrame:
@@ -62,28 +99,29 @@ def deduplicate(records: DataFrame) -> DataFrame:
     round, whoever has no undecided earlier neighbour is kept and its later neighbours go; rounds are as many as the
     longest chain of such dependencies; each round decides at least the first open record.  Equal values are keys, never pairs.
     """
-    records = written(records, "dedup-records")
-    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"))
-    title = F.lower(F.coalesce("title", F.lit("")))
-    keys = F.array(key("url", F.col("canonical_url")), key("hash", F.nullif("content_hash", F.lit(""))), key("simhash", F.nullif("simhash", F.lit(0))), key("title", F.nullif(title, F.lit(""))))
-    rows = written(records.select("pos", F.explode(F.filter(keys, lambda k: k["value"].isNotNull())).alias("k")).select("pos", "k.kind", "k.value"), "dedup-keys")
-    some = lambda kind: rows.where(F.col("kind") == kind).select("value")
-    near = near_simhashes(some("simhash").select(F.col("value").cast("long").alias("value"))).select(F.lit("simhash").alias("kind"), F.col("value").cast("string").alias("value"), F.col("other").cast("string").alias("other"))
-    edges = written(near.unionByName(similar_titles(some("title")).select(F.lit("title").alias("kind"), "value", "other")), "dedup-edges")
-
-    def earliest(rows: DataFrame) -> DataFrame:
-        """Per value the least position of its rows and of its neighbours' rows."""
-        own = rows.groupBy("kind", "value").agg(F.min("pos").alias("least"))
-        beside = edges.join(own.withColumnRenamed("value", "other"), ["kind", "other"]).select("kind", "value", "least")
-        return own.unionByName(beside).groupBy("kind", "value").agg(F.min("least").alias("least"))
-
-    kept, open_ = None, rows
-    while True:
-        judged = open_.join(earliest(open_), ["kind", "value"]).groupBy("pos").agg(F.min(F.col("least") >= F.col("pos")).alias("first"))
-        now = written(judged.where("first").select("pos"), "dedup-kept")
-        kept = now if kept is None else kept.unionByName(now)
-        gone = open_.join(earliest(open_.join(now, "pos", "left_semi")), ["kind", "value"]).where("least <= pos").select("pos").distinct()
-        open_ = written(open_.join(gone, "pos", "left_anti"), "dedup-open")
-        if open_.isEmpty():
-            # records without any key have nothing to share
-            return records.join(kept, "pos", "left_semi").unionByName(records.join(rows.select("pos").distinct(), "pos", "left_anti"))
+    with scratch(records.sparkSession, "deduplicate") as folder:
+        records = written(records, "records", folder)
+        key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("value"))
+        title = F.lower(F.coalesce("title", F.lit("")))
+        keys = F.array(key("url", F.col("canonical_url")), key("hash", F.nullif("content_hash", F.lit(""))), key("simhash", F.nullif("simhash", F.lit(0))), key("title", F.nullif(title, F.lit(""))))
+        rows = written(records.select("pos", F.explode(F.filter(keys, lambda k: k["value"].isNotNull())).alias("k")).select("pos", "k.kind", "k.value"), "keys", folder)
+        some = lambda kind: rows.where(F.col("kind") == kind).select("value")
+        near = near_simhashes(some("simhash").select(F.col("value").cast("long").alias("value"))).select(F.lit("simhash").alias("kind"), F.col("value").cast("string").alias("value"), F.col("other").cast("string").alias("other"))
+        edges = written(near.unionByName(similar_titles(some("title")).select(F.lit("title").alias("kind"), "value", "other")), "edges", folder)
+
+        def earliest(rows: DataFrame) -> DataFrame:
+            """Per value the least position of its rows and of its neighbours' rows."""
+            own = rows.groupBy("kind", "value").agg(F.min("pos").alias("least"))
+            beside = edges.join(own.withColumnRenamed("value", "other"), ["kind", "other"]).select("kind", "value", "least")
+            return own.unionByName(beside).groupBy("kind", "value").agg(F.min("least").alias("least"))
+
+        kept, open_ = None, rows
+        while True:
+            judged = open_.join(earliest(open_), ["kind", "value"]).groupBy("pos").agg(F.min(F.col("least") >= F.col("pos")).alias("first"))
+            now = written(judged.where("first").select("pos"), "kept", folder)
+            kept = now if kept is None else kept.unionByName(now)
+            gone = open_.join(earliest(open_.join(now, "pos", "left_semi")), ["kind", "value"]).where("least <= pos").select("pos").distinct()
+            open_ = written(open_.join(gone, "pos", "left_anti"), "open", folder)
+            if open_.isEmpty():
+                # records without any key have nothing to share
+                return written(records.join(kept, "pos", "left_semi").unionByName(records.join(rows.select("pos").distinct(), "pos", "left_anti")), "deduplicated")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contentwatch.functions.urls import url_authority, url_path
+from contentwatch.functions.urls import normalize_url, url_authority, url_path
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -66,11 +66,20 @@ def enrich_fallbacks(joined: DataFrame) -> DataFrame:
 
 
 def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Pages whose path starts with no disallowed prefix of their host; hosts without rules allow all."""
-    shut = rules.where("kind = 'disallow'").select(F.col("host").alias("_host"), F.col("value").alias("_prefix"))
+    """Pages whose path starts with no disallowed prefix of their host; hosts without rules allow all.
+
+    A path's own prefixes, of the lengths that its host's rules have, meet the rules by equality of host and prefix.  So a rule is found by
+    hash and not by comparing a host's pages with all its rules, and a host of any size is dealt over all tasks by its prefixes.
+    """
+    shut = rules.where("kind = 'disallow'").select(F.col("host").alias("_host"), F.col("value").alias("_prefix")).distinct()
+    sizes = shut.groupBy("_host").agg(F.array_sort(F.collect_set(F.length("_prefix"))).alias("_sizes"))  # lengths of addresses: few a host
     host, path = url_authority(F.col(url)), F.coalesce(F.nullif(url_path(F.col(url)), F.lit("")), F.lit("/"))
+    paths = pages.select(host.alias("_host"), path.alias("_path")).distinct()
+    own = F.transform(F.filter("_sizes", lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    closed = paths.join(sizes, "_host").select("_host", "_path", F.explode(own).alias("_prefix")).join(shut, ["_host", "_prefix"], "left_semi").select("_host", "_path").distinct()
     rows = pages.withColumns({"_host_": host, "_path_": path})
-    return rows.join(shut, (F.col("_host_") == F.col("_host")) & F.col("_path_").startswith(F.col("_prefix")), "left_anti").drop("_host_", "_path_")
+    # a page without a host is closed by nothing
+    return rows.join(closed, (F.col("_host_") == F.col("_host")) & (F.col("_path_") == F.col("_path")), "left_anti").drop("_host_", "_path_")
 
 
 def cascade_delete(plans: DataFrame, articles: DataFrame, seen: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -107,11 +116,29 @@ def longest_anchor(links: DataFrame) -> DataFrame:
     return first_per_key(links, ["src", "dst"], F.desc(F.length("anchor")), "pos", "anchor")
 
 
-def link_reach(edges: DataFrame, seeds: DataFrame, depth: int = 2, budget: int = 150) -> DataFrame:
+def link_reach(edges: DataFrame, seeds: DataFrame, depth: int = 2, budget: int = 150, same_host: bool = False) -> DataFrame:
     """(seed, url, depth): pages that a walk of at most ``depth`` levels and ``budget`` pages reaches from each seed.
 
     edges: (src, dst, pos).  A level keeps the order in which its links were found, so the budget cuts as a walk would.
+    same_host: addresses are normalised first, and links to another host than the seed's are never walked: they go before
+    the walk, as a page's links stay on its own host.  Links are stored by the hash of the page that has them, so a level's frontier
+    meets them where they lie.
     """
+    from contentwatch.operators.tables import scratch, written
+
+    spark = edges.sparkSession
+    if same_host:
+        normal = lambda c: normalize_url(F.col(c))
+        edges = edges.select(normal("src").alias("src"), normal("dst").alias("dst"), "pos").where(F.lower(url_authority(F.col("src"))) == F.lower(url_authority(F.col("dst"))))
+        edges = edges.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+        seeds = seeds.select(normal("seed").alias("seed")).distinct()
+    with scratch(spark, "walk") as folder:
+        if same_host:
+            edges = written(edges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "src"), "edges", folder)
+        return written(_walk(edges, seeds, depth, budget, folder), "reached")
+
+
+def _walk(edges: DataFrame, seeds: DataFrame, depth: int, budget: int, folder: str) -> DataFrame:
     from contentwatch.operators.tables import written
 
     frontier = seeds.select("seed", F.col("seed").alias("url"), F.array(F.lit(0)).alias("order"))
@@ -126,7 +153,7 @@ def link_reach(edges: DataFrame, seeds: DataFrame, depth: int = 2, budget: int =
         else:
             used = visited.groupBy("seed").agg(F.count("*").alias("_used"))
             taken = counted.join(used, "seed").where(F.col("_n") + F.col("_used") <= budget)
-        level_rows = written(taken.select("seed", "url", F.lit(level).alias("depth"), F.col("_n").alias("rank")), "walk")
+        level_rows = written(taken.select("seed", "url", F.lit(level).alias("depth"), F.col("_n").alias("rank")), "level", folder)
         visited = level_rows if visited is None else visited.unionByName(level_rows)
         if level < depth:
             found = level_rows.join(edges, level_rows["url"] == edges["src"]).select("seed", F.col("dst").alias("url"), F.array("rank", "pos").alias("order"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from contentwatch.functions import dates, html
 from contentwatch.operators import dedup, gates, joins, stats
-from contentwatch.operators.tables import shared_dir, written
+from contentwatch.operators.tables import scratch, shared_dir, written
 from contentwatch.plans.catalog import DATED, LOG, NOW, PLANS, Tables, query
 from contentwatch.sources import feeds, store
 from contentwatch.streaming import jobs
@@ -253,6 +254,18 @@ def article_metadata(spark, sf):
 # streams: the events, read as a stream and run to their end
 
 
+@contextmanager
+def state_store(spark):
+    """The session with the state store that timers and lists need, for the streams that start while it lasts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, jobs.STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def streamed(spark, sf, job, mode: str = "append", source=None):
     """The result table of a streaming job over a table's rows."""
     path = _path(spark)
@@ -267,13 +280,18 @@ def streamed(spark, sf, job, mode: str = "append", source=None):
     return spark.read.parquet(out)
 
 
-QUARTER = "time_bucket(INTERVAL 15 MINUTE, ts)"
-
-
-@query("stream_quota", f"SELECT {QUARTER} AS start, (user_id % 3)::VARCHAR AS client, event_type AS route, count(*) AS requests, count(*) > 1 AS over FROM events WHERE {QUARTER} + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) GROUP BY 1, 2, 3")
+@query("stream_quota", """
+WITH RECURSIVE e AS (SELECT ts, (user_id % 3)::VARCHAR AS client, event_type AS route FROM events),
+n AS (SELECT *, min(ts) OVER (PARTITION BY client, route ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTE FOLLOWING AND UNBOUNDED FOLLOWING) AS later, count(*) OVER (PARTITION BY client, route ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 899999 MILLISECOND FOLLOWING) AS requests FROM e),
+d AS (SELECT client, route, ts, any_value(later) AS later, any_value(requests) AS requests FROM n GROUP BY 1, 2, 3),
+w AS (SELECT d.* FROM d JOIN (SELECT client, route, min(ts) AS ts FROM e GROUP BY 1, 2) f USING (client, route, ts) UNION ALL SELECT d.* FROM w JOIN d ON d.client = w.client AND d.route = w.route AND d.ts = w.later)
+SELECT date_trunc('milliseconds', ts) AS start, client, route, requests, requests > 1 AS over FROM w WHERE ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events)
+""")
 def stream_quota(spark, sf):
+    """Windows from each client's first request to a route."""
     limits = {k: 1 for k in ("view", "click", "signup", "error", "purchase")}
-    found = streamed(spark, sf, lambda s: jobs.quota(s.select("ts", (F.col("user_id") % 3).cast("string").alias("client"), F.col("event_type").alias("route")), limits))
+    with state_store(spark):
+        found = streamed(spark, sf, lambda s: jobs.quota(s.select("ts", (F.col("user_id") % 3).cast("string").alias("client"), F.col("event_type").alias("route")), limits))
     return found.select("start", "client", "route", "requests", "over")
 
 
@@ -323,7 +341,8 @@ def stream_latest_state(spark, sf):
 
 @query("stream_last_n", "SELECT plan_id::VARCHAR AS plan_id, id FROM (SELECT user_id % 50 AS plan_id, event_id AS id, ts FROM events) QUALIFY row_number() OVER (PARTITION BY plan_id ORDER BY ts DESC, id DESC) <= 100")
 def stream_last_n(spark, sf):
-    found = streamed(spark, sf, lambda s: jobs.last_n(s.select((F.col("user_id") % 50).alias("plan_id"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("event"))), "update")
+    with state_store(spark):
+        found = streamed(spark, sf, lambda s: jobs.last_n(s.select((F.col("user_id") % 50).alias("plan_id"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("event"))), "update")
     last = found.groupBy(F.col("plan_id").alias("p")).agg(F.max("_batch").alias("b"))
     return found.join(last, (F.col("plan_id") == F.col("p")) & (F.col("_batch") == F.col("b"))).select("plan_id", "id")
 
@@ -334,7 +353,7 @@ def stream_digest(spark, sf):
     plans = Tables(spark, sf).plans().withColumn("auto_mail", F.col("id") % 2 == 0)
     articles = spark.readStream.schema(Tables(spark, sf).events.schema).parquet(f"{sf}/events.parquet*").select(F.col("event_id").alias("id"), F.col("user_id").alias("plan_id"), F.col("event_type").alias("title"), F.col("props").alias("summary"), F.lit("u").alias("url"))
     deliver = lambda rows, number: rows.select("plan_id", "recipient", "n_articles").write.mode("append").parquet(f"{path}/out")
-    run = articles.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(jobs.digest_batch(plans, deliver, "id")).start()
+    run = articles.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(jobs.digest_batch(plans, deliver, "id", outbox=f"{path}/outbox")).start()
     run.awaitTermination()
     sent = spark.read.parquet(f"{path}/out").groupBy("plan_id", "recipient").agg(F.sum("n_articles").alias("n"))
     return sent.groupBy("plan_id").agg(F.max("n").alias("articles"))
@@ -351,9 +370,10 @@ def extract_pipeline(spark, sf):
     pages = html.extract_date(dated_pages(spark, sf), now())
     kept = pages.where(dates.in_date_window(F.col("published"), F.lit("1999-01-01").cast("timestamp"), F.lit(None).cast("timestamp"), now()))
     rows = kept.select(F.col("page_id").alias("pos"), "url", "published", html.page_title(F.col("page")).alias("title"), html.page_text(F.col("page")).alias("text"))
-    rows = written(rows, "extracted")
-    records = with_simhash(rows.select("*", F.col("url").alias("canonical_url"), content_hash(F.col("text")).alias("content_hash")))
-    return dedup.deduplicate(records).select(F.col("pos").alias("page_id"), "published", "title", summarize(F.col("text")).alias("summary"))
+    with scratch(spark, "extract") as folder:
+        rows = written(rows, "extracted", folder)
+        records = with_simhash(rows.select("*", F.col("url").alias("canonical_url"), content_hash(F.col("text")).alias("content_hash")))
+        return written(dedup.deduplicate(records).select(F.col("pos").alias("page_id"), "published", "title", summarize(F.col("text")).alias("summary")), "extracted")
 
 
 @query("monitor_pipeline")

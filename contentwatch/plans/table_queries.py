@@ -250,6 +250,27 @@ def upsert_by_key(spark, sf):
     return upsert(existing, batch, ["key"], [F.desc("value")])
 
 
+@query("upsert_buckets", "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN o.value ELSE -1 END AS value FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS value FROM orders GROUP BY 1) o ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0 OR o.value IS NOT NULL UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def upsert_buckets(spark, sf):
+    """Customers' newest orders, put into a stored table by key."""
+    from contentwatch.operators.tables import table_path
+    from contentwatch.sources import store
+
+    t = Tables(spark, sf)
+    store.write_buckets(t.customer.select(F.col("c_custkey").alias("key"), F.lit(-1).cast("long").alias("value")), path := table_path(spark, "store"), ["key"])
+    batch = t.orders.where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
+    store.upsert_buckets(batch, path, ["key"], [F.desc("value")])
+    return spark.read.parquet(path).select("key", "value")
+
+
+@query("title_similarity")
+def title_similarity(spark, sf):
+    """Each plan's name beside the next one's, both ways."""
+    named = Tables(spark, sf).customer.select("c_custkey", F.lower("c_name").alias("title"))
+    after = named.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("title").alias("other"))
+    return named.join(after, "c_custkey").select("c_custkey", dedup.title_ratio("title", "other").alias("there"), dedup.title_ratio("other", "title").alias("back"))
+
+
 # windows and rankings
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contentwatch.functions.text import strip_tags
 from contentwatch.functions.urls import is_page_url, normalize_url
-from contentwatch.operators.tables import written
+from contentwatch.operators.tables import scratch, written
 
 # Where sitemaps and feeds usually are.
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemap/sitemap.xml", "/wp-sitemap.xml", "/sitemapindex.xml", "/news-sitemap.xml", "/sitemap1.xml"]
@@ -78,15 +78,16 @@ def resolve_sitemaps(roots: DataFrame, docs: DataFrame, levels: int = 2) -> Data
     """(root, source, pos, url, date_raw): leaf entries of root bodies (column url), through at most ``levels`` of child sitemaps."""
     frontier = roots.select(F.col("url").alias("root"), "url").distinct()
     out = None
-    for level in range(levels + 1):
-        # each level's bodies are a table, so that no level reads the ones before again; a body is parsed once, whatever names it
-        bodies = written(docs.join(frontier.select("url").distinct(), "url", "left_semi").select("url", "body").distinct(), "sitemap-bodies")
-        found = entries(bodies).join(frontier.withColumnRenamed("url", "source"), "source").select("root", "source", "pos", "url", "date_raw")
-        out = found if out is None else out.unionByName(found)
-        if level < levels:
-            children = parse_sitemap_index(bodies).select("source", F.col("url").alias("child"))
-            frontier = written(children.join(frontier.withColumnRenamed("url", "source"), "source").select("root", F.col("child").alias("url")).distinct(), "sitemap-frontier")
-    return out
+    with scratch(docs.sparkSession, "sitemaps") as folder:
+        for level in range(levels + 1):
+            # each level's bodies are a table, so that no level reads the ones before again; a body is parsed once, whatever names it
+            bodies = written(docs.join(frontier.select("url").distinct(), "url", "left_semi").select("url", "body").distinct(), "bodies", folder)
+            found = entries(bodies).join(frontier.withColumnRenamed("url", "source"), "source").select("root", "source", "pos", "url", "date_raw")
+            out = found if out is None else out.unionByName(found)
+            if level < levels:
+                children = parse_sitemap_index(bodies).select("source", F.col("url").alias("child"))
+                frontier = written(children.join(frontier.withColumnRenamed("url", "source"), "source").select("root", F.col("child").alias("url")).distinct(), "frontier", folder)
+        return written(out, "sitemap-entries")
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from contentwatch.operators.tables import scratch, written
 
 SCHEMAS = {
     "settings": "key string, value string",
@@ -67,11 +70,40 @@ def seed_urls(df: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """``existing`` with the rows of ``batch`` in place of those with equal keys; the last of equal keys in the batch counts."""
-    latest = batch.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*(order or [F.lit(0)])))).where("_n = 1").drop("_n")
+    """``existing`` with the rows of ``batch`` in place of those with equal keys; of equal keys in the batch the first by ``order`` counts (else the greatest row, column by column)."""
+    order = order or [F.desc_nulls_last(f"`{c}`") for c in batch.columns if c not in keys]
+    latest = batch.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*(order or keys)))).where("_n = 1").drop("_n")
     return existing.join(latest.select(*keys), keys, "left_anti").unionByName(latest)
 
 
+BUCKET = "_bucket"
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_buckets(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """A store of rows in folders by the hash of their keys; those that ``rows`` touches are replaced, no others."""
+    dealt = rows.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(F.col(BUCKET))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
+def upsert_buckets(batch: DataFrame, path: str, keys: list[str], order: list[Column] | None = None, buckets: int = 64) -> None:
+    """``upsert`` of a batch into a store that ``write_buckets`` wrote: only the buckets that hold a key of the batch are read and written again.
+
+    A bucket is replaced as a whole at the write's commit, so a try that fails leaves the store as it was, and a second try
+    of the same batch gives the same rows.
+    """
+    spark = batch.sparkSession
+    with scratch(spark, "upsert") as folder:
+        batch = written(batch, "batch", folder)
+        touched = [r[0] for r in batch.select(bucket_of(keys, buckets)).distinct().collect()]  # at most ``buckets``
+        schema = T.StructType([*batch.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        existing = spark.read.schema(schema).parquet(path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        write_buckets(written(upsert(existing, batch, keys, order), "merged", folder), path, keys, buckets)
+
+
 def rename_store_columns(df: DataFrame, to: str = "app") -> DataFrame:
     """snake_case columns as camelCase ("app") or back ("store")."""
     import re
