@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -40,22 +40,35 @@ def find_date_text(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, shape, 0), F.lit("")) for shape in DATE_SHAPES])
 
 
-@F.pandas_udf(T.DateType())
-def fuzzy_date(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Free-form dates as dateutil reads them, missing parts from 1900-01-01; each distinct string of a batch once."""
+def _readings(raws: Iterable[str | None]) -> dict:
+    """Free-form dates as dateutil reads them, missing parts from 1900-01-01; each distinct string once."""
     from dateutil import parser
 
-    def one(raw):
+    found = {}
+    for raw in set(raws):
         try:
-            return parser.parse(raw, fuzzy=True, default=datetime(1900, 1, 1)).date()
+            found[raw] = parser.parse(raw, fuzzy=True, default=datetime(1900, 1, 1)).date()
         except (ValueError, OverflowError, TypeError, AttributeError):
-            return None
+            found[raw] = None
+    return found
 
+
+@F.pandas_udf(T.DateType())
+def fuzzy_date(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The readings of free-form dates."""
     for s in batches:
-        known = {x: one(x) for x in s.dropna().unique()}
+        known = _readings(s.dropna())
         yield pd.Series([known.get(x) for x in s], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.DateType()))
+def fuzzy_dates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``fuzzy_date`` of every string of an array."""
+    for s in batches:
+        known = _readings(x for listed in s if listed is not None for x in listed)
+        yield pd.Series([None if listed is None else [known[x] for x in listed] for listed in s], dtype=object)
+
+
 def relative_date(raw: Column, now: datetime | Column) -> Column:
     """The day of a phrase like "3 weeks ago", looked for in a fixed order; null without one."""
     found = [F.when(raw.rlike(rf"(?i)\b{name}\b"), F.lit(seconds)) for name, seconds in NAMED.items()]
@@ -65,14 +78,30 @@ def relative_date(raw: Column, now: datetime | Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(at(now)) - F.coalesce(*found)).cast("date")
 
 
+def _iso(raw: Column) -> Column:
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(raw, ISO, 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
+
+
+def _free(raw: Column) -> Column:
+    """What of a string has to be read as a free-form date; null for none."""
+    return F.when(_iso(F.trim(raw)).isNull() & (F.trim(raw) != ""), F.trim(raw))
+
+
+def _normalized(raw: Column, read: Column, now: datetime | Column) -> Column:
+    """The date of a string, given what ``_free`` of it reads as."""
+    date = F.coalesce(_iso(F.trim(raw)), read)
+    return F.coalesce(relative_date(F.trim(raw), now), F.when(F.year(date).between(F.lit(1995), F.year(at(now)) + 1), date))
+
+
 def normalize_date(raw: Column, now: datetime | Column) -> Column:
     """The date that a string states: relative phrases first, then absolute dates from 1995 to the year after ``now``."""
-    raw = F.trim(raw)
-    iso = F.try_to_timestamp(F.nullif(F.regexp_extract(raw, ISO, 1), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
-    free = fuzzy_date(F.when(iso.isNull() & (raw != ""), raw))
-    date = F.coalesce(iso, free)
-    sane = F.when(F.year(date).between(F.lit(1995), F.year(at(now)) + 1), date)
-    return F.coalesce(relative_date(raw, now), sane)
+    return _normalized(raw, fuzzy_date(_free(raw)), now)
+
+
+def first_date(candidates: Column, now: datetime | Column) -> Column:
+    """The first of an array of strings that ``normalize_date`` gives a date for."""
+    every = F.zip_with(candidates, fuzzy_dates(F.transform(candidates, _free)), lambda raw, read: _normalized(raw, read, now))
+    return F.get(F.filter(every, lambda d: d.isNotNull()), F.lit(0))
 
 
 def parse_lastmod(raw: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contentwatch.functions import dates, urls
-from contentwatch.functions.dates import AGO, NAMED
 
 # Fixed values.
 NOISE = "header footer nav navbar menu cookie consent banner sidebar advert ads ad- promo subscribe share social comment related breadcrumb".split()
@@ -325,53 +324,8 @@ def date_candidates(page: Column, url: Column, last_modified: Column | None = No
 
 
 def extract_date(pages: DataFrame, now, page: str = "page", url: str = "url", last_modified: str | None = None, variant: str = "p2", out: str = "published") -> DataFrame:
-    """``pages`` with the first candidate that is a date.  Distinct strings are read once and joined back by position."""
+    """``pages`` with the first candidate that is a date.  Distinct strings of a batch are read once."""
     listed = date_candidates(F.col(page), F.col(url), F.col(last_modified) if last_modified else None, variant)
     clean = F.filter(listed, lambda c: filled(c).isNotNull())
     made = pages.withColumns({"_candidates": clean})
-    return made.withColumn(out, first_date(F.col("_candidates"), now)).drop("_candidates")
-
-
-def first_date(candidates: Column, now) -> Column:
-    """The first of an array of strings that normalises to a date."""
-    from contentwatch.functions.dates import at
-
-    return _first_date(candidates, at(now))
-
-
-@F.pandas_udf(T.DateType())
-def _first_date(candidates, now):
-    import re
-    from datetime import datetime, timedelta
-
-    import pandas as pd
-    from dateutil import parser
-
-    known = {}
-
-    def one(raw: str, when):
-        raw = raw.strip()
-        for name, seconds in NAMED.items():
-            if re.search(rf"\b{name}\b", raw, re.I):
-                return (when - timedelta(seconds=seconds)).date()
-        for unit, seconds in AGO.items():
-            if m := re.search(rf"(\d{{1,9}})\s+{unit}s?\s+ago", raw, re.I):
-                return (when - timedelta(seconds=seconds * int(m[1]))).date()
-        try:
-            day = parser.parse(raw, fuzzy=True, default=datetime(1900, 1, 1)).date()
-        except (ValueError, OverflowError, TypeError, AttributeError):
-            return None
-        return day if 1995 <= day.year <= when.year + 1 else None
-
-    found = []
-    for listed, when in zip(candidates, now):
-        day = None
-        for raw in listed if listed is not None else []:
-            key = (raw, when)
-            if key not in known:
-                known[key] = one(raw, when)
-            if known[key]:
-                day = known[key]
-                break
-        found.append(day)
-    return pd.Series(found, dtype=object)
+    return made.withColumn(out, dates.first_date(F.col("_candidates"), now)).drop("_candidates")

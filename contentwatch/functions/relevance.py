@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentwatch.functions.text import clean_keywords, let, stem
+from contentwatch.functions.text import clean_keywords, let, run_lengths, stem
 
 
-def _verdict(words: Column, found: Column, threshold: Column | int) -> Column:
-    """The judgement of a prompt's words against the stems ``found`` in a text."""
+def _verdict(words: Column, stems: Column, found: Column, threshold: Column | int) -> Column:
+    """The judgement of a prompt's words and their stems against the stems ``found`` in a text."""
     js_round = lambda x: F.floor(x + 0.5).cast("int")
 
     def verdict(v: Column) -> Column:
@@ -19,7 +19,6 @@ def _verdict(words: Column, found: Column, threshold: Column | int) -> Column:
         matched = F.transform(v["hit"], lambda s: F.get(v["words"], F.array_position(v["stems"], s).cast("int") - 1))
         return let(score, lambda x: F.struct(x.alias("score"), matched.alias("matched"), n.alias("n_terms"), (x >= threshold).alias("related")))
 
-    stems = F.transform(words, stem)
     wanted = F.array_distinct(stems)
     return let(F.struct(words.alias("words"), stems.alias("stems"), F.size(wanted).alias("n"), F.array_intersect(wanted, found).alias("hit")), verdict)
 
@@ -31,22 +30,23 @@ def local_relevance(prompt: Column, title: Column, text: Column, stops: list[str
     names each matched stem's first word.
     """
     found = F.array_distinct(F.transform(F.array_distinct(clean_keywords(F.concat_ws(" ", title, text), stops)), stem))
-    return let(F.array_distinct(clean_keywords(prompt, stops)), lambda words: _verdict(words, found, threshold))
+    return let(F.array_distinct(clean_keywords(prompt, stops)), lambda words: _verdict(words, F.transform(words, stem), found, threshold))
 
 
 def local_relevance_of(rows: DataFrame, key: str, prompt: Column, title: Column, text: Column, stops: list[str], threshold: Column | int = 70) -> DataFrame:
     """(key, relevance): ``local_relevance`` of many texts; ``key`` names a row.
 
-    Each text's words become rows, and only words that start like one of the prompt's stems are stemmed (a stem keeps its
-    word's first letter), so a long text costs few stems, and what is shuffled are the stems that match.
+    Prompts, of which there are few, are stemmed once each, and so is each distinct word of all texts.  The words whose stem a prompt has
+    meet the texts' words again; what is gathered by text is only stems that match.
     """
-    asked = rows.select(key, F.array_distinct(clean_keywords(prompt, stops)).alias("_words"), F.concat_ws(" ", title, text).alias("_text"))
-    wanted = asked.select(key, F.array_distinct(F.transform("_words", stem)).alias("_wanted"), F.explode(F.array_distinct(clean_keywords(F.col("_text"), stops))).alias("_word"))
-    near = wanted.where(F.array_join("_wanted", " ", "").contains(F.substring("_word", 1, 1)))
-    hits = near.select(key, "_wanted", stem(F.col("_word")).alias("_stem")).where(F.array_contains("_wanted", F.col("_stem")))
-    found = hits.groupBy(key).agg(F.collect_set("_stem").alias("_found"))
-    joined = asked.select(key, "_words").join(found, key, "left")
-    return joined.select(key, _verdict(F.col("_words"), F.coalesce("_found", F.array().cast("array<string>")), threshold).alias("relevance"))
+    asked = rows.select(key, F.coalesce(prompt, F.lit("")).alias("_prompt"), F.concat_ws(" ", title, text).alias("_text"))
+    prompts = asked.select("_prompt").distinct().withColumn("_words", F.array_distinct(clean_keywords(F.col("_prompt"), stops))).withColumn("_stems", F.transform("_words", stem))
+    spoken = asked.select(key, F.explode(F.array_distinct(clean_keywords(F.col("_text"), stops))).alias("_word"))
+    wanted = prompts.select(F.explode("_stems").alias("_stem")).distinct()
+    words = spoken.select("_word").distinct().withColumn("_stem", stem(F.col("_word"))).join(wanted, "_stem", "left_semi")
+    found = spoken.join(words, "_word").groupBy(key).agg(F.collect_set("_stem").alias("_found"))
+    joined = asked.select(key, "_prompt").join(prompts, "_prompt").join(found, key, "left")
+    return joined.select(key, _verdict(F.col("_words"), F.col("_stems"), F.coalesce("_found", F.array().cast("array<string>")), threshold).alias("relevance"))
 
 
 def term_overlap_relevance(prompt: Column, title: Column, text: Column) -> Column:
@@ -65,10 +65,18 @@ def tfidf_relevance(prompt: Column, title: Column, text: Column, stops: list[str
     """
     words = lambda c: F.array_sort(F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(stops)))
     rare = 1.4054651081081644
-    count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w)).cast("double")
-    norm = lambda ws, both: F.sqrt(F.aggregate(F.array_distinct(ws), F.lit(0.0), lambda s, w: s + F.pow(count(ws, w) * F.when(F.array_contains(both, w), 1.0).otherwise(rare), 2.0)))
-    cosine = lambda v: F.when(F.size(v["both"]) == 0, 0.0).otherwise(F.aggregate(v["both"], F.lit(0.0), lambda s, w: s + count(v["a"], w) * count(v["b"], w)) / (norm(v["a"], v["both"]) * norm(v["b"], v["both"])))
-    pair = let(words(prompt), lambda a: let(words(F.concat_ws("\n\n", title, text)), lambda b: F.struct(a.alias("a"), b.alias("b"), F.array_intersect(a, b).alias("both"))))
+    squares = lambda runs: F.aggregate(runs, F.lit(0.0), lambda s, r: s + F.pow(r["n"].cast("double"), F.lit(2.0)))
+
+    def cosine(v: Column) -> Column:
+        # the prompt's few words are looked up among the text's; what they share weighs less in both norms
+        theirs = lambda r: F.get(F.filter(v["b"], lambda x: x["w"] == r["w"]), F.lit(0))["n"]
+        both = F.filter(F.transform(v["a"], lambda r: F.struct(r["n"].cast("double").alias("a"), theirs(r).cast("double").alias("b"))), lambda x: x["b"].isNotNull())
+        total = lambda f: F.aggregate(both, F.lit(0.0), lambda s, x: s + f(x))
+        norm = lambda side: F.sqrt(squares(v[side]) * rare**2 + total(lambda x: x[side] * x[side]) * (1 - rare**2))
+        dot = total(lambda x: x["a"] * x["b"])
+        return F.when(dot == 0, 0.0).otherwise(dot / (norm("a") * norm("b")))
+
+    pair = let(words(prompt), lambda a: let(words(F.concat_ws("\n\n", title, text)), lambda b: F.struct(run_lengths(a).alias("a"), run_lengths(b).alias("b"))))
     nothing = F.coalesce(prompt == "", F.lit(True)) | ((F.coalesce(title, F.lit("")) == "") & (F.coalesce(text, F.lit("")) == ""))
     return F.when(nothing, 100.0).otherwise(F.least(F.lit(100.0), 250 * let(pair, cosine)))
 

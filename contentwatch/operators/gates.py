@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentwatch.functions.urls import UTILITY_WORDS, url_path
+from contentwatch.functions.urls import UTILITY_PATHS, url_path
 from contentwatch.operators.joins import first_per_key, title_key
 
 # Titles and paths of pages that aren't articles.
 UTILITY_TITLES = r"(?i)\b(cookie policy|terms & conditions|terms and conditions|privacy policy|about us|contact us|cookie-policy|terms-conditions|privacy-policy|terms of service|terms of use|legal notice|disclaimer|copyright)\b"
 LISTS = r"(?i)/(category|categories|tag|tags|archive|archives|sitemap|search|feed|rss)\b"
-UTILITY_PATHS = rf"(?i)\b({'|'.join(UTILITY_WORDS)}|page/[0-9])\b"
 JUNK = r"(?i)(cookie|privacy|terms|gdpr|disclaimer|legal|contact-us|about-us|contact us|about us|login|signup|subscribe)"
 
 
