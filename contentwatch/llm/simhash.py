@@ -4,10 +4,13 @@ Terms are pairs of neighbouring words (the word itself in a text of one word), A
 how often they occur.  Each term's 128-bit hash votes its weight for or against every bit (Charikar 2002).
 Fingerprints are strings of 32 hex digits; likeness is 1 - Hamming distance / 128.
 
-``search`` finds every fingerprint within a Hamming radius r: of b > r blocks at least b - r are equal, so
-for each choice of b - r blocks a table is keyed by their bits (Manku, Jain & Das Sarma 2007).  It runs over
-distinct fingerprints, so copies meet no more often than one text does.  At the radius of 6, with 8 blocks, 28 tables are
-keyed by 32 bits each.
+``search`` finds every fingerprint within a Hamming radius r.  Each block of bits has a tolerance, and the tolerances plus
+one sum to r + 1; so of two fingerprints within r, one block at least differs in no more bits than its tolerance.  The
+table has one key a block (the permuted tables of Manku, Jain & Das Sarma 2007, in one), and the asked fingerprints, of
+which there are few, are looked up under every key within the tolerance.  At the radius of 12, with 5 blocks of 24 or 28
+bits, that is 961 keys of each asked one, where tables of equal blocks alone would take hundreds of keys of every row.
+A pair is given by the first block that fits, so once.  It runs over distinct fingerprints, so copies meet no more often
+than one text does.
 
 Cases: a null or empty text, or one without words, has the fingerprint of all zeros; equal texts have equal
 fingerprints; a very long text is read whole, its votes summed a block of terms at a time; repeated ids are ordered by
@@ -30,7 +33,10 @@ from contentwatch.llm.common import SPACES, binaries, free_name, partitions, scr
 from contentwatch.llm.words import Words, grams, mix
 
 BITS = 128
-RADIUS = 6
+RADIUS = 12
+#: Blocks of the search; fewer give longer keys, so fewer chance candidates in a large table, and more keys of each asked fingerprint.
+BLOCKS = 5
+_TAG = 56
 
 
 def votes(terms: np.ndarray) -> np.ndarray:
@@ -74,22 +80,54 @@ def _word(fingerprint: str, i: int):
     return F.conv(F.substring(fingerprint, 8 * i + 1, 8), 16, 10).cast("long")
 
 
-def search(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """(query, found, distance): distinct fingerprints of ``table`` within ``radius`` of each distinct one of ``queries``; both have a column fingerprint."""
-    blocks = blocks or radius + 2
+def tolerances(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(first hex digit, the one after the last, bits that may differ) of the blocks; shorter blocks tolerate more, a block that isn't needed is left out."""
     digits = BITS // 4
     edges = [digits * i // blocks for i in range(blocks + 1)]
-    choices = list(combinations(range(blocks), blocks - radius))
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        parts = [F.substring("fingerprint", a + 1, b - a) for a, b in zip(edges, edges[1:])]
-        keys = F.array(*[F.xxhash64(F.lit(t), *[parts[x] for x in choice]) for t, choice in enumerate(choices)])
-        return df.select("fingerprint").distinct().select(F.unhex("fingerprint").alias(name), F.explode(keys).alias("key"))
-
+    least, more = divmod(radius + 1, blocks)
+    shorter = sorted(range(blocks), key=lambda i: edges[i + 1] - edges[i])
+    found = {i: least - 1 + (rank < more) for rank, i in enumerate(shorter)}
+    return [(edges[i], edges[i + 1], found[i]) for i in range(blocks) if found[i] >= 0]
+
+
+def _masks(bits: int, most: int) -> list[int]:
+    """The numbers of ``bits`` bits of which at most ``most`` are set."""
+    return [sum(1 << i for i in chosen) for n in range(most + 1) for chosen in combinations(range(bits), n)]
+
+
+def _halves(a: int, b: int) -> tuple[int, int]:
+    """The hex digits a to b of a fingerprint as masks of its two signed longs."""
+    whole = ((1 << 4 * (b - a)) - 1) << 4 * (BITS // 4 - b)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return signed(whole >> 64), signed(whole & ((1 << 64) - 1))
+
+
+def search(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(query, found, distance): distinct fingerprints of ``table`` within ``radius`` of each distinct one of ``queries``; both have a column fingerprint.  At least 3 blocks."""
+    parts = tolerances(radius, blocks)
+    long = lambda a, b: F.conv(F.substring("fingerprint", a + 1, b - a), 16, 10).cast("long")
+    half = lambda a: F.shiftleft(long(a, a + 8), 32).bitwiseOR(long(a + 8, a + 16))
+
+    def blocked(df: DataFrame, name: str) -> DataFrame:
+        return df.select("fingerprint").distinct().select(half(0).alias(f"{name}0"), half(16).alias(f"{name}1"), F.array(*[long(a, b) for a, b, _ in parts]).alias("v"))
+
+    masks = [m | i << _TAG for i, (a, b, most) in enumerate(parts) for m in _masks(4 * (b - a), most)]
+    asked = blocked(queries, "q").select("q0", "q1", "v", F.explode(F.expr(f"array({', '.join(f'{m}L' for m in masks)})")).alias("m"))
+    asked = asked.select("q0", "q1", F.get("v", F.shiftright("m", _TAG).cast("int")).bitwiseXOR(F.col("m")).alias("asked"))
+    keyed = blocked(table, "f").select("f0", "f1", F.posexplode("v").alias("i", "x"))
+    keyed = keyed.select("f0", "f1", F.shiftleft(F.col("i").cast("long"), _TAG).bitwiseOR(F.col("x")).alias("key"))
+
+    differ = [F.col(f"q{i}").bitwiseXOR(F.col(f"f{i}")) for i in (0, 1)]
+    count = lambda masks: sum((F.bit_count(d.bitwiseAND(F.lit(m).cast("long"))) for d, m in zip(differ, masks) if m), F.lit(0))
+    first = None
+    for i, (a, b, most) in enumerate(parts):
+        fits = count(_halves(a, b)) <= most
+        first = F.when(fits, i) if first is None else first.when(fits, i)
+    distance = count((-1, -1))
     # a merge join: the keys of either side grow with the table, so none of them is to be broadcast
-    pairs = keyed(queries, "q").hint("merge").join(keyed(table, "f"), "key").select(F.lower(F.hex("q")).alias("query"), F.lower(F.hex("f")).alias("found"))
-    distance = sum((F.bit_count(_word("query", i).bitwiseXOR(_word("found", i))) for i in range(4)), F.lit(0))
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).select("query", "found", "distance").distinct()
+    met = asked.hint("merge").join(keyed, (F.col("asked") == F.col("key")) & (distance <= radius) & (first == F.shiftright("key", _TAG)))
+    text = lambda n: F.concat(*[F.lpad(F.lower(F.hex(f"{n}{i}")), 16, "0") for i in (0, 1)])
+    return met.select(text("q").alias("query"), text("f").alias("found"), distance.alias("distance"))
 
 
 def with_next(df: DataFrame, key: str, text: str, carried: str, ids: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -13,15 +15,48 @@ def distance(a, b):
 def test_search_equals_brute_force(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(128) for _ in range(30)]
-    prints = sorted({b ^ sum(1 << rng.randrange(128) for _ in range(rng.randrange(6))) & ((1 << 128) - 1) for b in base for _ in range(8)})
+    prints = sorted({b ^ sum(1 << rng.randrange(128) for _ in range(rng.randrange(18))) & ((1 << 128) - 1) for b in base for _ in range(20)})
     prints = [f"{p:032x}" for p in prints]
     df = spark.createDataFrame([(p, "x") for p in prints * 2], "fingerprint string, found string")
     asked = df.where(df.fingerprint < "8")
-    for radius, blocks in ((3, None), (3, 4), (1, None)):
-        got = {tuple(r) for r in sh.search(asked, df, radius, blocks).collect()}
+    for radius, blocks in ((12, 5), (12, 6), (9, 4), (3, 5), (3, 4), (1, 3), (0, 5)):
+        rows = [tuple(r) for r in sh.search(asked, df, radius, blocks).collect()]
+        got = set(rows)
+        assert len(rows) == len(got)
         assert got == {(a, b, distance(a, b)) for a in prints if a < "8" for b in prints if distance(a, b) <= radius}
 
 
+def slow_fingerprint(text):
+    """The definition, a word, a term and a bit at a time."""
+    whole, golden, base = (1 << 64) - 1, 0x9E3779B97F4A7C15, 6364136223846793005
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & whole
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & whole
+        return x ^ x >> 31
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    hashes = [mix(sum(mix((1 + b) * golden & whole) * pow(base, i, 1 << 64) for i, b in enumerate(w.encode())) & whole) for w in words]
+    terms = [mix((a * base + b) & whole) for a, b in zip(hashes, hashes[1:])] if len(words) > 1 else [mix(h) for h in hashes]
+    weights = Counter(terms)
+    out = bytearray(16)
+    for i in range(128):
+        votes = 0
+        for term, weight in weights.items():
+            data = term.to_bytes(8, "little") + mix((term + golden) & whole).to_bytes(8, "little")
+            votes += weight if data[i // 8] >> 7 - i % 8 & 1 else -weight
+        if votes > 0:
+            out[i // 8] |= 1 << 7 - i % 8
+    return out.hex()
+
+
+def test_fingerprint_equals_its_slow_form(spark, small_tables):
+    docs = [r.text for r in spark.read.parquet(f"{small_tables}/documents.parquet").orderBy("doc_id").limit(30).collect()]
+    texts = [*docs, "one", "One TWO", "a b a b a b a", "Ä ß 漢字 Ä ß", " \t\n", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert [r.fingerprint for r in sh.fingerprints(df).orderBy("i").collect()] == [slow_fingerprint(t) for t in texts]
+
+
 def brute_edits(docs):
     docs = sorted(docs)
     for (d, text), (_, other) in zip(docs, docs[1:] + docs[:1]):
