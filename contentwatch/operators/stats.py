@@ -137,17 +137,3 @@ def rank_links_by_keywords(links: DataFrame, keywords: list[str]) -> DataFrame:
     place = F.concat(url_path(F.lower("url")), url_query(F.lower("url")))
     score = F.when(F.lower(F.coalesce("text", F.lit(""))).rlike(pattern), 2).when(place.rlike(pattern), 1).otherwise(0)
     return links.withColumn("score", score).where("score > 0")
-
-
-def search_sentences(articles: DataFrame, question: str, stops: list[str], n: int = 3) -> DataFrame:
-    """(sentence, title, url, score): the best sentences of ``title. summary`` for a question, each text once."""
-    from contentwatch.functions.text import clean_keywords, stem
-
-    wanted = F.transform(F.array_distinct(clean_keywords(F.lit(question), stops)), stem)
-    sentence = F.explode(F.split(F.concat("title", F.lit(". "), "summary"), r"(?<=[.!?])\s+"))
-    rows = articles.select("id", "title", "url", sentence.alias("s")).withColumn("sentence", F.trim("s")).where(F.length("sentence") >= 15)
-    hits = F.size(F.filter(wanted, lambda w: F.array_contains(F.transform(clean_keywords(F.col("sentence"), stops), stem), w)))
-    scored = rows.withColumn("score", hits / F.greatest(F.lit(1), F.least(F.size(wanted), F.lit(3)))).where("score > 0")
-    key = F.regexp_replace(F.lower("sentence"), r"[^\w]", "")
-    best = scored.groupBy(key.alias("key")).agg(F.max_by(F.struct("sentence", "title", "url", "score"), F.struct("score", (-F.col("id")).alias("id"))).alias("b"))
-    return best.select("b.*").orderBy(F.desc("score"), "sentence").limit(n)

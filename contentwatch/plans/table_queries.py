@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from contentwatch.functions import dates
 from contentwatch.functions.text import STOP_WORDS, with_simhash
-from contentwatch.operators import dedup, digest, gates, joins, stats
+from contentwatch.operators import dedup, digest, gates, joins, sentences, stats
+from contentwatch.operators.tables import scratch, written
 from contentwatch.plans.catalog import ARTICLES, DATED, LOG, NOW, PLANS, Tables, query
-from contentwatch.plans.url_queries import SIMHASHES
+from contentwatch.plans.url_queries import SIMHASHES, clean, stemmed
 
 N = f"TIMESTAMP '{NOW}'"
 
@@ -347,10 +348,26 @@ def rank_links_by_keywords(spark, sf):
     return stats.rank_links_by_keywords(links, ["on", "TION", " /77 ", ""]).select("id", "score")
 
 
-@query("search_sentences")
+QUESTION = "Which whation shonthe ereron?"
+ANSWERS = f"""
+WITH t AS (SELECT id, title, url, string_split(regexp_replace(title || '. ' || content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM {ARTICLES}),
+s AS (SELECT id, title, url, i AS pos, trim(parts[i]) AS sentence FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM t)),
+q AS (SELECT {stemmed(f"list_distinct({clean(chr(39) + QUESTION + chr(39))})")} AS qs),
+h AS (SELECT s.*, len(list_filter(qs, lambda x: list_contains({stemmed(clean('sentence'))}, x))) / least(len(qs), 3) AS score FROM s, q WHERE length(sentence) >= 15),
+b AS (SELECT * FROM h WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY regexp_replace(lower(sentence), '[^a-z0-9_]', '', 'g') ORDER BY score DESC, id, pos) = 1)
+SELECT sentence, title, url, score FROM b ORDER BY score DESC, id, pos LIMIT 3"""
+
+
+@query("search_sentences", ANSWERS)
 def search_sentences(spark, sf):
-    a = Tables(spark, sf).articles().withColumn("summary", F.col("content"))
-    return stats.search_sentences(a, "Which whation shonthe ereron?", STOP_WORDS, 3)
+    return sentences.search(Tables(spark, sf).articles().withColumn("summary", F.col("content")), QUESTION, n=3)
+
+
+@query("ask_sentence_index", ANSWERS)
+def ask_sentence_index(spark, sf):
+    with scratch(spark, "sentences") as folder:
+        sentences.write_index(Tables(spark, sf).articles().withColumn("summary", F.col("content")), folder, buckets=16)
+        return written(sentences.ask(spark, folder, QUESTION, n=3, buckets=16), "answers")
 
 
 # aggregates
@@ -443,6 +460,19 @@ def explode_plan_urls(spark, sf):
     return explode_plan_urls(Tables(spark, sf).plans())
 
 
+@query("explode_mixed_urls", f"""
+SELECT id AS plan_id, 0 AS pos, urls[1] AS url, urls[1] AS label, 'default' AS method, 2 AS depth FROM {PLANS}
+UNION ALL SELECT id, 1, urls[2], 'nation ' || c_nationkey, 'bfs', CASE id % 4 WHEN 0 THEN 2 ELSE id % 4 END FROM {PLANS}
+UNION ALL SELECT id, 3, 'https://c' || id || '.example.org', 'https://c' || id || '.example.org', 'default', 3 FROM {PLANS}""")
+def explode_mixed_urls(spark, sf):
+    from contentwatch.sources.store import explode_plan_urls
+
+    plans = Tables(spark, sf).plans()
+    entry = F.to_json(F.struct(F.get("urls", F.lit(1)).alias("url"), F.concat(F.lit("nation "), "user_id").alias("label"), F.lit("bfs").alias("crawlMethod"), (F.col("id") % 4).alias("depth")))
+    listed = F.concat(F.lit('["'), F.get("urls", F.lit(0)), F.lit('", '), entry, F.lit(', 7, {"depth": "3", "url": "https://c'), "id", F.lit('.example.org"}]'))
+    return explode_plan_urls(plans.select("id", F.parse_json(listed).alias("urls")))
+
+
 @query("log_type_counts", f"SELECT type, count(*) AS events FROM {LOG} GROUP BY 1")
 def log_type_counts(spark, sf):
     return stats.log_type_counts(Tables(spark, sf).log())

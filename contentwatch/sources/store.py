@@ -24,15 +24,31 @@ SCHEMAS = {
 KEYS = {"plans": ["id"], "articles": ["id"], "seen_urls": ["plan_id", "url"], "settings": ["key"], "app_users": ["id"]}
 
 
-def read_store(spark: SparkSession, path: str, table: str, fmt: str = "parquet", plan_id: str | None = None, user_id: str | None = None, **options) -> DataFrame:
-    """A stored table by its schema; filters reach the source.  For ``jdbc``, ``path`` is the connection's URL."""
-    reader = spark.read.format(fmt).options(**options)
-    df = reader.option("url", path).option("dbtable", table).load() if fmt == "jdbc" else reader.schema(SCHEMAS[table]).load(f"{path}/{table}")
+def read_store(spark: SparkSession, path: str, table: str, fmt: str = "parquet", plan_id: str | None = None, user_id: str | None = None, by: str | None = None, parts: int = 16, **options) -> DataFrame:
+    """A stored table by its schema; filters reach the source.
+
+    For ``jdbc``, ``path`` is the connection's URL.  With ``by``, a number, date or time column of the table, it is read in
+    ``parts`` ranges of it, by as many connections (each its own query of the source, which also runs the filters); rows
+    without a value go with the first range.  The two ends are asked from the source; an empty table is one range.
+    """
+    if fmt == "jdbc":
+        options = {"url": path, **options}
+        df = spark.read.format("jdbc").options(**options, dbtable=table, **_ranges(spark, table, by, parts, options)).load()
+    else:
+        df = spark.read.format(fmt).options(**options).schema(SCHEMAS[table]).load(f"{path}/{table}")
     if plan_id is not None:
         df = df.where(F.col("id" if table == "plans" else "plan_id") == plan_id)
     return df.where(F.col("user_id") == user_id) if user_id is not None else df
 
 
+def _ranges(spark: SparkSession, table: str, by: str | None, parts: int, options: dict) -> dict[str, str]:
+    if by is None:
+        return {}
+    quoted = by.replace('"', '""')
+    low, high = spark.read.format("jdbc").options(**options, query=f'SELECT MIN("{quoted}") AS low, MAX("{quoted}") AS high FROM {table}').load().selectExpr("string(low)", "string(high)").first()
+    return {} if low is None else {"partitionColumn": by, "lowerBound": low, "upperBound": high, "numPartitions": str(parts)}
+
+
 def read_json_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a store that is one JSON document with plans, articles, emailLog and activityLog."""
     lists = {"plans": "id string, name string, status string, urls array<struct<id: string, url: string, label: string>>", "articles": "id string, plan_id string, url string, title string, summary string, company string, publish_date string", "emailLog": "id string, plan_id string, recipient string, subject string, status string, ts string", "activityLog": "id string, ts string, event string, plan string, type string"}
@@ -143,11 +159,27 @@ def article_id(plan_id: Column, url: Column) -> Column:
 
 
 def explode_plan_urls(plans: DataFrame, urls: str = "urls") -> DataFrame:
-    """(plan_id, pos, url, label, method, depth) of plans whose urls are strings or structs."""
-    rows = plans.select(F.col("id").alias("plan_id"), F.posexplode(urls).alias("pos", "u"))
-    if dict(rows.dtypes)["u"] == "string":
-        return rows.select("plan_id", "pos", F.col("u").alias("url"), F.col("u").alias("label"), F.lit("default").alias("method"), F.lit(2).alias("depth"))
-    return rows.select("plan_id", "pos", "u.url", F.coalesce("u.label", "u.url").alias("label"), F.coalesce("u.crawlMethod", F.lit("default")).alias("method"), F.coalesce("u.depth", F.lit(2)).alias("depth"))
+    """(plan_id, pos, url, label, method, depth) of plans whose urls are strings, structs, or a variant or JSON text that may hold both in one list.
+
+    A missing label is the url, a missing method "default", a depth that is missing or 0 is 2.  In a variant, entries that are
+    neither text nor object are left out and keep their places; text that isn't JSON, and what isn't a list, has no entries.
+    """
+    kind = plans.schema[urls].dataType
+    if isinstance(kind, (T.VariantType, T.StringType)):
+        v = F.col(urls) if isinstance(kind, T.VariantType) else F.try_parse_json(urls)
+        lists = plans.select(F.col("id").alias("plan_id"), v.alias("v"))
+        entries = lists.lateralJoin(plans.sparkSession.tvf.variant_explode(F.col("v").outer())).where("key IS NULL")
+        is_text, is_object = F.schema_of_variant("value") == "STRING", F.schema_of_variant("value").startswith("OBJECT")
+        field = lambda name, to="string": F.when(is_object, F.try_variant_get("value", f"$.{name}", to))
+        url = F.when(is_text, F.try_variant_get("value", "$", "string")).otherwise(field("url"))
+        rows = entries.where(is_text | is_object).select("plan_id", "pos", url.alias("url"), field("label").alias("label"), field("crawlMethod").alias("method"), field("depth", "int").alias("depth"))
+    else:
+        u = plans.select(F.col("id").alias("plan_id"), F.posexplode(urls).alias("pos", "u"))
+        if isinstance(kind.elementType, T.StringType):
+            rows = u.select("plan_id", "pos", F.col("u").alias("url"), *[F.lit(None).cast(t).alias(n) for n, t in (("label", "string"), ("method", "string"), ("depth", "int"))])
+        else:
+            rows = u.select("plan_id", "pos", "u.url", "u.label", F.col("u.crawlMethod").alias("method"), "u.depth")
+    return rows.select("plan_id", "pos", "url", F.coalesce("label", "url").alias("label"), F.coalesce("method", F.lit("default")).alias("method"), F.coalesce(F.nullif("depth", F.lit(0)), F.lit(2)).alias("depth"))
 
 
 def export_rows(articles: DataFrame) -> DataFrame:

@@ -48,5 +48,5 @@ def test_query_equals_its_sql(spark, duck, small_tables, name):
 
 
 def test_every_query_without_sql_is_known():
-    known = {"deduplicate", "similar_title_pairs", "title_similarity", "search_sentences", "page_text", "page_text_blocks", "article_signals", "classify_article", "extract_pipeline", "monitor_pipeline"}
+    known = {"deduplicate", "similar_title_pairs", "title_similarity", "page_text", "page_text_blocks", "article_signals", "classify_article", "extract_pipeline", "monitor_pipeline"}
     assert set(QUERIES) - set(SQL) <= known
