@@ -146,6 +146,21 @@ def parse_sitemap(spark, sf):
     return feeds.parse_sitemap(bodies(spark, sf, "sitemap")).select("source", "url", "date_raw")
 
 
+@query("read_sitemaps", f"SELECT url, strftime(pub_date, '%Y-%m-%d') AS date_raw FROM {DATED}")
+def read_sitemaps(spark, sf):
+    """Entries of files; those of a body without an end stay, as each is judged by itself."""
+    with scratch(spark, "sitemap-files") as folder:
+        bodies(spark, sf, "sitemap").select("body").write.text(f"{folder}/files")
+        return written(feeds.read_sitemaps(spark, f"{folder}/files").select("url", "date_raw"), "sitemap-entries")
+
+
+@query("read_sitemap_indexes", f"SELECT 'https://s/' || id AS url, '2001-01-01' AS lastmod FROM {PLANS}")
+def read_sitemap_indexes(spark, sf):
+    with scratch(spark, "sitemap-files") as folder:
+        index_bodies(spark, sf).select("body").write.text(f"{folder}/files")
+        return written(feeds.read_sitemap_indexes(spark, f"{folder}/files").select("url", "lastmod"), "sitemap-children")
+
+
 @query("parse_rss", f"SELECT 'https://s/' || plan_id AS source, url, title, strftime(pub_date, '%Y-%m-%d') AS date_raw, 'about ' || id AS summary FROM {WHOLE}")
 def parse_rss(spark, sf):
     return feeds.parse_rss(bodies(spark, sf, "rss")).drop("pos")

@@ -1,8 +1,10 @@
-"""Sitemaps, feeds and robots files from tables of fetched bodies (url, body).  Malformed bodies give no rows."""
+"""Sitemaps, feeds and robots files from tables of fetched bodies (url, body), and sitemaps from files of any size.  Malformed bodies give no rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentwatch.functions.text import strip_tags
@@ -27,12 +29,20 @@ def xml_kind(body: Column) -> Column:
     return F.when(root == "sitemapindex", "index").when(root.isin("urlset", "rss", "feed"), root)
 
 
+ENTRY = "loc string, lastmod string"
+
+
+def _xml(text: Column, prefix: Column, schema: str) -> Column:
+    """Parsed XML, null where it is malformed.  ``prefix`` is taken from the names: from_xml takes them as written."""
+    plain = F.when(prefix == "", text).otherwise(F.replace(F.replace(text, F.concat(F.lit("<"), prefix), F.lit("<")), F.concat(F.lit("</"), prefix), F.lit("</")))
+    return F.from_xml(plain, schema, {"mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE"})
+
+
 def _parsed(docs: DataFrame, kind: str, schema: str) -> DataFrame:
     some = docs.where(sniff_xml(F.col("body")) & (xml_kind(F.col("body")) == kind))
-    # a root with a prefix has it on its elements too; from_xml takes names as written
+    # a root with a prefix has it on its elements too
     prefix = F.concat(F.regexp_extract("body", r"<([\w.-]+:)(?:urlset|sitemapindex|rss|feed)\b", 1))
-    plain = F.when(prefix == "", F.col("body")).otherwise(F.replace(F.replace("body", F.concat(F.lit("<"), prefix), F.lit("<")), F.concat(F.lit("</"), prefix), F.lit("</")))
-    return some.select(F.col("url").alias("source"), F.from_xml(plain, schema, {"mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE"}).alias("x"))
+    return some.select(F.col("url").alias("source"), _xml(F.col("body"), prefix, schema).alias("x"))
 
 
 def _clean(url: Column) -> Column:
@@ -41,16 +51,54 @@ def _clean(url: Column) -> Column:
 
 def parse_sitemap(docs: DataFrame, pages_only: bool = False) -> DataFrame:
     """(source, pos, url, date_raw) of urlset bodies; entries without an address are skipped."""
-    rows = _parsed(docs, "urlset", "url array<struct<loc: string, lastmod: string>>").select("source", F.posexplode("x.url").alias("pos", "u"))
-    out = rows.select("source", "pos", _clean(F.col("u.loc")).alias("url"), F.nullif(F.trim("u.lastmod"), F.lit("")).alias("date_raw")).where("url != ''")
+    rows = _parsed(docs, "urlset", f"url array<struct<{ENTRY}>>").select("source", F.posexplode("x.url").alias("pos", "u"))
+    return _sitemap_entries(rows, ["source", "pos"], pages_only)
+
+
+def _sitemap_entries(rows: DataFrame, keys: list[str], pages_only: bool) -> DataFrame:
+    out = rows.select(*keys, _clean(F.col("u.loc")).alias("url"), F.nullif(F.trim("u.lastmod"), F.lit("")).alias("date_raw")).where("url != ''")
     return out.where(is_page_url(F.col("url"), keywords=["\0"])) if pages_only else out
 
 
 def parse_sitemap_index(docs: DataFrame) -> DataFrame:
     """(source, pos, url, lastmod) of child sitemaps, the latest first."""
-    rows = _parsed(docs, "index", "sitemap array<struct<loc: string, lastmod: string>>").select("source", F.posexplode("x.sitemap").alias("pos", "u"))
-    out = rows.select("source", "pos", _clean(F.col("u.loc")).alias("url"), F.trim("u.lastmod").alias("lastmod")).where("url != ''")
-    return out.orderBy(F.desc_nulls_last("lastmod"), "source", "pos")
+    rows = _parsed(docs, "index", f"sitemap array<struct<{ENTRY}>>").select("source", F.posexplode("x.sitemap").alias("pos", "u"))
+    return _children(rows, ["source", "pos"]).orderBy(F.desc_nulls_last("lastmod"), "source", "pos")
+
+
+def _children(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, _clean(F.col("u.loc")).alias("url"), F.trim("u.lastmod").alias("lastmod")).where("url != ''")
+
+
+def _elements(spark: SparkSession, path: str, name: str, prefix: str) -> DataFrame:
+    """(source, u): every element ``name`` of the files under ``path``, each parsed by itself.
+
+    Files are text whose records end with the element's end tag, so one file is dealt over many tasks (a compressed one is
+    read by one) and no row holds more than an element, whatever the file's size; the XML source's ``rowTag`` reads a file in
+    one task, or line by line.
+    """
+    files = spark.read.text(path, lineSep=f"</{prefix}{name}>").select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", "(?s)<!--.*?-->", "").alias("value"))
+    # from the last start tag: what stands before it belongs to no whole element
+    inside = F.regexp_extract("value", rf"(?s)^.*<{re.escape(prefix + name)}(?:\s[^>]*)?>(.*)$", 1)
+    # a comment that is still open at the end tag has that tag inside
+    some = files.where(~F.contains("value", F.lit("<!--"))).select("source", inside.alias("inside")).where("inside != ''")
+    return some.select("source", _xml(F.concat(F.lit("<x>"), "inside", F.lit("</x>")), F.lit(prefix), ENTRY).alias("u"))
+
+
+def read_sitemaps(spark: SparkSession, path: str, pages_only: bool = False, prefix: str = "") -> DataFrame:
+    """(source, url, date_raw) of urlset files, the source being a file's path; for files too large for a row of a table.
+
+    As ``parse_sitemap``, but an entry is judged by itself: a malformed one is left out and the others stay, and what is
+    cut off at a file's end counts if its address is whole.  Entries have no position, and of several in one comment only the
+    first is left out.  ``prefix`` ("sm:") is that of the files' names; their text is UTF-8.  Files without entries, empty
+    ones and those of another kind have no rows.
+    """
+    return _sitemap_entries(_elements(spark, path, "url", prefix), ["source"], pages_only)
+
+
+def read_sitemap_indexes(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """(source, url, lastmod) of the child sitemaps that sitemapindex files name, the latest first; read like ``read_sitemaps``."""
+    return _children(_elements(spark, path, "sitemap", prefix), ["source"]).orderBy(F.desc_nulls_last("lastmod"), "source", "url")
 
 
 def parse_rss(docs: DataFrame) -> DataFrame:
