@@ -26,3 +26,10 @@ def test_labels_after_300_elements(spark, tmp_path, name, head):
     rows = [(4 + 900 * i, f"https://a.b/{i}", BODY.format(t="t", ps=ps)) for i, ps in enumerate(pages)]
     got = compare(spark, tables(spark, tmp_path, "pages", rows, "page_id long, url string, html string"), QUERIES[name], SQL[name], str(tmp_path))
     assert [x is not None for x in got.sort_values("page_id").published] == [True, False, True, False]
+
+
+def test_references_without_semicolons(spark, tmp_path):
+    titles = ["one &amp; two&amp", "a &l", "x &lt;b&gt y", "&amp;lt", "&am", "  &amp", "&amp;amp;&ampamp;", "say &quot;x&quot it&#x27;s"]
+    rows = [(i, f"https://a.b/{i}", BODY.format(t=t, ps="<p>p</p>")) for i, t in enumerate(titles)]
+    got = compare(spark, tables(spark, tmp_path, "pages", rows, "page_id long, url string, html string"), QUERIES["page_title"], SQL["page_title"], str(tmp_path))
+    assert got.sort_values("page_id").title.tolist() == ["one & two&", "a &l", "x <b> y", "&lt", "&am", "&", "&amp;&amp;", "say \"x\" it's"]
