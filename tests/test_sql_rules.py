@@ -33,3 +33,11 @@ def test_references_without_semicolons(spark, tmp_path):
     rows = [(i, f"https://a.b/{i}", BODY.format(t=t, ps="<p>p</p>")) for i, t in enumerate(titles)]
     got = compare(spark, tables(spark, tmp_path, "pages", rows, "page_id long, url string, html string"), QUERIES["page_title"], SQL["page_title"], str(tmp_path))
     assert got.sort_values("page_id").title.tolist() == ["one & two&", "a &l", "x <b> y", "&lt", "&am", "&", "&amp;&amp;", "say \"x\" it's"]
+
+
+def test_quota_windows_in_whole_milliseconds(spark, tmp_path):
+    t0, us = datetime(2024, 1, 1), lambda n: timedelta(microseconds=n)
+    times = [t0 + us(900), t0 + timedelta(minutes=15) + us(100), t0 + timedelta(minutes=29), t0 + timedelta(minutes=30) + us(50), t0 + timedelta(hours=1) + us(20)]
+    rows = [(i, t, 0, "view", 1.0, "{}") for i, t in enumerate(times)]
+    got = compare(spark, tables(spark, tmp_path, "events", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"), QUERIES["stream_quota"], SQL["stream_quota"], str(tmp_path))
+    assert sorted(got.requests) == [1, 1, 2]
