@@ -16,14 +16,80 @@ from contentwatch.operators.tables import scratch, written
 def near_simhashes(values: DataFrame, radius: int = 3) -> DataFrame:
     """(value, other): both ways, the distinct non-zero simhashes (column value) within ``radius`` bits.
 
-    Of six blocks at most three differ, so three are equal: twenty tables, keyed by three blocks each.
+    Of six blocks at most three differ, so three are equal: twenty tables, keyed by three blocks each.  The sizes that Spark
+    estimates of exploded rows are too small by the number of tables, so the join is told not to send them through the driver.
     """
     edges = [64 * i // 6 for i in range(7)]
     block = lambda i: F.shiftrightunsigned("value", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
     keys = [F.xxhash64(F.lit(t), *[block(i) for i in c]) for t, c in enumerate(combinations(range(6), 6 - radius))]
     some = values.where("value != 0").select("value").distinct().select("value", F.explode(F.array(*keys)).alias("key"))
-    pairs = some.join(some.withColumnRenamed("value", "other"), "key").where("value != other")
-    return pairs.where(hamming(F.col("value"), F.col("other")) <= radius).select("value", "other").distinct()
+    pairs = some.hint("merge").join(some.withColumnRenamed("value", "other").hint("merge"), "key").where("value < other")
+    near = pairs.where(hamming(F.col("value"), F.col("other")) <= radius).select("value", "other").distinct()
+    return near.unionByName(near.select(F.col("other").alias("value"), F.col("value").alias("other")))
+
+
+#: From this length on, difflib leaves out characters that are frequent in the second text.
+JUNK_FROM = 200
+
+
+def _points(texts: list[str], fill: int):
+    """Code points, a text a column; ``fill`` after a text's end."""
+    import numpy as np
+
+    most = max(map(len, texts))
+    points = np.array(texts, dtype=f"U{most}").view(np.uint32).reshape(-1, most).T.copy()
+    points[np.arange(most)[:, None] >= np.array([len(x) for x in texts])] = fill
+    return points
+
+
+def _longest_blocks(a, b):
+    """Size and first places of each pair's longest common block, of equals the first in ``a``, then in ``b``."""
+    import numpy as np
+
+    width, rows = len(a), len(b)
+    run, best = np.zeros((rows + 1, a.shape[1]), np.uint32), np.zeros(b.shape, np.uint32)
+    for i in range(width):
+        run[1:] = (run[:-1] + 1) * (a[i] == b)
+        np.maximum(best, (run[1:] << 16) + ((255 - i) << 8), out=best)
+    best = (best + (255 - np.arange(rows, dtype=np.uint32))[:, None]).max(axis=0)
+    size = (best >> 16).astype(np.int64)
+    return size, 256 - (best >> 8 & 255).astype(np.int64) - size, 256 - (best & 255).astype(np.int64) - size
+
+
+def matched_characters(a: list[str], b: list[str]):
+    """Characters that Ratcliff-Obershelp matches, for many pairs of non-empty texts at once: the longest common block, then the same left and right of it."""
+    import numpy as np
+    from difflib import SequenceMatcher
+
+    found = np.zeros(len(a), np.int64)
+    widths = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+    for at in np.flatnonzero(widths >= JUNK_FROM):
+        found[at] = sum(m.size for m in SequenceMatcher(None, a[at], b[at]).get_matching_blocks())
+    order = np.flatnonzero(widths < JUNK_FROM)
+    order = order[np.argsort(widths[order], kind="stable")]
+    for start in range(0, len(order), 4096):
+        rows = order[start : start + 4096]
+        left, right = [a[r] for r in rows], [b[r] for r in rows]
+        x, y, sums = _points(left, 0xFFFFFFFF), _points(right, 0xFFFFFFFE), np.zeros(len(rows), np.int64)
+        part = (np.arange(len(rows)), np.zeros(len(rows), np.int64), np.array([len(t) for t in left]), np.zeros(len(rows), np.int64), np.array([len(t) for t in right]))
+        while len(part[0]):
+            at, alo, ahi, blo, bhi = part
+            cut = lambda points, lo, hi, fill: np.where((k := np.arange((hi - lo).max())[:, None]) < hi - lo, points[np.minimum(lo + k, len(points) - 1), at], np.uint32(fill))  # noqa: E731, B023
+            size, i, j = _longest_blocks(cut(x, alo, ahi, 0xFFFFFFFF), cut(y, blo, bhi, 0xFFFFFFFE))
+            sums += np.bincount(at, size, len(rows)).astype(np.int64)
+            i, j = alo + i, blo + j
+            sides = [np.concatenate(c) for c in ((at, at), (alo, i + size), (i, ahi), (blo, j + size), (j, bhi))]
+            open_ = (np.concatenate((size, size)) > 0) & (sides[1] < sides[2]) & (sides[3] < sides[4])
+            part = tuple(c[open_] for c in sides)
+        found[rows] = sums
+    return found
+
+
+def _ratios(a: list[str], b: list[str]):
+    """Ratcliff-Obershelp similarity of non-empty texts: twice the matched characters by the characters of both."""
+    import numpy as np
+
+    return 2.0 * matched_characters(a, b) / np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -154,3 +154,10 @@ def test_similar_titles_equal_all_pairs(spark):
     found = dedup.similar_titles(rows).collect()
     assert len(found) == len(want) and {(r.value, r.other) for r in found} == want
     assert dedup.similar_titles(rows.limit(0)).count() == 0
+
+
+def test_near_values_are_not_sent_through_the_driver(spark):
+    values = spark.createDataFrame([(1 << i,) for i in range(20)] + [(0,), ((1 << 62) - 1,)], "value long")
+    near = dedup.near_simhashes(values)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert len(near.collect()) == 20 * 19
