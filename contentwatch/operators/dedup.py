@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,10 +96,50 @@ def _ratios(a: list[str], b: list[str]):
 
 @F.pandas_udf(T.DoubleType())
 def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity, twice the matched characters by the characters of both; the order of the two matters."""
-    from difflib import SequenceMatcher
+    """Ratcliff-Obershelp similarity; the order of the two matters."""
+    out, held = pd.Series(0.0, index=a.index), a.fillna("").ne("") & b.fillna("").ne("")
+    if held.any():
+        out[held] = _ratios(a[held].tolist(), b[held].tolist())
+    return out
+
+
+def _met_before(a: list[str], b: list[str], keys: list[str | None]):
+    """Whether a pair of texts that miss a character each also meets in a key other than the one given, and that other one counts.
+
+    The texts differ from place p to place q.  What is left of both is one text without its character p and the other without q, or the
+    other way round; both hold where the stretch alternates.  Then the key without p of the first text counts.
+    """
+    import numpy as np
 
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
+    out = np.zeros(len(a), bool)
+    asked = [k for k, key in enumerate(keys) if key is not None and len(a[k]) == len(b[k])]
+    if not asked:
+        return out
+    x, y = _points([a[k] for k in asked], 0), _points([b[k] for k in asked], 0)
+    width = max(len(x), len(y))
+    apart = x != y
+    p, q = apart.argmax(axis=0), width - 1 - apart[::-1].argmax(axis=0)
+    place = np.arange(width - 1)[:, None]
+    other = ((x[1:] != y[:-1]) | (x[:-1] != y[1:])) & (place >= p) & (place < q)
+    for k in np.flatnonzero((q > p) & ~other.any(axis=0)):
+        out[asked[k]] = keys[asked[k]][p[k]] == a[asked[k]][p[k]]
+    return out
+
+
+def similar_of(pairs: DataFrame, least: float) -> DataFrame:
+    """(value, other), in both orders, where the ratio of that order is ``least`` or more, of candidates (value, other, key); the key is null for pairs that come once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            once = ~_met_before(a, b, batch.column(2).to_pylist())
+            there, back = pa.array(once & (_ratios(a, b) >= least)), pa.array(once & (_ratios(b, a) >= least))
+            for first, second, held in ((0, 1, there), (1, 0, back)):
+                yield pa.RecordBatch.from_arrays([batch.column(first).filter(held), batch.column(second).filter(held)], ["value", "other"])
+
+    return pairs.select("value", "other", "key").mapInArrow(run, "value string, other string")
 
 
 #: Characters that titles of up to DELETED_FROM characters may miss for candidates to meet in what is left of both.
@@ -119,7 +161,8 @@ def similar_titles(values: DataFrame, least: float = 0.9) -> DataFrame:
 
     Candidates meet by the lengths of both.  Where either may miss at most DELETED characters, both are keyed by what stays without them
     (one title of a pair must give the string that the other gives).  Longer ones are keyed by their rarest bigrams, as many as a
-    pair that shares enough of them can't all miss.  Edits, counted in the JVM up to the bound, leave few for the ratio itself, which is taken once a pair, both ways.
+    pair that shares enough of them can't all miss, and edits are counted in the JVM up to the bound.  The ratio is taken once a pair, both ways, of
+    thousands of pairs at once.  Pairs that meet in several strings are made distinct; those that miss a character each meet in two at most, of which one counts.
     """
     titles = values.where(F.length("value") > 1).select("value", F.length("value").alias("n")).distinct()
     lengths = titles.select(F.col("n").alias("m")).distinct()  # as many as the longest title has characters
@@ -146,16 +189,16 @@ def similar_titles(values: DataFrame, least: float = 0.9) -> DataFrame:
     def met(keyed: DataFrame) -> DataFrame:
         other = keyed.select(F.col("value").alias("other"), F.col("n").alias("m"), "low", "high", "key")
         apart = (F.col("n") != F.col("m")) | (F.col("low") == F.col("high"))  # a title keyed for a length other than its own meets titles of that length
-        return keyed.join(other, ["low", "high", "key"]).where((F.col("value") < F.col("other")) & apart).select("value", "other").distinct()
+        return keyed.hint("merge").join(other.hint("merge"), ["low", "high", "key"]).where((F.col("value") < F.col("other")) & apart)
 
-    pairs = met(by_deletion).unionByName(met(by_grams))
+    by_key, unkeyed = met(by_deletion), F.lit(None).cast("string").alias("key")
+    single = by_key.where(most <= 1).select("value", "other", "key")
+    several = by_key.where(most > 1).select("value", "other").distinct()
     _, _, _, edits = title_bounds(least, F.length("value"), F.length("other"))
     # the threshold of the function is a constant; a greater one for longer titles
     near = F.when(edits <= 2 * DELETED, F.levenshtein("value", "other", 2 * DELETED)).otherwise(F.levenshtein("value", "other"))
-    close = pairs.where(near.between(F.lit(0), edits))
-    ratios = close.select("value", "other", title_ratio("value", "other").alias("there"), title_ratio("other", "value").alias("back"))
-    both = F.filter(F.array(F.struct(F.col("value").alias("value"), F.col("other").alias("other"), F.col("there").alias("ratio")), F.struct(F.col("other").alias("value"), F.col("value").alias("other"), F.col("back").alias("ratio"))), lambda x: x["ratio"] >= least)
-    return ratios.select(F.explode(both).alias("x")).select("x.value", "x.other")
+    close = met(by_grams).select("value", "other").distinct().where(near.between(F.lit(0), edits))
+    return similar_of(single.unionByName(several.unionByName(close).select("value", "other", unkeyed)), least)
 
 
 def deduplicate(records: DataFrame) -> DataFrame:

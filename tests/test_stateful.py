@@ -156,6 +156,23 @@ def test_similar_titles_equal_all_pairs(spark):
     assert dedup.similar_titles(rows.limit(0)).count() == 0
 
 
+def test_matched_characters_equal_difflib():
+    rng, pairs = random.Random(11), [("ab" * 150, "ba" * 140), ("x\0", "x"), ("é😀a", "😀aé")]
+    for _ in range(800):
+        alphabet = rng.choice(["ab", "abc ", "abcdefgh", "éü😀a"])
+        a = "".join(rng.choices(alphabet, k=rng.randrange(1, 40)))
+        b = a[: rng.randrange(len(a) + 1)] + rng.choice(alphabet) + a[rng.randrange(len(a)) :]
+        pairs += [(a, b), (b, "".join(rng.choices(alphabet, k=rng.randrange(1, 30))))]
+    got = dedup.matched_characters([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in pairs]
+
+
+def test_pairs_that_meet_twice_come_once(spark):
+    titles = ["title ab 0123456789", "title ba 0123456789", "title abab 01234567", "title baba 01234567", "title aa 0123456789"]
+    got = [(r.value, r.other) for r in dedup.similar_titles(spark.createDataFrame([(t,) for t in titles], "value string")).collect()]
+    assert sorted(got) == sorted((a, b) for a in titles for b in titles if a != b and difflib.SequenceMatcher(None, a, b).ratio() >= 0.9)
+
+
 def test_near_values_are_not_sent_through_the_driver(spark):
     values = spark.createDataFrame([(1 << i,) for i in range(20)] + [(0,), ((1 << 62) - 1,)], "value long")
     near = dedup.near_simhashes(values)
