@@ -144,6 +144,97 @@ def similar_of(pairs: DataFrame, least: float) -> DataFrame:
 
 #: Characters that titles of up to DELETED_FROM characters may miss for candidates to meet in what is left of both.
 DELETED, DELETED_FROM = 2, 29
+#: Longer titles of up to so many characters meet in segments, those beyond in bigrams.
+SEGMENTED = 100
+
+
+def segments(n: int, m: int, matched: int) -> tuple[list[tuple], list[tuple]]:
+    """Keys (segment, start, length, place left out or -1) by which a text of ``n`` characters meets one of ``m`` that has ``matched`` of them in the same order: those of the first, of the second.
+
+    One text becomes the other by n - matched deletions and m - matched insertions.  The first is cut in so many segments that not all have
+    two of these.  Going from the left there is a first segment i by which fewer than two a segment have occurred: it has
+    c + own <= 1 where 2 * i + c occurred before it, so it stands in the other text at few places, whole, with a character less or with one more.
+    """
+    gone, come = n - matched, m - matched
+    count = (gone + come) // 2 + 1
+    first, second = set(), set()
+    for i in range(count):
+        lo, hi = n * i // count, n * (i + 1) // count
+        size = hi - lo
+        first |= {(i, lo, size, j) for j in range(-1, size)}
+        for c in (0, 1) if i else (0,):
+            for deleted in range(max(0, 2 * i + c - come), min(2 * i + c, gone) + 1):
+                inserted = 2 * i + c - deleted
+                at = lo + inserted - deleted
+                second.add((i, at, size, -1))
+                if c == 0 and inserted < come:
+                    second |= {(i, at, size + 1, j) for j in range(size)}
+                if c == 0 and deleted < gone:
+                    second.add((i, at, size - 1, -1))
+    return sorted(first), sorted(k for k in second if k[1] >= 0 and k[1] + k[2] <= m)
+
+
+def _mixed(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def segment_keys(points, keys: list[tuple], salt: int):
+    """The hash of each key's characters, of texts of one length whose code points are columns: a row a text."""
+    import numpy as np
+
+    step, own = np.uint64(0x9E3779B97F4A7C15), points.astype(np.uint64)
+    out = np.empty((points.shape[1], len(keys)), np.uint64)
+    for k, (i, at, size, left_out) in enumerate(keys):
+        found = np.full(points.shape[1], salt * 1024 + i, np.uint64)
+        for place in range(size):
+            if place != left_out:
+                found = _mixed(found * step + own[at + place])
+        out[:, k] = found
+    return out.view(np.int64)
+
+
+def by_segments(titles: DataFrame, least: float) -> DataFrame:
+    """(value, other), once a pair, of titles (value, n, id) of up to SEGMENTED characters that meet in a segment.
+
+    Of two lengths the one whose keys are fewer in all is cut.  The id may be shared by several titles.
+    """
+    import numpy as np
+
+    counts = {r["n"]: r["titles"] for r in titles.groupBy("n").agg(F.count("*").alias("titles")).collect()}  # SEGMENTED rows at most
+    sides: tuple[dict, dict] = ({}, {})
+    for n in counts:
+        for m in counts:
+            matched = int(np.ceil(least / 2 * (n + m) - 1e-9))
+            if m < n or matched > n or (m - matched <= DELETED and m <= DELETED_FROM):
+                continue
+            ways = [(a, b, *segments(a, b, matched)) for a, b in {(n, m), (m, n)}]
+            a, b, first, second = min(ways, key=lambda w: (counts[w[0]] * len(w[2]) + counts[w[1]] * len(w[3]), w[0]))
+            sides[0].setdefault(a, []).append((n * (SEGMENTED + 1) + m, first))
+            sides[1].setdefault(b, []).append((n * (SEGMENTED + 1) + m, second))
+
+    def keyed(side: dict, name: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, lengths = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                for n, plans in side.items():
+                    for rows in np.split(at := np.flatnonzero(lengths == n), range(1024, len(at), 1024)):
+                        if not len(rows):
+                            continue
+                        points = _points(batch.column(0).take(pa.array(rows)).to_pylist(), 0)
+                        for salt, keys in plans:
+                            found = np.sort(segment_keys(points, keys, salt), axis=1)
+                            once = np.ones(found.shape, bool)
+                            once[:, 1:] = found[:, 1:] != found[:, :-1]
+                            yield pa.RecordBatch.from_arrays([pa.array(found[once]), pa.array(np.repeat(ids[rows], once.sum(axis=1)))], ["key", name])
+
+        return titles.select("value", "id", "n").mapInArrow(run, f"key long, {name} long")
+
+    met = keyed(sides[0], "x").hint("merge").join(keyed(sides[1], "y").hint("merge"), "key").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    named = lambda c, v: titles.select(F.col("id").alias(c), F.col("value").alias(v))
+    return met.join(named("x", "value"), "x").join(named("y", "other"), "y").where("x != y OR value < other").select("value", "other")
 
 
 def title_bounds(least: float, a: Column, b: Column) -> tuple[Column, Column, Column, Column]:
@@ -160,8 +251,8 @@ def similar_titles(values: DataFrame, least: float = 0.9) -> DataFrame:
     """(value, other): distinct lower-case titles of which ``value``, as the later one, is similar to ``other``.
 
     Candidates meet by the lengths of both.  Where either may miss at most DELETED characters, both are keyed by what stays without them
-    (one title of a pair must give the string that the other gives).  Longer ones are keyed by their rarest bigrams, as many as a
-    pair that shares enough of them can't all miss, and edits are counted in the JVM up to the bound.  The ratio is taken once a pair, both ways, of
+    (one title of a pair must give the string that the other gives).  Longer ones of up to SEGMENTED characters meet in ``segments``; those beyond are
+    keyed by their rarest bigrams, as many as a pair that shares enough of them can't all miss.  Edits are counted in the JVM up to the bound.  The ratio is taken once a pair, both ways, of
     thousands of pairs at once.  Pairs that meet in several strings are made distinct; those that miss a character each meet in two at most, of which one counts.
     """
     titles = values.where(F.length("value") > 1).select("value", F.length("value").alias("n")).distinct()
@@ -176,7 +267,7 @@ def similar_titles(values: DataFrame, least: float = 0.9) -> DataFrame:
     left = F.when(F.col("gone") == 0, F.array("value")).when(F.col("gone") == 1, once(F.col("value"))).otherwise(F.flatten(F.transform(once(F.col("value")), lambda x: once(x))))
     by_deletion = own.where("by_deletion").select("value", "n", "low", "high", F.explode(F.array_distinct(left)).alias("key"))
 
-    some = own.where("NOT by_deletion")
+    some = own.where(~F.col("by_deletion") & (high > SEGMENTED))
     grams = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)))
     # equal bigrams are neighbours once sorted, so each gets its number within its run
     runs = lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(g, x) + 1).cast("string")))
@@ -197,7 +288,8 @@ def similar_titles(values: DataFrame, least: float = 0.9) -> DataFrame:
     _, _, _, edits = title_bounds(least, F.length("value"), F.length("other"))
     # the threshold of the function is a constant; a greater one for longer titles
     near = F.when(edits <= 2 * DELETED, F.levenshtein("value", "other", 2 * DELETED)).otherwise(F.levenshtein("value", "other"))
-    close = met(by_grams).select("value", "other").distinct().where(near.between(F.lit(0), edits))
+    cut_up = by_segments(titles.where(F.col("n") <= SEGMENTED).select("value", "n", F.xxhash64("value").alias("id")), least)
+    close = met(by_grams).select("value", "other").distinct().unionByName(cut_up).where(near.between(F.lit(0), edits))
     return similar_of(single.unionByName(several.unionByName(close).select("value", "other", unkeyed)), least)
 
 

@@ -178,3 +178,20 @@ def test_near_values_are_not_sent_through_the_driver(spark):
     near = dedup.near_simhashes(values)
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
     assert len(near.collect()) == 20 * 19
+
+
+def test_titles_cut_at_one_length_meet_in_few_segments(spark):
+    """Unrelated titles of 60 characters out of few syllables: their rarest bigrams met nearly all of them."""
+    rng, syllables = random.Random(3), "on th er re le ment de la ou tion an in he st ea or".split()
+    titles = {"".join(rng.choice(syllables) + rng.choice(["", "", " "]) for _ in range(40))[: rng.choice([60, 60, 60, 59, 57, 55, 48, 34, 30])] for _ in range(300)}
+    for t in sorted(titles)[:150]:
+        for _ in range(rng.randint(1, 7)):
+            i = rng.randrange(len(t))
+            t = rng.choice([t[:i] + "x" + t[i:], t[:i] + t[i + 1 :], t[:i] + "y" + t[i + 1 :], t[:i] + t[i + 1 :] + "z"])
+        titles |= {t, t[:60]}
+    want = {(a, b) for a in titles for b in titles if a != b and difflib.SequenceMatcher(None, a, b).ratio() >= 0.9}
+    rows = spark.createDataFrame([(t,) for t in sorted(titles)], "value string")
+    found = dedup.similar_titles(rows).collect()
+    assert len(found) == len(want) > 200 and {(r.value, r.other) for r in found} == want
+    keyed = rows.select("value", F.length("value").alias("n"), F.xxhash64("value").alias("id"))
+    assert dedup.by_segments(keyed, 0.9).count() < 10 * len(want)
