@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,7 +39,8 @@ LEAF = 1024
 WINDOW = 32
 PIECE = 256
 WIDE = 24
-MEMO = 150_000
+MEMO = 400_000
+MERGED = 1 << 12
 BLOCK = 1 << 20
 NONE = (1 << 31) - 1
 
@@ -208,9 +210,9 @@ class TreeBpe:
     def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
         """``merges`` of many pieces, all at once: in each step every row merges its lowest pair, the leftmost on ties."""
         out = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for start in range(0, len(rest), 1 << 14):
-            some = rest[start : start + (1 << 14)]
+        rest = sorted((i for i, x in enumerate(out) if x is None), key=lambda i: len(pieces[i]))  # alike in length, so that no row is scanned at a longer one's width
+        for start in range(0, len(rest), MERGED):
+            some = rest[start : start + MERGED]
             sizes = np.array([len(pieces[i]) for i in some])
             width = int(sizes.max()) + 1
             filled = np.arange(width) < sizes[:, None]
@@ -319,7 +321,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
             column = batch.column(batch.schema.names.index(text)).to_pylist()
             found = bpe.encode_all([x or "" for x in column])
             back = [pa.array([decode_ids(x, bpe.bytes_of) for x in found], pa.binary())] if decoded else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, arrow_lists([np.array(x, np.int32) for x in found], pa.int32()), *back], [*batch.schema.names, ids, *([decoded] if decoded else [])])
+            yield pa.RecordBatch.from_arrays([*batch.columns, arrow_lists([np.frombuffer(array("i", x), np.int32) for x in found], pa.int32()), *back], [*batch.schema.names, ids, *([decoded] if decoded else [])])
 
     made = _with(df, ids, T.ArrayType(T.IntegerType()))
     return df.mapInArrow(run, made.add(decoded, T.BinaryType()) if decoded else made)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers as P
 import pytest
@@ -85,3 +86,17 @@ def test_query_on_documents(spark, small_tables):
         assert rows[doc.doc_id].n_tokens == len(ids)
         assert rows[doc.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert rows[doc.doc_id].decoded_sha256 == hashlib.sha256((doc.text or "").encode()).hexdigest()
+
+
+def test_a_long_piece_does_not_widen_the_short_ones():
+    import tracemalloc
+
+    tree, rng = PRODUCTION, random.Random(4)
+    pieces = ["".join(rng.choices("abcdefgh", k=9)).encode() for _ in range(1 << 14)]
+    pieces.insert(100, ("é" * 12 + "xqzj" * 12).encode())
+    tracemalloc.start()
+    found = tree.merge_many(pieces)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 << 20
+    assert [list(found[i]) for i in (0, 100, 101, 5000, -1)] == [tree.ranks.get(pieces[i]) and [tree.ranks[pieces[i]]] or tree.merges(pieces[i]) for i in (0, 100, 101, 5000, -1)]
