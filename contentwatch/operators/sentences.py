@@ -12,10 +12,12 @@ index, have no answer; of texts that are alike in letters and digits the first b
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentwatch.functions.text import STOP_WORDS, clean_keywords, stem
+from contentwatch.functions.text import STOP_WORDS, clean_keywords, plain_stem, stem
+from contentwatch.operators.tables import scratch, written
 
 BUCKET = "_bucket"
 
@@ -32,10 +34,30 @@ def _key(sentence: Column) -> Column:
     return F.unhex(F.md5(F.regexp_replace(F.lower(sentence), r"[^\w]", "")))
 
 
+def _stems_of(stops: list[str]):
+    """The distinct stems of texts in lower case without punctuation, by ``plain_stem``; each word is stemmed once a batch."""
+    left_out = set(stops)
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        stems: dict[str, str] = {}
+
+        def of(text: str) -> list[str]:
+            words = [w for w in dict.fromkeys(text.split()) if len(w) > 2 and w not in left_out]
+            for w in words:
+                if w not in stems:
+                    stems[w] = plain_stem(w)
+            return list(dict.fromkeys(map(stems.__getitem__, words)))
+
+        return texts.map(of)
+
+    return found
+
+
 def postings(rows: DataFrame, stops: list[str] = STOP_WORDS) -> DataFrame:
     """(stem, id, pos, key) of sentences, each stem of one once."""
-    stems = F.array_distinct(F.transform(F.array_distinct(clean_keywords(F.col("sentence"), stops)), stem))
-    return rows.select(F.explode(stems).alias("stem"), "id", "pos", _key(F.col("sentence")).alias("key"))
+    bare = F.regexp_replace(F.lower(F.col("sentence")), r"[^\w\s]", " ")
+    return rows.select(F.explode(_stems_of(stops)(bare)).alias("stem"), "id", "pos", _key(F.col("sentence")).alias("key"))
 
 
 def _bucket(by: str | Column, buckets: int) -> Column:
@@ -44,11 +66,14 @@ def _bucket(by: str | Column, buckets: int) -> Column:
 
 def write_index(articles: DataFrame, path: str, stops: list[str] = STOP_WORDS, buckets: int = 64) -> None:
     """The index of articles (id, title, summary, url) as two tables under ``path``."""
-    rows = sentences(articles)
-    for name, table, by in (("sentences", rows, "id"), ("postings", postings(rows, stops), "stem")):
-        order = [BUCKET, "stem", "id"] if by == "stem" else [BUCKET, "id"]
-        dealt = table.withColumn(BUCKET, _bucket(by, buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
-        dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/{name}")
+    with scratch(articles.sparkSession, "index") as folder:
+        rows = written(sentences(articles), "rows", folder)
+        for name, table, by in (("sentences", rows, "id"), ("postings", postings(rows, stops), "stem")):
+            order = [BUCKET, "stem", "id"] if by == "stem" else [BUCKET, "id"]
+            # a table of its own, as dealing by ranges reads its input twice
+            table = written(table, name, folder) if by == "stem" else table
+            dealt = table.withColumn(BUCKET, _bucket(by, buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
+            dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/{name}")
 
 
 def rank(lists: DataFrame, wanted: list[str], n: int) -> DataFrame:

@@ -104,3 +104,19 @@ def test_database_in_ranges(spark, small_tables):
     assert one.count() == seen.where("plan_id = '8'").count() > 0
     seen.limit(0).write.jdbc(url, "email_log", properties=texts)
     assert store.read_store(spark, url, "email_log", "jdbc", by="crawled_at", **driver).rdd.getNumPartitions() == 1
+
+
+def test_plain_stems_equal_the_column_and_are_taken_outside_lambdas(spark):
+    from contentwatch.functions import text
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdes1_", k=rng.randrange(1, 7))) + rng.choice(["", "ies", "ying", "ing", "ed", "es", "s", "ational", "tional", "al", "ment", "ity", "ive", "tory", "tion", "als"]) for _ in range(400)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem(F.col("w")).alias("s")).collect()
+    assert [text.plain_stem(r.w) for r in rows] == [r.s for r in rows]
+    said = ["The Cities, citie's; \u00c9t\u00e9 nation\u00e9al \x1cwater\x0bwaters\u00a0Water_ed 123 about\u2028regulation", "a", "", "ations ational national nations"]
+    told = spark.createDataFrame([(i, 0, s) for i, s in enumerate(said)], "id long, pos int, sentence string")
+    keywords = F.array_distinct(F.transform(F.array_distinct(text.clean_keywords(F.col("sentence"), text.STOP_WORDS)), text.stem))
+    want = {(r.id, x) for r in told.select("id", keywords.alias("k")).collect() for x in r.k}
+    got = sentences.postings(told)
+    assert sorted((r.id, r.stem) for r in got.collect()) == sorted(want)
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
