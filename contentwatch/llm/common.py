@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contentwatch.operators.tables import moved, read_back, remove, scratch, shared_dir, table_path  # noqa: F401
 
@@ -21,6 +23,9 @@ BLOCK = 32 << 20
 #: Bytes that go to a Python worker at once; texts are long, and tasks share memory.
 BATCH = 8 << 20
 
+#: Bits of a filter: at least so many a key, but no more than the second in all (32 MB); a fuller filter lets more through.
+KEY_BITS, MOST_BITS = 16, 1 << 28
+
 
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
@@ -89,9 +94,44 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
 
 def arrow_lists(rows: list, kind: pa.DataType) -> pa.ListArray:
     """A list column of numpy arrays."""
-    import numpy as np
-
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(x) for x in rows], out=offsets[1:])
     values = np.concatenate(rows) if rows else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def filter_bits(hashes: DataFrame) -> tuple[int, DataFrame]:
+    """(size, table of bucket, bits): a filter of the longs in the one column of ``hashes``, of which bit ``pmod(hash, size)`` is set."""
+    size = min(MOST_BITS, 1 << max(15, (KEY_BITS * hashes.count()).bit_length()))
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(size)) + 1  # Spark counts from one
+    return size, hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+
+
+def filter_array(hashes: DataFrame) -> np.ndarray:
+    """The filter of ``filter_bits`` as bytes (a power of two, 32 MB at most), for Arrow tasks."""
+    size, bits = filter_bits(hashes)
+    found = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for r in bits.collect():
+        found[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return found.ravel()
+
+
+def passes(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (int64) a filter's bytes let through."""
+    place = hashes & np.int64(8 * len(found) - 1)
+    return (found[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def parted(df: DataFrame, hashed: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that may have one of the ``hashes`` (longs in one column), all that have one among them, and those that have none: these need no join.
+
+    A filter of 32 MB at most is sent to the tasks, so rows meet it where they are.  It outlives the innermost ``scratch`` block.
+    """
+    size, bits = filter_bits(hashes)
+    bucket, held = free_name(df, "filter_bucket"), free_name(df, "filter_bits")
+    place = F.pmod(hashed, F.lit(size)) + 1
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(held), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    met = df.join(F.broadcast(written(bits.toDF(bucket, held), "filter")), F.bitmap_bucket_number(place) == F.col(bucket), "left")
+    may = F.coalesce(F.getbit(byte, at % 8), F.lit(0)) == 1
+    return tuple(met.where(x).drop(bucket, held) for x in (may, ~may))

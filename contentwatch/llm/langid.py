@@ -371,4 +371,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5)
     languages, p = train(docs.where(~held_out("doc_id", 5)), pieces)
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
     kept = predict(docs, pieces, languages, p).where((F.col(lang) != UND) & (F.col(score) >= least))
-    return written(kept.select(*[f"`{c}`" for c in docs.columns]), "language")  # written here, with small batches
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentwatch.llm.common import SPACES, arrow_lists, binaries, free_name, scratch, slices, written
+from contentwatch.llm.common import SPACES, arrow_lists, binaries, free_name, parted, scratch, slices, written
 from contentwatch.llm.components import components
 from contentwatch.llm.words import Words, grams, mix
 
@@ -147,10 +147,26 @@ def numbered(found: DataFrame, folder: str, kind: str = "long") -> DataFrame:
     return written(classes.withColumn("num", F.monotonically_increasing_id()), "classes", folder)  # numbers hold once written
 
 
-def links(docs: DataFrame, classes: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, kind: str = "long") -> DataFrame:
+def table_keys(classes: DataFrame, folder: str, groups: int) -> DataFrame:
+    """(num, n, copies, table, key): the keys of each class in all tables where another class may have the same.
+
+    Classes that share a key share both its groups, so a class's 2 * groups groups are counted first, and only those
+    that several classes have make keys.
+    """
+    own = classes.select("num", "n", "copies", F.posexplode(F.concat("left", "right")).alias("place", "value"))
+    several = own.groupBy("place", "value").agg(F.count("*").alias("many")).where("many > 1").select("place", "value")
+    # a table of its own, so Spark can split a frequent group's rows when they join
+    met = own.join(written(several, "groups", folder), ["place", "value"])
+    shared = written(met.groupBy("num", "n", "copies").agg(F.collect_list(F.struct("place", "value")).alias("all")), "shared", folder)
+    left = shared.select("num", "n", "copies", "all", F.explode(F.filter("all", lambda g: g["place"] < groups)).alias("x"))
+    both = left.select("num", "n", "copies", "x", F.explode(F.filter("all", lambda g: g["place"] >= groups)).alias("y"))
+    i, j = F.col("x.place"), F.col("y.place") - groups
+    return both.select("num", "n", "copies", (i * groups + j).alias("table"), F.xxhash64(i, j, "x.value", "y.value").alias("key"))
+
+
+def links(docs: DataFrame, classes: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, groups: int = GROUPS, kind: str = "long") -> DataFrame:
     """Confirmed (x, y) links between numbers of classes: enough of them to connect what all links connect.  classes: from ``numbered``."""
-    key = F.posexplode(F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y)))))
-    keys = classes.select("num", "n", "copies", key.alias("table", "key"))
+    keys = table_keys(classes, folder, groups)
     ends = keys.groupBy("key").agg(F.min(F.struct("num", "n")).alias("low"), F.max(F.struct("copies", "num", "n")).alias("high"), F.count("*").alias("many")).where("many > 1")
     # the aggregate is a table of its own, so Spark can split a large key's rows when they join
     members = written(keys.join(written(ends, "ends", folder), "key").select("key", "table", "num", "n", "low", "high"), "members", folder)
@@ -158,7 +174,10 @@ def links(docs: DataFrame, classes: DataFrame, folder: str, doc_id: str = "doc_i
     ordered = lambda df: df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
     wanted = written(classes.select("num", "row").join(members.select("num").distinct(), "num"), "wanted", folder)
-    texts = docs.select(row_of(doc_id, kind).alias("row"), F.col(text).alias("text")).join(wanted.select("row").distinct(), "row", "left_semi")
+    given = docs.select(row_of(doc_id, kind).alias("row"), F.col(text).alias("text"))
+    with scratch(docs.sparkSession, "candidates"):
+        given, _ = parted(given, F.xxhash64("row"), wanted.select(F.xxhash64("row")))  # so few other texts are shuffled
+    texts = given.join(wanted.select("row").distinct(), "row", "left_semi")
     named = classes.select("class", "num").join(wanted.select("num"), "num")
     sets = written(full_sets(texts, size).join(named, "class").groupBy("num").agg(F.first("shingles").alias("shingles")), "sets", folder)
 
@@ -193,7 +212,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with scratch(docs.sparkSession, "minhash") as folder:
         found = written(signatures(docs, doc_id, text, size, groups, kind=kind), "signatures", folder)
         classes = numbered(found, folder, kind)
-        joined = components(links(docs, classes, folder, doc_id, text, size, percent, kind)).withColumnRenamed("node", "num")
+        joined = components(links(docs, classes, folder, doc_id, text, size, percent, groups, kind)).withColumnRenamed("node", "num")
         named = classes.select("class", "num", "least").join(joined, "num", "left").withColumn("component", F.coalesce("component", "num"))
         names = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", "component_id")
         out = found.select("doc_id", "n_shingles", "class").join(written(names, "names", folder), "class", "left")
@@ -210,7 +229,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = STAG
     """One row of each component at a similarity of 0.8 stays: that of the least id, null ids last; of equal ids that of the least key.
 
     Rows are told apart by a 128-bit digest of id and text, not by id; of rows equal in both one stays.  The key of a row starts
-    with its id, so the least key of a component is the row that stays, and no texts are shuffled before the last step.
+    with its id, so the least key of a component is the row that stays.  Only rows that may go are shuffled with their texts.
     """
     row = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
     digest = F.md5(F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), row).cast("binary"))
@@ -218,7 +237,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = STAG
     key = F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), number), F.lit("01")), digest))
     name = free_name(docs, "row_key")
     chosen = docs.withColumn(name, key)
+    stays = free_name(chosen, "stays")
     with scratch(spark, "near-duplicates"):
         named = near_duplicates(docs.select(key.alias("row_key"), "text"), "row_key", "text", SHINGLE, percent, groups, "binary")
-        kept = written(named.where("kept").select(F.col("doc_id").alias(name)).distinct(), "kept")
-    return chosen.join(kept, name, "left_semi").dropDuplicates([name]).select(*[chosen[f"`{c}`"] for c in docs.columns])
+        rows = named.groupBy(F.col("doc_id").alias(name)).agg(F.max("kept").alias(stays), F.count("*").alias("many"))
+        told = written(rows.where(~F.col(stays) | (F.col("many") > 1)).select(name, stays), "told")
+        some, others = parted(chosen, F.xxhash64(name), told.select(F.xxhash64(name)))
+    judged = some.join(told, name, "left").where(F.coalesce(stays, F.lit(True))).dropDuplicates([name])
+    columns = [f"`{c}`" for c in docs.columns]
+    return judged.select(*columns).union(others.select(*columns))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contentwatch.llm.common import SPACES, binaries, free_name, scratch, slices, written
+from contentwatch.llm.common import SPACES, binaries, filter_array, free_name, parted, passes, scratch, slices, written
 from contentwatch.llm.words import mix
 
 WINDOW, BITS = 16, 2
@@ -88,8 +88,12 @@ class Chunks:
             yield starts - b, stops - b, first, last, np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
-def chunk_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, row, high, low, start, stop): every chunk, its digest and characters; row: the text's hash."""
+def chunk_table(docs: DataFrame, doc_id: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, row, high, low, start, stop): every chunk, its digest and characters; row: the text's hash.
+
+    only: high words of digests; chunks that a filter of them (32 MB at most) shows to have none of these are left out.
+    """
+    sent = None if only is None else docs.sparkSession.sparkContext.broadcast(filter_array(only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks()
@@ -98,10 +102,11 @@ def chunk_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             found = list(chunks(binaries(batch.column(2))))
             counts = [len(x[0]) for x in found]
             start, stop, digests = (np.concatenate([x[k] for x in found]) for k in (2, 3, 4))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, counts)), pa.array(np.repeat(rows, counts)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))],
-                ["doc_id", "row", "high", "low", "start", "stop"],
-            )
+            columns = [np.repeat(ids, counts), np.repeat(rows, counts), digests[:, 0].copy(), digests[:, 1].copy(), start.astype(np.int32), stop.astype(np.int32)]
+            if sent:
+                some = passes(sent.value, columns[2])
+                columns = [x[some] for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "row", "high", "low", "start", "stop"])
 
     given = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
     return given.mapInArrow(run, "doc_id long, row long, high long, low long, start int, stop int")
@@ -111,11 +116,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, row, span_start, span_stop, first_doc_id): spans, in characters, that documents with smaller ids hold too."""
     id_or_null = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
     with scratch(docs.sparkSession, "substrings") as folder:
-        chunks = chunk_table(docs, doc_id, text)  # computed on both sides: a table of chunks takes more than the texts do
-        seen = chunks.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        # chunks are computed twice: a table of them takes more than the texts do
+        seen = chunk_table(docs, doc_id, text).groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         # a table of its own, so Spark can split a frequent chunk's rows when they join
         firsts = written(seen.select("high", "low", "first"), "firsts", folder)
-        later = chunks.join(firsts, ["high", "low"]).where("doc_id > first").select("doc_id", "row", "start", "stop", "first").distinct()
+        later = chunk_table(docs, doc_id, text, firsts.select("high")).join(firsts, ["high", "low"]).where("doc_id > first").select("doc_id", "row", "start", "stop", "first").distinct()
         own = W.partitionBy("doc_id", "row").orderBy("start", "stop")
         reach = F.max("stop").over(own.rowsBetween(W.unboundedPreceding, -1))
         islands = later.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(0))).withColumn("island", F.sum("new").over(own.rowsBetween(W.unboundedPreceding, 0)))
@@ -129,7 +134,11 @@ def remove_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text
     of, row, listed, removed = names
     lists = spans.groupBy(F.col("doc_id").alias(of), F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_stop"))).alias(listed))
     keyed = docs.withColumn(row, F.xxhash64(text))
-    joined = keyed.join(lists, keyed[f"`{doc_id}`"].cast("long").eqNullSafe(lists[of]) & (keyed[row] == lists[row]), "left").select(*[keyed[f"`{c}`"] for c in docs.columns], listed)
+    with scratch(docs.sparkSession, "remove"):
+        # texts without spans stay where they are
+        some, others = parted(keyed, F.xxhash64(F.col(f"`{doc_id}`").cast("long"), row), spans.select(F.xxhash64(F.col("doc_id").cast("long"), "row")))
+    met = some.join(lists, some[f"`{doc_id}`"].cast("long").eqNullSafe(lists[of]) & (some[row] == lists[row]), "left").select(*[some[f"`{c}`"] for c in docs.columns], listed)
+    joined = met.union(others.select(*[f"`{c}`" for c in docs.columns], F.lit(None).cast(lists.schema[listed].dataType).alias(listed)))
     starts = F.concat(F.array(F.lit(0)), F.transform(listed, lambda s: s["span_stop"]))
     stops = F.concat(F.transform(listed, lambda s: s["span_start"]), F.array(F.length(text)))
     pieces = F.zip_with(starts, stops, lambda a, b: F.substring(F.col(text), a + 1, b - a))
