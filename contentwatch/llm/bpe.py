@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contentwatch.llm.common import arrow_lists, free_name, slices
+from contentwatch.llm.common import arrow_lists, free_name, slices, written
 
 LEAF = 1024
 WINDOW = 32
@@ -359,4 +359,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids, n_tokens = free_name(docs, "ids"), free_name(docs, "n_tokens")
     decoded = free_name(docs, "decoded")
     checked = encode(docs, decoded=decoded).where(F.col(f"`{decoded}`") == F.coalesce("text", F.lit("")).cast("binary")).drop(decoded)
-    return checked.withColumn(n_tokens, F.size(f"`{ids}`").cast("long"))
+    return written(checked.withColumn(n_tokens, F.size(f"`{ids}`").cast("long")), "tokens")  # written here, with small batches

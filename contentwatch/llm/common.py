@@ -90,6 +90,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers live on from task to task
 
 
 def arrow_lists(rows: list, kind: pa.DataType) -> pa.ListArray:
