@@ -70,6 +70,45 @@ def test_nothing_to_find(spark, tmp_path):
     assert sentences.ask(spark, str(tmp_path), "short", buckets=8).collect() == []
 
 
+def test_an_empty_index_has_no_answer(spark, tmp_path):
+    for i, rows in enumerate(([], [(1, "short", None, "u")])):
+        sentences.write_index(spark.createDataFrame(rows, "id long, title string, summary string, url string"), path := f"{tmp_path}/{i}", buckets=8)
+        assert sentences.ask(spark, path, "carbon", buckets=8).collect() == sentences.ask(spark, path, "", buckets=8).collect() == []
+
+
+def test_the_index_is_smaller_than_its_texts_and_nothing_is_shuffled(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(5000)]
+    line = lambda: " ".join(rng.choices(words, k=9)) + "."
+    # titles are long, as where a text is a single line
+    articles = [(i, t := " ".join(line() for _ in range(30)), f"{t} {line()}", "https://a.example.com/") for i in range(400)]
+    df = spark.createDataFrame(articles, "id long, title string, summary string, url string").repartition(2).localCheckpoint()
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {(f := found.apply(i).getName()) for found in [disk.getAllFiles()] for i in range(found.length())}
+    before = files()
+    sentences.write_index(df, str(tmp_path), buckets=4)
+    assert not [f for f in files() - before if f.startswith("shuffle")]
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < sum(len(t) + len(s) for _, t, s, _ in articles)
+
+
+@pytest.mark.parametrize("first", [(1, 2), (1, 1000)])
+def test_answers_among_many_alike_equal_a_scan(spark, tmp_path, monkeypatch, first):
+    """Copies fill the first sentences of the lists; ids that aren't unique; letters that become ASCII; lists in parts."""
+    monkeypatch.setattr(sentences, "FIRST", first)
+    monkeypatch.setattr(sentences, "LISTED_CHARS", 300)
+    monkeypatch.setattr(sentences, "KNOWN_WORDS", 20)
+    alike = ["Carbon targets of the water plan", "carbon, targets. Of the water-plan!", "CARBON TARGETS of the waterplan"]
+    articles = [(i, alike[i % 3], f"{alike[0]}. Something else is told here {i}. {alike[i % 2]}.", f"u{i}") for i in range(60)]
+    articles += [(100, "Carbon \u0130stanbul \u212aelvin report.", "Targets \u00e9carbon alone\x1cin \u03a3\u03a3 reports; water_plan. ", "u100"), (101, "A plan for the targets of water only", None, "u101")]
+    articles += [(200 + i % 2, f"Water and energy {i} are reported", "Carbon stands in the other sentence " + "of energy " * i, f"v{i}") for i in range(4)]
+    df = spark.createDataFrame(articles, "id long, title string, summary string, url string").repartition(3, "id")
+    sentences.write_index(df, str(tmp_path), buckets=4)
+    assert sentences.lists(df.coalesce(1)).where("stem = 'water'").count() > 10
+    for question, n in (("carbon targets water plan", 3), ("Report of water and energy?", 2), ("kelvin stanbul", 3), ("plans", 7)):
+        want = sentences.search(df, question, n=n).collect()
+        assert want and sorted(sentences.ask(spark, str(tmp_path), question, n=n, buckets=4).collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("kind", ["variant", "string"])
 def test_mixed_urls(spark, kind):
     lists = [["https://a", {"url": "https://b", "label": "B", "depth": 0}, None, 3, {"url": "https://c", "crawlMethod": "bfs", "depth": "4"}, {"label": "no url"}], [], "https://alone", {"url": "https://object"}]
